@@ -42,11 +42,11 @@ MISSING_TOKENS = [
 
 # --- fixed values: character classes -----------------------------------------
 
-# Whitespace as Python's str.strip() sees it (Java and RE2 syntax).
-WHITESPACE = (
-    r"[\x{09}-\x{0D}\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}"
-    r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
-)
+# Code points that Python's str.strip() removes, first and last of each range.
+WHITESPACE_RANGES = [
+    (0x09, 0x0D), (0x1C, 0x20), (0x85, 0x85), (0xA0, 0xA0), (0x1680, 0x1680), (0x2000, 0x200A),
+    (0x2028, 0x2029), (0x202F, 0x202F), (0x205F, 0x205F), (0x3000, 0x3000),
+]
 # Characters that Python's str.isprintable() rejects.
 NON_PRINTABLE = (
     r"[\p{Cc}\p{Cf}\p{Co}\p{Zl}\p{Zp}\x{00A0}\x{1680}\x{2000}-\x{200A}\x{202F}\x{205F}\x{3000}]"

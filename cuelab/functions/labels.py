@@ -15,14 +15,20 @@ def _literals(words: Sequence[str]) -> Column:
     return F.array(*[F.lit(w) for w in words])
 
 
-def parse_predictions(text: Column, cues: Sequence[str] = CUES) -> Column:
-    """Cues named anywhere in a model answer, in fixed order; ``[none]`` when there are none.
+def prediction_cell(text: Column, cues: Sequence[str] = CUES) -> Column:
+    """Cues named anywhere in a model answer, in fixed order and comma-joined; ``none`` when there
+    are none.
 
     Plain substring matching: ``reframing`` counts as framing, ``no anchoring`` as anchoring.
     """
     low = F.lower(text)
-    named = F.array_compact(F.array(*[F.when(F.contains(low, F.lit(c)), F.lit(c)) for c in cues]))
-    return F.when(F.size(named) > 0, named).otherwise(_literals([NONE]))
+    named = F.concat_ws(",", *[F.when(F.contains(low, F.lit(c)), F.lit(c)) for c in cues])
+    return F.when(named == "", F.lit(NONE)).otherwise(named)
+
+
+def parse_predictions(text: Column, cues: Sequence[str] = CUES) -> Column:
+    """``prediction_cell`` as a list."""
+    return F.split(prediction_cell(text, cues), ",")
 
 
 def _cells(text: Column, lower: bool = True) -> Column:

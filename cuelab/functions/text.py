@@ -7,13 +7,15 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from cuelab.fixed_values import MISSING_TOKENS, NON_PRINTABLE, WHITESPACE
+from cuelab.fixed_values import MISSING_TOKENS, NON_PRINTABLE, WHITESPACE_RANGES
+
+
+_WHITESPACE = "".join(chr(c) for a, b in WHITESPACE_RANGES for c in range(a, b + 1))
 
 
 def strip(text: Column) -> Column:
-    """Remove Unicode white space at both ends (``F.trim`` removes blanks only)."""
-    # Possessive, so that a long inner run of blanks is not scanned once per start position.
-    return F.regexp_replace(text, rf"^{WHITESPACE}++|(?<!{WHITESPACE}){WHITESPACE}++\z", "")
+    """Remove Unicode white space at both ends (``F.trim`` alone removes blanks only)."""
+    return F.btrim(text, F.lit(_WHITESPACE))
 
 
 def strip_nonprintable(text: Column) -> Column:
@@ -47,3 +49,9 @@ def keyed_draw(key: Column, seed: int | str, purpose: str, part: int = 0) -> Col
 def shuffle_key(key: Column, seed: int | str) -> Column:
     """Sort key of a seeded permutation."""
     return F.md5(F.concat(F.lit(f"{seed}|"), key.cast("string")))
+
+
+def text_key(text: Column) -> Column:
+    """A key that is equal where texts are equal. Long texts are grouped, joined and shuffled by
+    this 64-character digest, so that a text itself only travels where the result holds it."""
+    return F.sha2(text, 256)

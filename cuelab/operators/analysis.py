@@ -48,13 +48,18 @@ def judge_summary(df: DataFrame, by: Sequence[str] = ("model",)) -> DataFrame:
     return c.select(*by, "total_evaluated", "valid_responses", failures, *rates)
 
 
+def _score_sums(df: DataFrame, scores: Sequence[str], groups: Sequence[str], valid: Column) -> DataFrame:
+    """``__n`` valid rows and the sum of each score over them. A condition inside the sums rather
+    than a filter: scores parsed in the same plan would be parsed once more for the filter."""
+    sums = [F.sum(F.when(valid, F.col(s)).otherwise(0)).alias(f"__{s}") for s in scores]
+    return df.groupBy(*groups).agg(F.count_if(valid).alias("__n"), *sums).filter(F.col("__n") > 0)
+
+
 def judge_per_combination(df: DataFrame, by: Sequence[str] = ("model",)) -> DataFrame:
     """Mean of each score over readable rows, per exact ``biases`` cell."""
-    valid = df.filter((F.col("trigger_removed") != PARSE_FAILURE) & F.col("biases").isNotNull())
-    c = valid.groupBy(*by, "biases").agg(
-        F.count(F.lit(1)).alias("rows"), *[F.sum(s).alias(f"__{s}") for s in JUDGE_SCORES]
-    )
-    return c.select(*by, "biases", *[ratio(F.col(f"__{s}"), F.col("rows")).alias(s) for s in JUDGE_SCORES])
+    valid = F.col("trigger_removed") != PARSE_FAILURE
+    c = _score_sums(df.filter(F.col("biases").isNotNull()), JUDGE_SCORES, [*by, "biases"], valid)
+    return c.select(*by, "biases", *[ratio(F.col(f"__{s}"), F.col("__n")).alias(s) for s in JUDGE_SCORES])
 
 
 def removal_by_cue(
@@ -71,11 +76,10 @@ def removal_by_cue(
     """
     if failures not in ("exclude", "include"):
         raise ValueError("failures must be exclude or include")
+    counted = F.col("trigger_removed").isNotNull()
     if failures == "exclude":
-        df = df.filter(F.col("trigger_removed") != PARSE_FAILURE)
-    cells = df.groupBy(*by, "biases").agg(
-        F.count(F.lit(1)).alias("__n"), *[F.sum(s).alias(f"__{s}") for s in scores]
-    )
+        counted = F.col("trigger_removed") != PARSE_FAILURE
+    cells = _score_sums(df, scores, [*by, "biases"], counted)
     subset = F.when(F.col("biases") == F.col("bias_type"), "Single").when(
         F.contains("biases", "bias_type") & F.contains(F.col("biases"), F.lit(",")), "Pairwise"
     )

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cuelab.fixed_values import CLEAN_CONDITIONS, NONE
-from cuelab.functions.text import shuffle_key
+from cuelab.functions.text import shuffle_key, text_key
 
 DATASET_COLUMNS = ["example_id", "original_sentence", "biased_sentence", "label", "biases"]
 
@@ -106,7 +106,8 @@ def stratified_sample(
     rank = F.row_number().over(Window.partitionBy(by, "__slice").orderBy("__s", key))
     k, o = keyed.withColumn("__r", rank).alias("k"), offsets.filter(F.col("__offset") < n).alias("o")
     cond = F.col(f"k.{by}").eqNullSafe(F.col(f"o.{by}")) & (F.col("k.__slice") == F.col("o.__slice"))
-    taken = k.join(o, cond).filter(F.col("o.__offset") + F.col("k.__r") <= n)
+    # Both sides are partitioned alike already; the rows must not be broadcast by a wrong estimate.
+    taken = k.join(o.hint("merge"), cond).filter(F.col("o.__offset") + F.col("k.__r") <= n)
     return taken.select(*[F.col(f"k.{c}") for c in df.columns])
 
 
@@ -122,9 +123,7 @@ def keep_last(df: DataFrame, keys: Sequence[str | Column], order: Sequence[str])
     The filter on the rank lets every task drop all but its own last row per key before the
     shuffle, so a key with many copies travels as one row per task.
     """
-    key_cols = [F.col(k) if isinstance(k, str) else k for k in keys]
-    # The hash leads, so that long text keys are compared only where it is equal.
-    w = Window.partitionBy(F.xxhash64(*key_cols), *key_cols).orderBy(*[F.col(c).desc() for c in order])
+    w = Window.partitionBy(*keys).orderBy(*[F.col(c).desc() for c in order])
     return df.withColumn("__r", F.row_number().over(w)).filter(F.col("__r") == 1).drop("__r")
 
 
@@ -135,4 +134,4 @@ def keep_last_predictions(df: DataFrame, order: Sequence[str] = ("seq",)) -> Dat
         F.col("biased_sentence")
     )
     keys = [c for c in ("model", "condition") if c in df.columns]
-    return keep_last(df, [*keys, text], order)
+    return keep_last(df.withColumn("__text", text_key(text)), [*keys, "__text"], order).drop("__text")

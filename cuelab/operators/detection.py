@@ -6,7 +6,7 @@ They take the detections of any number of models: ``biases`` as a comma-joined c
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
@@ -21,21 +21,27 @@ from cuelab.plans.conditions import is_clean
 _MODEL = ("model",)
 
 
-def _cell(df: DataFrame, name: str) -> Column:
-    is_list = df.schema[name].dataType.typeName() == "array"
-    return join_labels(F.col(name)) if is_list else F.col(name)
+def _cells(df: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Number of rows per group and pair of cells. Cells take few values, so they are counted
+    first and parsed afterwards."""
+    is_list = df.schema["predicted_biases"].dataType.typeName() == "array"
+    counted = df.groupBy(*by, "biases", "predicted_biases").agg(F.count(F.lit(1)).alias("n"))
+    return counted.withColumn("predicted_biases", join_labels(F.col("predicted_biases"))) if is_list else counted
+
+
+def _contingency(
+    df: DataFrame, read: Callable[[Column], Column], classes: Sequence[str], by: Sequence[str]
+) -> DataFrame:
+    gold, pred = read(F.col("biases")), read(F.col("predicted_biases"))
+    return M.label_contingency(_cells(df, by), gold, pred, classes, by, weight="n")
 
 
 def _all_classes(df: DataFrame, by: Sequence[str]) -> DataFrame:
-    gold, pred = label_set(_cell(df, "biases")), label_set(_cell(df, "predicted_biases"))
-    return M.label_contingency(df, gold, pred, CUE_CLASSES, by)
+    return _contingency(df, label_set, CUE_CLASSES, by)
 
 
 def _cues_only(df: DataFrame, by: Sequence[str]) -> DataFrame:
-    rows = df.filter(~is_clean(F.col("biases")))
-    gold = label_set_without_none(_cell(df, "biases"))
-    pred = label_set_without_none(_cell(df, "predicted_biases"))
-    return M.label_contingency(rows, gold, pred, CUES, by)
+    return _contingency(df.filter(~is_clean(F.col("biases"))), label_set_without_none, CUES, by)
 
 
 def detection_report(df: DataFrame, by: Sequence[str] = _MODEL) -> DataFrame:
@@ -64,7 +70,7 @@ def pair_f1(df: DataFrame, by: Sequence[str] = _MODEL) -> DataFrame:
 
 def none_class(df: DataFrame, by: Sequence[str] = _MODEL) -> DataFrame:
     """Precision, recall and F1 of the answer ``none``, by equality of the whole cell."""
-    return M.class_vs_rest(df, _cell(df, "biases"), _cell(df, "predicted_biases"), NONE, by)
+    return M.class_vs_rest(_cells(df, by), F.col("biases"), F.col("predicted_biases"), NONE, by, weight="n")
 
 
 def prompt_sensitivity(
@@ -72,8 +78,7 @@ def prompt_sensitivity(
 ) -> DataFrame:
     """Macro-F1 over the cues per prompt variant, one column per variant. Labels are compared
     with case and unknown ones ignored."""
-    rows = df.filter(~is_clean(F.col("biases")))
-    gold, pred = known_labels(_cell(df, "biases")), known_labels(_cell(df, "predicted_biases"))
     groups = [*by, variant_col]
-    scores = M.macro_f1(M.label_contingency(rows, gold, pred, CUES, groups), CUES, groups)
+    rows = df.filter(~is_clean(F.col("biases")))
+    scores = M.macro_f1(_contingency(rows, known_labels, CUES, groups), CUES, groups)
     return pivot(scores, by, variant_col, variants, ["macro_f1"])

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from itertools import groupby
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cuelab.fixed_values import (
@@ -48,6 +49,23 @@ FRAMING = Step("framing", tuple(FRAMING_OPTIONS), tuple(tuple(o) for o in FRAMIN
 ALL_STEPS = (AUTHORITY, HERDING, OVERCONFIDENCE, FRAMING)
 
 
+def _first_found(low: Column, finds: Sequence[str]) -> Column:
+    """Position in the list of the first find that occurs in a lower-case text, or NULL.
+
+    Neighbours in the list with the same last word are looked for only where that word occurs:
+    for the 88 authority phrases a text without any of the institutions takes 11 scans.
+    """
+    parts = []
+    for word, group in groupby(enumerate(f.lower() for f in finds), key=lambda f: f[1].rsplit(" ", 1)[-1]):
+        group = list(group)
+        which = None
+        for i, find in group:
+            found = F.contains(low, F.lit(find))
+            which = F.when(found, F.lit(i)) if which is None else which.when(found, F.lit(i))
+        parts.append(F.when(F.contains(low, F.lit(word)), which) if len(group) > 1 else which)
+    return F.coalesce(*parts)
+
+
 def diversify(
     df: DataFrame,
     steps: Sequence[Step] = ALL_STEPS,
@@ -62,20 +80,15 @@ def diversify(
     In each step, with the given probability, the first find *of the list* that occurs in the
     text has its first occurrence replaced by a random option of its own; case is ignored. The
     draws depend on the key, the seed and the step, not on the order of rows. A map-only
-    operation: one scan of the text per find, no shuffle.
+    operation without a shuffle.
     """
     columns = df.columns
     for s in steps:
         text = F.col(text_col)
-        df = df.withColumn("__low", F.lower(text))
         # Kept in a projection of its own: the lower-case text is made once, not once per find.
-        low = F.col("__low")
-        which = None
-        for i, find in enumerate(s.finds):
-            found = F.contains(low, F.lit(find.lower()))
-            which = F.when(found, F.lit(i)) if which is None else which.when(found, F.lit(i))
         drawn = keyed_draw(F.col(key_col), seed, s.name) <= int(probability * 2**32)
-        df = df.withColumn("__which", F.when(drawn if probability > 0 else F.lit(False), which))
+        df = df.withColumn("__low", F.when(drawn if probability > 0 else F.lit(False), F.lower(text)))
+        df = df.withColumn("__which", _first_found(F.col("__low"), s.finds))
 
         choice = keyed_draw(F.col(key_col), seed, s.name, part=1)
         finds = F.array(*[F.lit(f) for f in s.finds])

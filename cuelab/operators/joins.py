@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cuelab.functions.text import text_key
 from cuelab.operators.skew import salted_join
 
 
@@ -16,8 +17,12 @@ def attach(
     value_cols: Sequence[str],
     keys: Sequence[str] = ("model", "example_id"),
 ) -> DataFrame:
-    """Left join on the identity of an example: one result row per example and model at most."""
-    return examples.join(results.select(*keys, *value_cols), list(keys), "left")
+    """Left join on the identity of an example: one result row per example and model at most.
+
+    Both sides grow with the data and the size estimates miss the growth by explode, so a
+    broadcast is ruled out here and in the other joins of stage tables.
+    """
+    return examples.join(results.select(*keys, *value_cols).hint("merge"), list(keys), "left")
 
 
 def attach_by_text(
@@ -35,37 +40,45 @@ def attach_by_text(
     same multiset comes out in a size that copies cannot blow up. Unmatched examples have
     ``n_copies`` 1, as a left join keeps them once.
     """
-    on = [*keys, text_col]
-    # Group by the hash first: most rows differ there, so long texts are seldom compared.
+    by = [*keys, "__text"]
+    key = text_key(F.col(text_col))
     distinct = (
-        results.groupBy(F.xxhash64(*on).alias("__k"), *on, *value_cols)
+        results.select(*keys, key.alias("__text"), *value_cols)
+        .groupBy(*by, *value_cols)
         .agg(F.count(F.lit(1)).alias("n_copies"))
-        .drop("__k")
     )
-    out = salted_join(examples, distinct, on, row_id=row_id)
+    out = salted_join(examples.withColumn("__text", key), distinct, by, row_id=row_id).drop("__text")
     return out.withColumn("n_copies", F.coalesce("n_copies", F.lit(1)))
 
 
 def remaining(
+    todo: DataFrame, done: DataFrame, keys: Sequence[str] = ("model", "condition", "example_id")
+) -> DataFrame:
+    """Rows whose key is not among the finished ones. Missing key cells match each other. The key
+    should identify a row; for texts there is ``remaining_by_text``."""
+    finished = done.select(*keys).dropDuplicates(list(keys)).hint("merge").alias("d")
+    t = todo.alias("t")
+    cond = F.lit(True)
+    for k in keys:
+        cond = cond & F.col(f"t.{k}").eqNullSafe(F.col(f"d.{k}"))
+    return t.join(finished, cond, "left_anti")
+
+
+def remaining_by_text(
     todo: DataFrame,
     done: DataFrame,
-    keys: Sequence[str] = ("model", "condition", "example_id"),
-    row_id: str | None = None,
+    text_col: str,
+    keys: Sequence[str] = ("model", "condition"),
+    row_id: str = "example_id",
 ) -> DataFrame:
-    """Rows whose key is not among the finished ones. Missing key cells match each other.
+    """Rows whose text is not among the finished ones, for results that carry no example id.
 
-    Keys with an example id are unique and join directly. For text keys name ``row_id``: copies
-    of one text are then spread out.
+    Copies of one text are reduced to one on the finished side and spread out on the other.
     """
-    keys = list(keys)
-    finished = done.select(*keys).dropDuplicates(keys)
-    if row_id is not None:
-        return salted_join(todo, finished, keys, "left_anti", row_id=row_id)
-    t, d = todo.alias("t"), finished.alias("d")
-    cond = F.lit(True)
-    for k in keys:
-        cond = cond & F.col(f"t.{k}").eqNullSafe(F.col(f"d.{k}"))
-    return t.join(d, cond, "left_anti")
+    by = [*keys, "__text"]
+    key = text_key(F.col(text_col))
+    finished = done.select(*keys, key.alias("__text")).dropDuplicates(by)
+    return salted_join(todo.withColumn("__text", key), finished, by, "left_anti", row_id=row_id).drop("__text")
 
 
 def reindex(result: DataFrame, col: str, wanted: Sequence[str]) -> DataFrame:
@@ -75,4 +88,4 @@ def reindex(result: DataFrame, col: str, wanted: Sequence[str]) -> DataFrame:
     """
     spark = result.sparkSession
     names = spark.createDataFrame(list(enumerate(wanted)), f"{col}_ord int, {col} string")
-    return names.join(result.filter(F.col(col).isin(list(wanted))), col, "left").orderBy(f"{col}_ord")
+    return names.join(result.hint("merge").filter(F.col(col).isin(list(wanted))), col, "left").orderBy(f"{col}_ord")

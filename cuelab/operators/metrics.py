@@ -41,20 +41,23 @@ def label_contingency(
     pred: Column,
     classes: Sequence[str] = CUE_CLASSES,
     by: Sequence[str] = ("model",),
+    weight: str | None = None,
 ) -> DataFrame:
     """Counts per group of (gold set, predicted set), the sets as bit masks over ``classes``.
 
-    ``gold_size`` is the number of gold labels, those outside ``classes`` included.
+    ``gold_size`` is the number of gold labels, those outside ``classes`` included. Rows that
+    stand for several name their number in ``weight``.
     """
     return (
         df.select(
             *by,
+            (F.col(weight) if weight else F.lit(1).cast("bigint")).alias("__w"),
             F.size(gold).alias("gold_size"),
             label_mask(gold, classes).alias("gold"),
             label_mask(pred, classes).alias("pred"),
         )
         .groupBy(*by, "gold_size", "gold", "pred")
-        .agg(F.count(F.lit(1)).alias("n"))
+        .agg(F.sum("__w").alias("n"))
     )
 
 
@@ -175,12 +178,22 @@ def pair_f1(
     return c.select(*by, "combination", score.alias("macro_f1"), "rows")
 
 
-def class_vs_rest(df: DataFrame, gold: Column, pred: Column, value: str = NONE, by: Sequence[str] = ("model",)) -> DataFrame:
+def class_vs_rest(
+    df: DataFrame,
+    gold: Column,
+    pred: Column,
+    value: str = NONE,
+    by: Sequence[str] = ("model",),
+    weight: str | None = None,
+) -> DataFrame:
     """Precision, recall and F1 of one value by exact equality; missing cells differ from it."""
     g, p = gold.eqNullSafe(F.lit(value)), pred.eqNullSafe(F.lit(value))
-    c = df.groupBy(*by).agg(
-        F.count_if(g & p).alias("tp"), F.count_if(p).alias("pp"), F.count_if(g).alias("sup")
-    )
+    w = F.col(weight) if weight else F.lit(1).cast("bigint")
+
+    def count(cond: Column, name: str) -> Column:
+        return F.sum(F.when(cond, w).otherwise(0)).alias(name)
+
+    c = df.groupBy(*by).agg(count(g & p, "tp"), count(p, "pp"), count(g, "sup"))
     return c.select(
         *by,
         ratio(F.col("tp"), F.col("pp")).alias("precision"),

@@ -34,7 +34,8 @@ def salted_join(
 
     The most frequent left keys are spread over ``salts`` partitions by ``row_id``, and only
     their right rows are copied. The list of hot keys has at most ``hot`` entries of 9 bytes,
-    which is why it may be broadcast. ``how`` is ``left``, ``inner``, ``left_semi`` or
+    which is why it may be broadcast; neither side is, whatever its estimated size. The left side
+    is read twice, so it should come from files. ``how`` is ``left``, ``inner``, ``left_semi`` or
     ``left_anti``.
     """
     on = list(on)
@@ -55,7 +56,8 @@ def salted_join(
     cond = (F.col("l.__h") == F.col("r.__h")) & (F.col("l.__salt") == F.col("r.__salt"))
     for c in on:
         cond = cond & F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}"))
-    joined = ls.join(rs, cond, how)
+    # Estimates miss the growth by explode, so the choice is not left to them.
+    joined = ls.join(rs.hint("merge"), cond, how)
     out = [F.col(f"l.{c}") for c in left_cols]
     if how not in ("left_semi", "left_anti"):
         out += [F.col(f"r.{c}") for c in right_cols]

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from cuelab.fixed_values import FRAMING_OPTIONS, HERDING_FINDS, OVERCONFIDENCE_FINDS
 from cuelab.functions.judge import parse_judge
-from cuelab.functions.labels import join_labels, parse_predictions
+from cuelab.functions.labels import parse_predictions, prediction_cell
 from cuelab.functions.sentiment import parse_with
 from cuelab.operators.dataset import example_id
 from cuelab.operators.diversify import AUTHORITY
@@ -121,20 +121,22 @@ def _per_model(rule) -> Column:
     return out
 
 
-def detections(spark: SparkSession, sf: str) -> DataFrame:
+def _raw_detections(spark: SparkSession, sf: str) -> DataFrame:
     sid, ord_ = F.col("sentence_id"), F.col("plan_ord")
     right = _per_model(lambda a, b, bar: F.pmod(sid * a + ord_ * b, F.lit(10)) < bar)
     raw = F.when(right, F.upper("biases")).otherwise(pick(CANNED_LABELS, sid * 7 + ord_ * 5))
-    return (
-        expand_models(dataset(spark, sf), list(MODELS))
-        .withColumn("raw_model_response", raw)
-        .withColumn("predicted_biases", parse_predictions(F.col("raw_model_response")))
+    return expand_models(dataset(spark, sf), list(MODELS)).withColumn("raw_model_response", raw)
+
+
+def detections(spark: SparkSession, sf: str) -> DataFrame:
+    return _raw_detections(spark, sf).withColumn(
+        "predicted_biases", parse_predictions(F.col("raw_model_response"))
     )
 
 
 def detection_cells(spark: SparkSession, sf: str) -> DataFrame:
     """Detections as a stage hands them on: predicted labels as one comma-joined cell."""
-    return detections(spark, sf).withColumn("predicted_biases", join_labels(F.col("predicted_biases")))
+    return _raw_detections(spark, sf).withColumn("predicted_biases", prediction_cell(F.col("raw_model_response")))
 
 
 def rewrites(spark: SparkSession, sf: str) -> DataFrame:

@@ -1172,7 +1172,7 @@ def resume_by_text(spark, sf):
     text = F.when(col("condition").isin(CLEAN_CONDITIONS), col("original_sentence")).otherwise(col("biased_sentence"))
     text = F.when(col("biases") != "framing", text)
     p = R.predictions(spark, sf).select("model", "condition", "example_id", "predicted_sentiment", text.alias("text"))
-    left = N.remaining(p, _done(p), ["model", "condition", "text"], row_id="example_id")
+    left = N.remaining_by_text(p, _done(p), "text")
     return left.select("model", "condition", "example_id")
 
 
