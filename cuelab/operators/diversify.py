@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from dataclasses import dataclass
 from itertools import groupby
@@ -91,8 +92,8 @@ def diversify(
         df = df.withColumn("__which", _first_found(F.col("__low"), s.finds))
 
         choice = keyed_draw(F.col(key_col), seed, s.name, part=1)
-        finds = F.array(*[F.lit(f) for f in s.finds])
-        find = F.element_at(finds, F.col("__which") + 1)
+        patterns = F.array(*[F.lit(rf"(?ius){re.escape(f)}(.*)\z") for f in s.finds])
+        pattern = F.element_at(patterns, F.col("__which") + 1)
         if len(set(s.options)) == 1:
             options = F.array(*[F.lit(o) for o in s.options[0]])
         else:
@@ -100,14 +101,10 @@ def diversify(
                 F.array(*[F.array(*[F.lit(o) for o in opts]) for opts in s.options]), F.col("__which") + 1
             )
         option = F.element_at(options, (choice % F.size(options) + 1).cast("int"))
-        # The lazy head keeps everything before the first occurrence, so only that one is replaced.
+        # The match takes the rest of the text along, so only the first occurrence is replaced.
         # Slashes and dollars of an option are escaped to stand for themselves.
         safe = F.regexp_replace(option, r"([\\$])", r"\\$1")
-        replaced = F.regexp_replace(
-            text,
-            F.concat(F.lit(r"(?ius)\A(.*?)\Q"), find, F.lit(r"\E")),
-            F.concat(F.lit("$1"), safe),
-        )
+        replaced = F.regexp_replace(text, pattern, F.concat(safe, F.lit("$1")))
         df = df.withColumn(text_col, F.when(F.col("__which").isNotNull(), replaced).otherwise(text))
         df = df.select(*columns)
     return df

@@ -789,7 +789,7 @@ def stratified_sample_large(spark, sf):
     "dedup_keep_last",
     Q.using(
         "predictions",
-        f"""SELECT model, condition, example_id, seq, parsed_sentiment, md5(biased_sentence) AS biased_sentence FROM predictions
+        f"""SELECT model, condition, example_id, seq, parsed_sentiment FROM predictions
             QUALIFY row_number() OVER (PARTITION BY model, condition, CASE WHEN condition IN
             ({', '.join(Q.s(c) for c in CLEAN_CONDITIONS)}) THEN original_sentence ELSE biased_sentence END
             ORDER BY seq DESC) = 1""",
@@ -797,7 +797,7 @@ def stratified_sample_large(spark, sf):
 )
 def dedup_keep_last(spark, sf):
     kept = D.keep_last_predictions(R.predictions(spark, sf))
-    return kept.select("model", "condition", "example_id", "seq", "parsed_sentiment", *digest("biased_sentence"))
+    return kept.select("model", "condition", "example_id", "seq", "parsed_sentiment")
 
 
 # --- diversification ---------------------------------------------------------------

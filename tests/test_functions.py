@@ -1,0 +1,155 @@
+"""Case tables: expected values worked out by hand."""
+
+import pytest
+from pyspark.sql import functions as F
+
+from cuelab.functions import labels as L
+from cuelab.functions import sentiment as S
+from cuelab.functions import text as X
+from cuelab.functions.judge import parse_judge
+
+
+def apply(spark, fn, cases):
+    rows = [(i, c) for i, c in enumerate(cases)]
+    df = spark.createDataFrame(rows, "i int, t string").withColumn("out", fn(F.col("t")))
+    return [r["out"] for r in df.orderBy("i").collect()]
+
+
+PREDICTIONS = [
+    ("anchoring, recency", ["anchoring", "recency"]),
+    ("Recency and ANCHORING", ["anchoring", "recency"]),
+    ("none", ["none"]),
+    ("", ["none"]),
+    (None, ["none"]),
+    ("N/A", ["none"]),
+    ("unsure", ["none"]),
+    ("none, but framing", ["framing"]),
+    ("no anchoring", ["anchoring"]),
+    ("reframing", ["framing"]),
+]
+
+
+def test_predictions(spark):
+    assert apply(spark, L.parse_predictions, [t for t, _ in PREDICTIONS]) == [w for _, w in PREDICTIONS]
+    assert apply(spark, L.prediction_cell, [t for t, _ in PREDICTIONS]) == [",".join(w) for _, w in PREDICTIONS]
+
+
+GOLD = [
+    (None, ["none"]),
+    ("", ["none"]),
+    ("  ", ["none"]),
+    (" None ", ["none"]),
+    (" Framing , herding,,", ["framing", "herding"]),
+    ("foo", ["foo"]),
+    (",", []),
+    (" herding　,recency\t", ["herding", "recency"]),
+]
+
+
+def test_gold(spark):
+    assert apply(spark, L.parse_gold, [t for t, _ in GOLD]) == [w for _, w in GOLD]
+
+
+def test_label_sets(spark):
+    cases = ["herding,herding,none", None, "none", "Framing,foo", " recency , recency"]
+    assert apply(spark, L.label_set, cases) == [["herding", "none"], ["none"], ["none"], ["framing", "foo"], ["recency"]]
+    assert apply(spark, L.label_set_without_none, cases) == [["herding"], [], [], ["framing", "foo"], ["recency"]]
+    assert apply(spark, L.known_labels, cases) == [["herding"], [], [], [], ["recency"]]
+
+
+def test_pair_key(spark):
+    assert apply(spark, lambda t: L.pair_key(F.split(t, ",")), ["herding,authority", "authority,herding"]) == [
+        "authority,herding",
+        "authority,herding",
+    ]
+
+
+SENTIMENT = [
+    ("Positive.", "positive", "positive", False),
+    ("negative, not positive", "positive", "positive", False),
+    ("Neutral to negative", "negative", "negative", False),
+    ("mixed", "neutral", "neutral", True),
+    ("", "neutral", "neutral", True),
+    (None, "neutral", "neutral", True),
+    ("Looks positive. FINAL ANSWER: negative", "positive", "negative", False),
+    ("final answer: negative ... Final Answer: neutral", "negative", "neutral", False),
+    ("positive tone. FINAL ANSWER: unclear", "positive", "positive", False),
+]
+
+
+def test_sentiment(spark):
+    texts = [c[0] for c in SENTIMENT]
+    assert apply(spark, S.parse_sentiment, texts) == [c[1] for c in SENTIMENT]
+    assert apply(spark, S.parse_sentiment_cot, texts) == [c[2] for c in SENTIMENT]
+    assert apply(spark, S.format_failure, texts) == [c[3] for c in SENTIMENT]
+
+
+OBJECT = '{"trigger_removed":1,"facts_preserved":0,"natural_language":1}'
+FAILED = (-1, -1, -1)
+JUDGE = [
+    (OBJECT, (1, 0, 1)),
+    (f"```json\n{OBJECT}\n```", (1, 0, 1)),
+    (f"```\n{OBJECT}```", (1, 0, 1)),
+    (f"  \n{OBJECT} ", (1, 0, 1)),
+    (f"```JSON\n{OBJECT}\n```", FAILED),
+    ('{"facts_preserved":1}', (0, 1, 0)),
+    ("{}", (0, 0, 0)),
+    ('{"trigger_removed":true,"facts_preserved":"1","natural_language":0.9}', (1, 1, 0)),
+    ('{"trigger_removed":" 1 "}', (1, 0, 0)),
+    ('{"trigger_removed":null}', FAILED),
+    ('{"trigger_removed":"yes"}', FAILED),
+    ('{"trigger_removed":"0.9"}', FAILED),
+    ('{"trigger_removed":2}', (2, 0, 0)),
+    ('{"trigger_removed":1} extra', FAILED),
+    ("junk", FAILED),
+    ("", FAILED),
+    (None, FAILED),
+    ("[1]", FAILED),
+    ("1", FAILED),
+]
+
+
+@pytest.mark.parametrize("text,want", JUDGE)
+def test_judge(spark, text, want):
+    assert tuple(apply(spark, parse_judge, [text])[0]) == want
+
+
+def test_strip_is_pythons(spark):
+    spaces = [chr(c) for c in range(0x3100) if chr(c).isspace()]
+    others = [chr(c) for c in range(1, 0x3100) if not chr(c).isspace() and not 0xD800 <= c <= 0xDFFF]
+    cases = [f"{c}a {c} b{c}" for c in spaces] + [f"{c}x{c}" for c in others] + ["", " \t\n", "a"]
+    assert apply(spark, X.strip, cases) == [c.strip() for c in cases]
+
+
+def test_nonprintable(spark):
+    cases = ["a\nb", "a\tb", "a b", "a b​c﻿d", "é€😀"]
+    assert apply(spark, X.strip_nonprintable, cases) == ["ab", "ab", "a b", "abcd", "é€😀"]
+    # Every assigned character of the older Unicode tables, one by one.
+    import unicodedata
+
+    chars = [c for c in map(chr, range(0x3100)) if unicodedata.category(c) not in ("Cn", "Cs")]
+    chars = [c for c in chars if ord(c) not in (0x890, 0x891)]  # newer than the tables of this JVM
+    got = apply(spark, X.strip_nonprintable, chars)
+    assert [c for c, g in zip(chars, got) if g] == [c for c in chars if c.isprintable()]
+
+
+def test_clean_response(spark):
+    got = apply(spark, lambda t: X.clean_response(t, ["<end>", "stop"]), [" <end>a stop<end> \n", None])
+    assert got == ["a ", None]
+
+
+def test_missing(spark):
+    assert apply(spark, X.missing_to_null, ["None", "none", "", "N/A", "nan", "na", "x"]) == [
+        None, "none", None, None, None, "na", "x",
+    ]
+
+
+def test_draws(spark):
+    import hashlib
+
+    def want(key, part):
+        return int(hashlib.md5(f"42|p|{key}".encode()).hexdigest()[8 * part : 8 * part + 8], 16)
+
+    for part in range(4):
+        got = apply(spark, lambda t: X.keyed_draw(t, 42, "p", part), ["a", "b"])
+        assert got == [want("a", part), want("b", part)]
