@@ -129,6 +129,15 @@ def condition_accuracy(df: DataFrame, by: Sequence[str] = ("model", "condition")
     return accuracy(df, "label", "parsed_sentiment", by)
 
 
+def add_accuracy(
+    report: DataFrame, predictions: DataFrame, by: Sequence[str] = ("model", "condition")
+) -> DataFrame:
+    """A stored report with the accuracy of its group beside every row; a missing prediction
+    counts as wrong. Groups without predictions have none."""
+    scores = condition_accuracy(predictions, by).drop("rows")
+    return report.join(scores.hint("merge"), list(by), "left")
+
+
 def _in_pair() -> Column:
     return F.coalesce(F.contains(F.col("biases"), F.lit(",")), F.lit(False))
 
@@ -172,5 +181,5 @@ def pivot(
 
 
 def rounded(df: DataFrame, digits: int, cols: Sequence[str]) -> DataFrame:
-    """Round for display. Scores are kept unrounded until export."""
-    return df.withColumns({c: F.round(c, digits) for c in cols})
+    """Round for display, ties to the even digit. Scores are kept unrounded until export."""
+    return df.withColumns({c: F.bround(c, digits) for c in cols})

@@ -54,38 +54,39 @@ def shuffled(df: DataFrame, seed: int = 42, key: str = "example_id") -> DataFram
     return df.withColumn("__s", shuffle_key(F.col(key), seed)).orderBy("__s", key).drop("__s")
 
 
-def _sliced(df: DataFrame, seed: int, key: str, by: Sequence[str], digits: int) -> tuple[DataFrame, DataFrame]:
+def _sliced(df: DataFrame, seed: int, key: str, group: Column, digits: int) -> tuple[DataFrame, DataFrame]:
     """The rows with their hash ``__s`` and its leading digits ``__slice``, and the number of
-    rows before each slice (``__offset``), per group."""
+    rows before each slice (``__offset``), per group ``__g``.
+
+    The hash is uniform over rows, so slices are even however the groups are: with more rows take
+    more digits. A group has 16^digits slices at most.
+    """
     if not 1 <= digits <= 5:
         raise ValueError("digits must be 1 to 5")
-    keyed = df.withColumn("__s", shuffle_key(F.col(key), seed)).withColumn(
-        "__slice", F.substring("__s", 1, digits)
-    )
-    sizes = keyed.groupBy(*by, "__slice").agg(F.count(F.lit(1)).alias("__n"))
-    before = (
-        Window.partitionBy(*by).orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
-    )
+    keyed = df.withColumns({"__g": group, "__s": shuffle_key(F.col(key), seed)})
+    keyed = keyed.withColumn("__slice", F.substring("__s", 1, digits))
+    sizes = keyed.groupBy("__g", "__slice").agg(F.count(F.lit(1)).alias("__n"))
+    before = Window.partitionBy("__g").orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
     offset = F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__offset")
-    return keyed, sizes.select(*by, "__slice", offset)
+    return keyed, sizes.select("__g", "__slice", offset)
+
+
+def _rank_in_slice(key: str) -> Column:
+    return F.row_number().over(Window.partitionBy("__g", "__slice").orderBy("__s", key))
 
 
 def shuffle_position(
-    df: DataFrame, seed: int = 42, key: str = "example_id", digits: int = 3
+    df: DataFrame, seed: int = 42, key: str = "example_id", digits: int = 4
 ) -> DataFrame:
     """Add ``position``, the 0-based place of each row in the seeded order of ``shuffled``.
 
-    No global window over rows: they are ranked inside 16^digits slices of the hash, and the
-    sizes of the slices before give the offset. The hash is uniform over rows, so the slices are
-    even; take more digits for more rows. The table of slices has 16^digits rows at most, which
-    bounds what is broadcast.
+    No global window over rows: they are ranked inside slices of the hash, and the sizes of the
+    slices before give the offset. The offsets are broadcast: 16^digits rows at most.
     """
-    keyed, offsets = _sliced(df, seed, key, [], digits)
-    rank = F.row_number().over(Window.partitionBy("__slice").orderBy("__s", key))
-    return (
-        keyed.withColumn("__r", rank)
-        .join(F.broadcast(offsets), "__slice")
-        .select(*df.columns, (F.col("__offset") + F.col("__r") - 1).alias("position"))
+    keyed, offsets = _sliced(df, seed, key, F.lit(""), digits)
+    ranked = keyed.withColumn("__r", _rank_in_slice(key))
+    return ranked.join(F.broadcast(offsets), ["__g", "__slice"]).select(
+        *df.columns, (F.col("__offset") + F.col("__r") - 1).alias("position")
     )
 
 
@@ -96,19 +97,19 @@ def stratified_sample(
 
     A stratum is never pulled into one task. Up to 1000 rows per stratum Spark keeps only the
     first n of each before the shuffle. Beyond that the strata are cut in slices of the hash:
-    slices before the cut are taken whole, and rows are ranked inside single slices only.
+    slices behind the n-th row are left out, and rows are ranked inside single slices.
     """
     if n <= _GROUP_LIMIT:
         keyed = df.withColumn("__s", shuffle_key(F.col(key), seed))
         rank = F.row_number().over(Window.partitionBy(by).orderBy("__s", key))
         return keyed.withColumn("__r", rank).filter(F.col("__r") <= n).select(*df.columns)
-    keyed, offsets = _sliced(df, seed, key, [by], digits)
-    rank = F.row_number().over(Window.partitionBy(by, "__slice").orderBy("__s", key))
-    k, o = keyed.withColumn("__r", rank).alias("k"), offsets.filter(F.col("__offset") < n).alias("o")
-    cond = F.col(f"k.{by}").eqNullSafe(F.col(f"o.{by}")) & (F.col("k.__slice") == F.col("o.__slice"))
-    # Both sides are partitioned alike already; the rows must not be broadcast by a wrong estimate.
-    taken = k.join(o.hint("merge"), cond).filter(F.col("o.__offset") + F.col("k.__r") <= n)
-    return taken.select(*[F.col(f"k.{c}") for c in df.columns])
+    # One name per stratum that is never missing, so that plain equality joins them.
+    group = F.coalesce(F.concat(F.lit("="), F.col(by).cast("string")), F.lit(""))
+    keyed, offsets = _sliced(df, seed, key, group, digits)
+    # The join leaves the rows partitioned as the ranking needs them.
+    near = keyed.join(offsets.filter(F.col("__offset") < n).hint("merge"), ["__g", "__slice"])
+    ranked = near.withColumn("__r", _rank_in_slice(key))
+    return ranked.filter(F.col("__offset") + F.col("__r") <= n).select(*df.columns)
 
 
 def random_sample(df: DataFrame, n: int, key: Sequence[str], seed: int = 42) -> DataFrame:

@@ -56,7 +56,7 @@ def remaining(
 ) -> DataFrame:
     """Rows whose key is not among the finished ones. Missing key cells match each other. The key
     should identify a row; for texts there is ``remaining_by_text``."""
-    finished = done.select(*keys).dropDuplicates(list(keys)).hint("merge").alias("d")
+    finished = done.select(*keys).hint("merge").alias("d")
     t = todo.alias("t")
     cond = F.lit(True)
     for k in keys:

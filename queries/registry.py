@@ -457,13 +457,14 @@ _SENT_C, _SENT_SELECT = Q.class_report("predictions", "label", "parsed_sentiment
 
 @query("sentiment_report", Q.using("predictions", f"SELECT * EXCLUDE (accuracy) FROM ({_SENT_SELECT})", _SENT_C))
 def sentiment_report(spark, sf):
-    return report_with_accuracy(spark, sf).drop("accuracy")
+    by = ["model", "condition"]
+    c = M.class_contingency(R.predictions(spark, sf), "label", "parsed_sentiment", by)
+    return M.class_report(c, by=by).drop("accuracy")
 
 
 @query("report_with_accuracy", Q.using("predictions", _SENT_SELECT, _SENT_C))
 def report_with_accuracy(spark, sf):
-    by = ["model", "condition"]
-    return M.class_report(M.class_contingency(R.predictions(spark, sf), "label", "parsed_sentiment", by), by=by)
+    return A.add_accuracy(sentiment_report(spark, sf), R.predictions(spark, sf))
 
 
 _LABEL_C, _LABEL_SELECT = Q.class_report("gold", "quality", "toxic", "source", ["0", "1"])
@@ -1068,7 +1069,7 @@ def resume_conditions(spark, sf):
     picky = R.refusing(R.canned_backend(R.CANNED_SENTIMENTS), "the")
     once = replace(SENTIMENT, attempts=1, backoff_s=0.0)
     run_conditions(rows, picky, path, conditions=["2_no_defense", "4_cot_clean"], mode="replace", params=once, keep=keep)
-    run_conditions(rows, R.canned_backend(R.CANNED_SENTIMENTS), path, keep=keep)
+    run_conditions(rows, R.canned_backend(R.CANNED_SENTIMENTS), path, one_by_one=False, keep=keep)
     return latest_predictions(spark, path).select(
         "model", "condition", "example_id", "predicted_sentiment", "parsed_sentiment"
     )
@@ -1236,7 +1237,8 @@ def parse_last_at(spark, sf):
 )
 def scan_models(spark, sf):
     path = fresh_path(spark, "models")
-    files.write_table(R.detection_cells(spark, sf).select("model", "example_id", "predicted_biases"), path)
+    d = R.detection_cells(spark, sf).select("model", "example_id", "predicted_biases")
+    files.write_table(d, path, rebalance=True)
     found = files.scan_models(spark, path, models=["model_a", "model_c", "model_x"])
     return found.select("model", "example_id", "predicted_biases")
 

@@ -1,4 +1,5 @@
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -114,6 +115,13 @@ def test_shuffle_position_is_a_permutation(spark):
     assert values(out) == values(D.shuffle_position(df.repartition(8), digits=1))
 
 
+def test_large_sample_moves_rows_once(spark):
+    plan = plan_of(D.stratified_sample(strata(spark), "label", 1500))
+    moves = re.findall(r"Exchange hashpartitioning\(__g#\d+, __slice#\d+,", plan[: plan.index("HashAggregate")])
+    assert len(moves) == 2  # one per side of the join, none for the ranking
+    assert "Broadcast" not in plan
+
+
 def strata(spark):
     rng = random.Random(1)
     rows = [(i, rng.choice(["a"] * 8 + ["b"])) for i in range(9000)]
@@ -128,6 +136,7 @@ def test_stratified_sample(spark, n):
     got = {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}
     assert got == {label: min(n, size) for label, size in sizes.items()}
     assert sample.dropDuplicates(["sentence_id"]).count() == sample.count()
+    assert D.stratified_sample(df.withColumn("label", F.nullif("label", F.lit("b"))), "label", n).count() == sample.count()
     # A larger sample contains a smaller one, whichever way it is drawn.
     small = {r[0] for r in D.stratified_sample(df, "label", 5).select("sentence_id").collect()}
     if n >= 5:

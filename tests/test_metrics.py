@@ -248,3 +248,15 @@ def test_cot_failures_and_pivot(spark):
 def test_null_rate(spark):
     df = spark.createDataFrame([("m", None), ("m", "a"), ("m", "b"), ("m", None)], "model string, x string")
     assert values(A.null_rate(df, "x")) == [("m", 4, 2, 50.0)]
+
+
+def test_add_accuracy(spark):
+    rows = [("m", "c", "positive", "positive"), ("m", "c", "neutral", None)]
+    df = spark.createDataFrame(rows, "model string, condition string, label string, parsed_sentiment string")
+    report = spark.createDataFrame([("m", "c", "x"), ("m", "d", "x")], "model string, condition string, class string")
+    assert values(A.add_accuracy(report, df)) == [("m", "c", "x", 0.5), ("m", "d", "x", None)]
+
+
+def test_rounding(spark):
+    df = spark.createDataFrame([(0.0625,), (0.6666,)], "x double")
+    assert values(A.rounded(df, 3, ["x"])) == [(0.062,), (0.667,)]
