@@ -183,3 +183,13 @@ def pivot(
 def rounded(df: DataFrame, digits: int, cols: Sequence[str]) -> DataFrame:
     """Round for display, ties to the even digit. Scores are kept unrounded until export."""
     return df.withColumns({c: F.bround(c, digits) for c in cols})
+
+
+def report_layout(report: DataFrame) -> DataFrame:
+    """A report as the usual Python one looks on file: its groups, then one row per class under
+    the names ``precision, recall, f1-score, support``, in order."""
+    scores = ["class", "precision", "recall", "f1", "support"]
+    groups = [c for c in report.columns if c not in scores and c not in ("class_ord", "accuracy")]
+    rest = [c for c in ("accuracy",) if c in report.columns]
+    ordered = report.orderBy(*groups, "class_ord").select(*groups, *scores, *rest)
+    return ordered.withColumnRenamed("f1", "f1-score")

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cuelab.fixed_values import CLEAN_CONDITIONS, NONE
+from cuelab.fixed_values import ALL_CONDITIONS, CLEAN_CONDITIONS, NONE
 from cuelab.functions.text import shuffle_key, text_key
 
 DATASET_COLUMNS = ["example_id", "original_sentence", "biased_sentence", "label", "biases"]
@@ -130,7 +130,8 @@ def keep_last(df: DataFrame, keys: Sequence[str | Column], order: Sequence[str])
 
 def keep_last_predictions(df: DataFrame, order: Sequence[str] = ("seq",)) -> DataFrame:
     """One prediction per model, condition and text: the original text for clean conditions,
-    the biased text for the others."""
+    the biased text for the others. Rows of unknown conditions are left out."""
+    df = df.filter(F.col("condition").isin(ALL_CONDITIONS))
     text = F.when(F.col("condition").isin(CLEAN_CONDITIONS), F.col("original_sentence")).otherwise(
         F.col("biased_sentence")
     )

@@ -260,3 +260,14 @@ def test_add_accuracy(spark):
 def test_rounding(spark):
     df = spark.createDataFrame([(0.0625,), (0.6666,)], "x double")
     assert values(A.rounded(df, 3, ["x"])) == [(0.062,), (0.667,)]
+
+
+def test_report_layout(spark):
+    rows = [("m", "c", "positive", "positive"), ("m", "c", "neutral", "negative")]
+    df = spark.createDataFrame(rows, "model string, condition string, label string, parsed string")
+    by = ["model", "condition"]
+    out = A.report_layout(M.class_report(M.class_contingency(df, "label", "parsed", by), by=by))
+    assert out.columns == ["model", "condition", "class", "precision", "recall", "f1-score", "support", "accuracy"]
+    assert [r["class"] for r in out.collect()] == [
+        "positive", "neutral", "negative", "accuracy", "macro avg", "weighted avg",
+    ]
