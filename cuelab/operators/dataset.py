@@ -39,6 +39,17 @@ def clean_rows(base: DataFrame, text_col: str = "sentence", id_col: str = "sente
     )
 
 
+def with_text_keys(examples: DataFrame) -> DataFrame:
+    """Add ``original_key`` and ``biased_key``, digests of the two texts. Made once here, they go
+    through the stages in place of the texts, for the operators that group or join by text."""
+    return examples.withColumns(
+        {
+            "original_key": text_key(F.col("original_sentence")),
+            "biased_key": text_key(F.col("biased_sentence")),
+        }
+    )
+
+
 def union_all(parts: Sequence[DataFrame]) -> DataFrame:
     """Union by column name; columns that a part lacks become NULL."""
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
@@ -128,12 +139,16 @@ def keep_last(df: DataFrame, keys: Sequence[str | Column], order: Sequence[str])
     return df.withColumn("__r", F.row_number().over(w)).filter(F.col("__r") == 1).drop("__r")
 
 
-def keep_last_predictions(df: DataFrame, order: Sequence[str] = ("seq",)) -> DataFrame:
+def keep_last_predictions(
+    df: DataFrame,
+    order: Sequence[str] = ("seq",),
+    original: str = "original_sentence",
+    biased: str = "biased_sentence",
+) -> DataFrame:
     """One prediction per model, condition and text: the original text for clean conditions,
-    the biased text for the others. Rows of unknown conditions are left out."""
+    the biased text for the others. Rows of unknown conditions are left out. ``original`` and
+    ``biased`` may name the columns of ``with_text_keys`` as well."""
     df = df.filter(F.col("condition").isin(ALL_CONDITIONS))
-    text = F.when(F.col("condition").isin(CLEAN_CONDITIONS), F.col("original_sentence")).otherwise(
-        F.col("biased_sentence")
-    )
+    text = F.when(F.col("condition").isin(CLEAN_CONDITIONS), F.col(original)).otherwise(F.col(biased))
     keys = [c for c in ("model", "condition") if c in df.columns]
     return keep_last(df.withColumn("__text", text_key(text)), [*keys, "__text"], order).drop("__text")

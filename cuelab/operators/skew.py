@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 HOT_KEYS = 1000
@@ -20,6 +20,16 @@ def hot_keys(df: DataFrame, key: str, k: int = HOT_KEYS) -> DataFrame:
     return df.groupBy(key).count().orderBy(F.desc("count"), F.asc(key)).limit(k).select(key)
 
 
+def key_digest(columns: Sequence[str]) -> Column:
+    """One key of 64 characters for several columns: equal where they all are, missing cells
+    included. Each value is written with its length, so no two rows of cells look the same."""
+    parts = []
+    for c in columns:
+        text = F.col(c).cast("string")
+        parts.append(F.coalesce(F.concat(F.length(text), F.lit(":"), text), F.lit("-")))
+    return F.sha2(F.concat(*parts), 256)
+
+
 def salted_join(
     left: DataFrame,
     right: DataFrame,
@@ -40,25 +50,17 @@ def salted_join(
     """
     on = list(on)
     left_cols, right_cols = left.columns, [c for c in right.columns if c not in on]
-    lh = left.withColumn("__h", F.xxhash64(*on))
-    rh = right.withColumn("__h", F.xxhash64(*on))
+    keys = {"__k": key_digest(on), "__h": F.xxhash64(*on)}
+    lh, rh = left.withColumns(keys), right.select(*right_cols, *[v.alias(k) for k, v in keys.items()])
     hot_list = F.broadcast(hot_keys(lh.select("__h"), "__h", hot).withColumn("__hot", F.lit(True)))
 
     spread = F.pmod(F.xxhash64(row_id), F.lit(salts)).cast("int")
-    ls = lh.join(hot_list, "__h", "left").withColumn(
-        "__salt", F.when(F.col("__hot"), spread).otherwise(F.lit(0))
-    )
+    salt = F.when(F.col("__hot"), spread).otherwise(F.lit(0))
+    ls = lh.join(hot_list, "__h", "left").withColumn("__salt", salt).drop("__h", "__hot")
     copies = F.when(F.col("__hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-    rs = rh.join(hot_list, "__h", "left").withColumn("__salt", F.explode(copies))
+    rs = rh.join(hot_list, "__h", "left").withColumn("__salt", F.explode(copies)).drop("__h", "__hot")
 
-    ls = ls.select("__h", "__salt", *left_cols).alias("l")
-    rs = rs.select("__h", "__salt", *on, *right_cols).alias("r")
-    cond = (F.col("l.__h") == F.col("r.__h")) & (F.col("l.__salt") == F.col("r.__salt"))
-    for c in on:
-        cond = cond & F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}"))
     # Estimates miss the growth by explode, so the choice is not left to them.
-    joined = ls.join(rs.hint("merge"), cond, how)
-    out = [F.col(f"l.{c}") for c in left_cols]
-    if how not in ("left_semi", "left_anti"):
-        out += [F.col(f"r.{c}") for c in right_cols]
-    return joined.select(*out)
+    joined = ls.join(rs.hint("merge"), ["__k", "__salt"], how)
+    values = [] if how in ("left_semi", "left_anti") else right_cols
+    return joined.select(*left_cols, *values)

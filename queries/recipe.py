@@ -16,7 +16,7 @@ from cuelab.fixed_values import FRAMING_OPTIONS, HERDING_FINDS, OVERCONFIDENCE_F
 from cuelab.functions.judge import parse_judge
 from cuelab.functions.labels import parse_predictions, prediction_cell
 from cuelab.functions.sentiment import parse_with
-from cuelab.operators.dataset import example_id
+from cuelab.operators.dataset import example_id, with_text_keys
 from cuelab.operators.diversify import AUTHORITY
 from cuelab.plans.conditions import expand_conditions, sentiment_conditions
 from cuelab.plans.injection import bias_plan, expand_models, expand_plan
@@ -101,7 +101,7 @@ def dataset(spark: SparkSession, sf: str) -> DataFrame:
     parts = [F.col("sentence")]
     for stage in ("stage1", "stage2"):
         parts.append(F.coalesce(F.concat(F.lit(" "), _phrase(F.col(stage))), F.lit("")))
-    return plan_rows(spark, sf).select(
+    rows = plan_rows(spark, sf).select(
         "example_id",
         F.col("sentence").alias("original_sentence"),
         F.concat(*parts).alias("biased_sentence"),
@@ -110,6 +110,7 @@ def dataset(spark: SparkSession, sf: str) -> DataFrame:
         "sentence_id",
         "plan_ord",
     )
+    return with_text_keys(rows)
 
 
 def _per_model(rule) -> Column:

@@ -797,7 +797,7 @@ def stratified_sample_large(spark, sf):
     ),
 )
 def dedup_keep_last(spark, sf):
-    kept = D.keep_last_predictions(R.predictions(spark, sf))
+    kept = D.keep_last_predictions(R.predictions(spark, sf), original="original_key", biased="biased_key")
     return kept.select("model", "condition", "example_id", "seq", "parsed_sentiment")
 
 
@@ -1079,7 +1079,7 @@ def resume_conditions(spark, sf):
 
 
 def _ids(spark, sf):
-    return expand_models(R.dataset(spark, sf).select(*schemas.DATASET.names, "sentence_id"), list(R.MODELS))
+    return expand_models(R.dataset(spark, sf), list(R.MODELS))
 
 
 # Answers that a CSV file between the stages would lose are not there.
@@ -1120,9 +1120,9 @@ def attach_detections(spark, sf):
     ),
 )
 def attach_detections_by_text(spark, sf):
-    found = _found(R.detection_cells(spark, sf)).select("model", "biased_sentence", "predicted_biases")
-    examples = _ids(spark, sf).select("model", "example_id", "biased_sentence")
-    out = N.attach_by_text(examples, found, ["predicted_biases"], row_id="example_id")
+    found = _found(R.detection_cells(spark, sf)).select("model", "biased_key", "predicted_biases")
+    examples = _ids(spark, sf).select("model", "example_id", "biased_key")
+    out = N.attach_by_text(examples, found, ["predicted_biases"], "biased_key")
     return out.select("model", "example_id", "predicted_biases", "n_copies")
 
 
@@ -1141,7 +1141,7 @@ def attach_rewrites(spark, sf):
     texts = ["detected_bias_rewrite", "true_bias_rewrite"]
     found = _found(R.rewrites(spark, sf)).select("model", "biased_sentence", *texts)
     biased, _ = split_biased_clean(_ids(spark, sf))
-    out = N.attach_by_text(biased.select("model", "example_id", "biased_sentence"), found, texts, row_id="example_id")
+    out = N.attach_by_text(biased.select("model", "example_id", "biased_sentence"), found, texts)
     return out.select("model", "example_id", *digest(*texts), "n_copies")
 
 
@@ -1170,7 +1170,7 @@ def resume_anti_join(spark, sf):
 )
 def resume_by_text(spark, sf):
     # Some texts are missing: a missing text that is done covers the others.
-    text = F.when(col("condition").isin(CLEAN_CONDITIONS), col("original_sentence")).otherwise(col("biased_sentence"))
+    text = F.when(col("condition").isin(CLEAN_CONDITIONS), col("original_key")).otherwise(col("biased_key"))
     text = F.when(col("biases") != "framing", text)
     p = R.predictions(spark, sf).select("model", "condition", "example_id", "predicted_sentiment", text.alias("text"))
     left = N.remaining_by_text(p, _done(p), "text")
