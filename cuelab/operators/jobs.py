@@ -149,8 +149,10 @@ def condition_prompts(
     conditions: Sequence[Condition] | None = None,
     missing: str | None = None,
     done: DataFrame | None = None,
+    keep: Sequence[str] | None = None,
 ) -> DataFrame:
-    """The prompt table of the sentiment conditions, without the keys already ``done``."""
+    """The prompt table of the sentiment conditions, without the keys already ``done``; of the
+    other columns those in ``keep``, or all."""
     conditions = conditions or sentiment_conditions()
     examples = rewrites.drop("error")
     if "predicted_biases" in examples.columns:
@@ -159,9 +161,24 @@ def condition_prompts(
     if done is not None:
         keys = [k for k in ("model", "condition", "example_id") if k in rows.columns]
         rows = remaining(rows, done, keys)
-    return rows.withColumns(
+    prompts = rows.withColumns(
         {"system": condition_system(conditions), "prompt": condition_prompt(conditions, missing)}
     )
+    return _carried(prompts, keep)
+
+
+def condition_answers(
+    prompts: DataFrame, factory: BackendFactory, params: Params = SENTIMENT, partitions: int | None = None
+) -> DataFrame:
+    """Send a prompt table of sentiment conditions: adds ``predicted_sentiment, error,
+    parsed_sentiment``. The answer is parsed in the same plan, so no partial result lacks it."""
+    call = Call("predicted_sentiment", "prompt", system_col="system")
+    answered = generate(
+        prompts, factory, [call], params, drop=["prompt", "system"], **_spread(prompts, partitions)
+    )
+    return answered.withColumn(
+        "parsed_sentiment", parse_with(F.col("parser"), F.col("predicted_sentiment"))
+    ).drop("parser")
 
 
 def classify_under_conditions(
@@ -174,18 +191,13 @@ def classify_under_conditions(
     keep: Sequence[str] | None = None,
     partitions: int | None = None,
 ) -> DataFrame:
-    """Ask for the sentiment under each condition: adds ``condition, predicted_sentiment,
-    parsed_sentiment``. The answer is parsed in the same plan, so no partial result lacks it.
+    """Ask for the sentiment under each condition: one row per example and condition.
 
     With ``keep`` only the named columns go along: ids will do, since the texts are in the tables
     of the stages before.
     """
-    prompts = _carried(condition_prompts(rewrites, conditions, missing, done), keep)
-    call = Call("predicted_sentiment", "prompt", system_col="system")
-    answered = generate(prompts, factory, [call], params, drop=["prompt", "system"], **_spread(prompts, partitions))
-    return answered.withColumn(
-        "parsed_sentiment", parse_with(F.col("parser"), F.col("predicted_sentiment"))
-    ).drop("parser")
+    prompts = condition_prompts(rewrites, conditions, missing, done, keep)
+    return condition_answers(prompts, factory, params, partitions)
 
 
 def classify_baseline(
