@@ -55,12 +55,26 @@ BackendFactory = Callable[[Params], Backend]
 
 @dataclass(frozen=True)
 class Call:
-    """One response column: where its prompt is and which system prompt goes with it."""
+    """One response column: where its prompt is and which system prompt goes with it.
+
+    The system prompt is one text for all rows, a column, or a text per value of a column
+    (``system_by``): the last sends short names to Python, not the same long text in every row.
+    """
 
     out_col: str
     prompt_col: str = "prompt"
     system: str | None = None
     system_col: str | None = None
+    system_by: tuple[str, Mapping[str, str]] | None = None
+
+    def systems(self, batch) -> list[str | None]:
+        """The system prompt of every row of an Arrow batch."""
+        if self.system_by:
+            column, texts = self.system_by
+            return [texts.get(v) for v in batch.column(column).to_pylist()]
+        if self.system_col:
+            return batch.column(self.system_col).to_pylist()
+        return [self.system] * batch.num_rows
 
 
 def _answers(backend: Backend, requests: list[Request], params: Params, attempts: int):
@@ -95,10 +109,7 @@ def _arrow_caller(factory: BackendFactory, calls: Sequence[Call], params: Params
             errors: list[str | None] = [None] * batch.num_rows
             for call in calls:
                 prompts = batch.column(call.prompt_col).to_pylist()
-                if call.system_col:
-                    systems = batch.column(call.system_col).to_pylist()
-                else:
-                    systems = [call.system] * len(prompts)
+                systems = call.systems(batch)
                 todo = [i for i, p in enumerate(prompts) if p is not None]
                 answers: list[str | None] = [None] * len(prompts)
                 for at in range(0, len(todo), params.batch_size):

@@ -16,7 +16,7 @@ from cuelab.functions.judge import parse_judge
 from cuelab.functions.labels import parse_predictions
 from cuelab.functions.sentiment import parse_with
 from cuelab.functions.text import strip_nonprintable
-from cuelab.operators.dataset import example_id
+from cuelab.operators.dataset import example_id, union_all
 from cuelab.operators.generate import (
     DETECT,
     INJECT,
@@ -33,7 +33,6 @@ from cuelab.operators.joins import remaining
 from cuelab.plans.conditions import (
     Condition,
     condition_prompt,
-    condition_system,
     expand_conditions,
     is_clean,
     sentiment_conditions,
@@ -43,7 +42,6 @@ from cuelab.plans.injection import (
     bias_plan,
     expand_first_calls,
     injection_prompt,
-    injection_system,
 )
 from cuelab.plans.prompts import INJECTION_TEMPLATES, TASK_TEMPLATES, InjectionTemplates, TaskTemplates, render
 from cuelab.workspace import materialise
@@ -53,7 +51,7 @@ def _carried(df: DataFrame, keep: Sequence[str] | None) -> DataFrame:
     """Only these columns and the prompts go through Python; all of them when none are named."""
     if keep is None:
         return df
-    extra = [c for c in df.columns if c in ("system", "prompt", "parser", "condition") or c.startswith("__")]
+    extra = [c for c in df.columns if c in ("prompt", "parser", "condition") or c.startswith("__")]
     return df.select(*keep, *[c for c in extra if c not in keep])
 
 
@@ -161,21 +159,21 @@ def condition_prompts(
     if done is not None:
         keys = [k for k in ("model", "condition", "example_id") if k in rows.columns]
         rows = remaining(rows, done, keys)
-    prompts = rows.withColumns(
-        {"system": condition_system(conditions), "prompt": condition_prompt(conditions, missing)}
-    )
-    return _carried(prompts, keep)
+    return _carried(rows.withColumn("prompt", condition_prompt(conditions, missing)), keep)
 
 
 def condition_answers(
-    prompts: DataFrame, factory: BackendFactory, params: Params = SENTIMENT, partitions: int | None = None
+    prompts: DataFrame,
+    factory: BackendFactory,
+    conditions: Sequence[Condition] | None = None,
+    params: Params = SENTIMENT,
+    partitions: int | None = None,
 ) -> DataFrame:
     """Send a prompt table of sentiment conditions: adds ``predicted_sentiment, error,
     parsed_sentiment``. The answer is parsed in the same plan, so no partial result lacks it."""
-    call = Call("predicted_sentiment", "prompt", system_col="system")
-    answered = generate(
-        prompts, factory, [call], params, drop=["prompt", "system"], **_spread(prompts, partitions)
-    )
+    systems = {c.name: c.system for c in conditions or sentiment_conditions()}
+    call = Call("predicted_sentiment", "prompt", system_by=("condition", systems))
+    answered = generate(prompts, factory, [call], params, drop=["prompt"], **_spread(prompts, partitions))
     return answered.withColumn(
         "parsed_sentiment", parse_with(F.col("parser"), F.col("predicted_sentiment"))
     ).drop("parser")
@@ -197,7 +195,7 @@ def classify_under_conditions(
     of the stages before.
     """
     prompts = condition_prompts(rewrites, conditions, missing, done, keep)
-    return condition_answers(prompts, factory, params, partitions)
+    return condition_answers(prompts, factory, conditions, params, partitions)
 
 
 def classify_baseline(
@@ -248,45 +246,37 @@ def inject(
         F.col(label_col).alias("label"),
     )
 
-    def ask(df: DataFrame, cue: str, sentence: str) -> DataFrame:
-        variant = F.col("prompt_variant")
-        return df.withColumns(
-            {
-                "__system": injection_system(variant, templates),
-                "__prompt": injection_prompt(
-                    F.col(cue), F.col("label"), variant, F.col(sentence), templates
-                ),
-            }
-        )
+    systems = {name: t.system for name, t in templates.items()}
 
-    def called(df: DataFrame, out: str, error: str) -> DataFrame:
-        call = Call(out, "__prompt", system_col="__system")
+    def called(df: DataFrame, cue: str, sentence: str, out: str, error: str) -> DataFrame:
+        prompt = injection_prompt(F.col(cue), F.col("label"), F.col("prompt_variant"), F.col(sentence), templates)
+        asked = df.withColumn("__prompt", prompt)
+        call = Call(out, "__prompt", system_by=("prompt_variant", systems))
+        drop = {"__prompt", cue, sentence} - {"original_sentence"}
         return generate(
-            df, factory, [call], params, drop=["__prompt", "__system"], error_col=error, **_spread(df, partitions)
+            asked, factory, [call], params, drop=drop, error_col=error, **_spread(asked, partitions)
         )
 
     first = expand_first_calls(named, plan, "label", variants)
     first = first.withColumn("call_id", example_id(F.col("sentence_id"), F.col("call_ord"), F.col("prompt_variant")))
-    first = called(ask(first, "stage1", "original_sentence"), "first", "__error1")
-    if any(r.stage2 for r in plan):
+    first = called(first, "stage1", "original_sentence", "first", "error")
+    pairs = any(r.stage2 for r in plan)
+    if pairs:
         first = materialise(first, "first-calls")
 
     uses = first.select("*", F.inline("finish")).drop("finish", "call_ord", "call_id").withColumn(
         "example_id", example_id(F.col("sentence_id"), F.col("plan_ord"), F.col("prompt_variant"))
     )
-    if any(r.stage2 for r in plan):
-        # Singles have no second cue: their prompt is NULL and no call is made.
-        uses = uses.withColumn("__mid", strip_nonprintable(F.col("first")))
-        asked = ask(uses, "stage2", "__mid").drop("__mid")
-        uses = called(asked, "second", "__error2")
-        uses = uses.withColumns(
-            {
-                "biased_sentence": F.when(F.col("stage2").isNull(), F.col("first")).otherwise(F.col("second")),
-                "error": F.coalesce("__error1", "__error2"),
-            }
-        )
+    single = uses.filter(F.col("stage2").isNull()).withColumnRenamed("first", "biased_sentence")
+    if pairs:
+        # Only pairs go through Python again.
+        begun = uses.filter(F.col("stage2").isNotNull()).withColumn("__mid", strip_nonprintable(F.col("first")))
+        begun = begun.drop("first").withColumnRenamed("error", "__error1")
+        ended = called(begun, "stage2", "__mid", "biased_sentence", "__error2")
+        ended = ended.withColumn("error", F.coalesce("__error1", "__error2"))
+        uses = union_all([single.drop("stage2"), ended.drop("__error1", "__error2")])
     else:
-        uses = uses.withColumnsRenamed({"first": "biased_sentence", "__error1": "error"})
+        uses = single
     return uses.select(
         "example_id", "original_sentence", "biased_sentence", "label", "biases", "plan_ord", "prompt_variant", "error"
     )

@@ -91,12 +91,3 @@ def condition_prompt(conditions: Sequence[Condition], missing: str | None = None
         here, value = F.col("condition") == c.name, render(c.template, slots, missing)
         out = F.when(here, value) if out is None else out.when(here, value)
     return out
-
-
-def condition_system(conditions: Sequence[Condition]) -> Column:
-    """The system prompt of a row by its ``condition``."""
-    out: Column | None = None
-    for c in conditions:
-        here, value = F.col("condition") == c.name, F.lit(c.system)
-        out = F.when(here, value) if out is None else out.when(here, value)
-    return out

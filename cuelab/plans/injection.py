@@ -170,14 +170,6 @@ def injection_prompt(
     return prompt
 
 
-def injection_system(variant: Column, templates: Mapping[str, InjectionTemplates]) -> Column:
-    system: Column | None = None
-    for name, t in templates.items():
-        value = F.lit(t.system)
-        system = F.when(variant == name, value) if system is None else system.when(variant == name, value)
-    return system
-
-
 def expand_models(df: DataFrame, models: Sequence[str], variants: Sequence[str] | None = None) -> DataFrame:
     """Each row once per model (and per variant): the grid of runs as columns."""
     if not models:
