@@ -101,42 +101,61 @@ def shuffle_position(
     )
 
 
+def _first(df: DataFrame, groups: Sequence[str], order: Sequence[str | Column], n: int) -> DataFrame:
+    """The first ``n`` rows of each group. Spark cuts each group to n rows per task before the
+    shuffle, as long as n is not above ``_GROUP_LIMIT``."""
+    rank = F.row_number().over(Window.partitionBy(*groups).orderBy(*order))
+    return df.withColumn("__r", rank).filter(F.col("__r") <= n).drop("__r")
+
+
+def _sample(df: DataFrame, group: Column, n: int, seed: int, key: str, digits: int) -> DataFrame:
+    if n > _GROUP_LIMIT:
+        keyed, offsets = _sliced(df, seed, key, group, digits)
+        # The join leaves the rows partitioned as the ranking needs them.
+        near = keyed.join(offsets.filter(F.col("__offset") < n).hint("merge"), ["__g", "__slice"])
+        ranked = near.withColumn("__r", _rank_in_slice(key))
+        return ranked.filter(F.col("__offset") + F.col("__r") <= n).select(*df.columns)
+    # With very many tasks, n rows of each are still many for one task: so first per set of tasks.
+    keyed = df.withColumns(
+        {
+            "__g": group,
+            "__s": shuffle_key(F.col(key), seed),
+            "__task": F.pmod(F.spark_partition_id(), F.lit(256)),
+        }
+    )
+    order = ["__s", key]
+    return _first(_first(keyed, ["__g", "__task"], order, n), ["__g"], order, n).select(*df.columns)
+
+
 def stratified_sample(
     df: DataFrame, by: str, n: int, seed: int = 42, key: str = "sentence_id", digits: int = 3
 ) -> DataFrame:
     """``n`` rows of every stratum, or all of a smaller one, chosen by a keyed hash.
 
-    A stratum is never pulled into one task. Up to 1000 rows per stratum Spark keeps only the
-    first n of each before the shuffle. Beyond that the strata are cut in slices of the hash:
-    slices behind the n-th row are left out, and rows are ranked inside single slices.
+    A stratum is never pulled into one task. Up to 1000 rows per stratum every task passes on
+    its first n, in two rounds. Beyond that the strata are cut in slices of the hash: slices behind
+    the n-th row are left out, and rows are ranked inside single slices.
     """
-    if n <= _GROUP_LIMIT:
-        keyed = df.withColumn("__s", shuffle_key(F.col(key), seed))
-        rank = F.row_number().over(Window.partitionBy(by).orderBy("__s", key))
-        return keyed.withColumn("__r", rank).filter(F.col("__r") <= n).select(*df.columns)
     # One name per stratum that is never missing, so that plain equality joins them.
     group = F.coalesce(F.concat(F.lit("="), F.col(by).cast("string")), F.lit(""))
-    keyed, offsets = _sliced(df, seed, key, group, digits)
-    # The join leaves the rows partitioned as the ranking needs them.
-    near = keyed.join(offsets.filter(F.col("__offset") < n).hint("merge"), ["__g", "__slice"])
-    ranked = near.withColumn("__r", _rank_in_slice(key))
-    return ranked.filter(F.col("__offset") + F.col("__r") <= n).select(*df.columns)
+    return _sample(df, group, n, seed, key, digits)
 
 
-def random_sample(df: DataFrame, n: int, key: Sequence[str], seed: int = 42) -> DataFrame:
-    """A seeded uniform sample of ``n`` rows, or all of them: a distributed top-n."""
-    k = F.concat_ws("|", *[F.col(c).cast("string") for c in key])
-    return df.withColumn("__s", shuffle_key(k, seed)).orderBy("__s", *key).limit(n).drop("__s")
+def random_sample(
+    df: DataFrame, n: int, key: Sequence[str], seed: int = 42, digits: int = 3
+) -> DataFrame:
+    """A seeded uniform sample of ``n`` rows, or all of them; ``key`` identifies a row."""
+    keyed = df.withColumn("__id", F.concat_ws("|", *[F.col(c).cast("string") for c in key]))
+    return _sample(keyed, F.lit(""), n, seed, "__id", digits).select(*df.columns)
 
 
-def keep_last(df: DataFrame, keys: Sequence[str | Column], order: Sequence[str]) -> DataFrame:
+def keep_last(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """The last row of each key in the given order.
 
     The filter on the rank lets every task drop all but its own last row per key before the
     shuffle, so a key with many copies travels as one row per task.
     """
-    w = Window.partitionBy(*keys).orderBy(*[F.col(c).desc() for c in order])
-    return df.withColumn("__r", F.row_number().over(w)).filter(F.col("__r") == 1).drop("__r")
+    return _first(df, keys, [F.col(c).desc() for c in order], 1)
 
 
 def keep_last_predictions(

@@ -143,11 +143,18 @@ def test_stratified_sample(spark, n):
         assert small <= {r[0] for r in sample.select("sentence_id").collect()}
 
 
-def test_random_sample(spark):
+@pytest.mark.parametrize("n", [1, 100, 1200, 10**6])
+def test_random_sample(spark, n):
     df = strata(spark)
-    assert D.random_sample(df, 100, ["sentence_id"]).count() == 100
-    assert D.random_sample(df, 10**6, ["sentence_id"]).count() == 9000
-    assert "TakeOrderedAndProject" in plan_of(D.random_sample(df, 100, ["sentence_id"]))
+    sample = D.random_sample(df.repartition(5), n, ["sentence_id", "label"])
+    assert sample.count() == min(n, 9000)
+    assert values(sample) == values(D.random_sample(df.repartition(3), n, ["sentence_id", "label"]))
+
+
+def test_small_samples_are_cut_in_two_rounds(spark):
+    plan = plan_of(D.stratified_sample(strata(spark), "label", 10))
+    assert plan.count("row_number(), 10, Partial") == 2
+    assert "Partial" in plan.split("Exchange")[1]  # the round over sets of tasks feeds the last one
 
 
 def test_assemble(spark):
