@@ -18,9 +18,13 @@ def strip(text: Column) -> Column:
     return F.btrim(text, F.lit(_WHITESPACE))
 
 
+# Plain characters are told by the first range alone, before the long class is looked at.
+_NON_PRINTABLE = rf"[\x{{00}}-\x{{1F}}\x{{7F}}-\x{{10FFFF}}&&{NON_PRINTABLE}]"
+
+
 def strip_nonprintable(text: Column) -> Column:
     """Delete control, format and private-use characters and every space but U+0020."""
-    return F.regexp_replace(text, NON_PRINTABLE, "")
+    return F.regexp_replace(text, _NON_PRINTABLE, "")
 
 
 def clean_response(text: Column, stop: Sequence[str] = ()) -> Column:

@@ -5,7 +5,7 @@ import os
 import pytest
 
 import __spark_entry__ as entry_module
-from check import TABLES, normal
+from check import TABLES, normal, types_differ
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no tables here")
@@ -31,6 +31,7 @@ def test_query(spark, duck, name):
         cur = duck.execute(sql)
         columns = [d[0] for d in cur.description]
         assert sorted(columns) == sorted(df.columns)
+        assert not types_differ(df, cur.description)
         assert normal(cur.fetchall(), columns) == got
 
 
