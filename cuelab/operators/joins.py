@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cuelab.functions.text import text_key
-from cuelab.operators.skew import salted_join
+from cuelab.operators.skew import ROWS_PER_TASK, salted_join
 
 
 def attach(
@@ -32,6 +32,7 @@ def attach_by_text(
     text_col: str = "biased_sentence",
     keys: Sequence[str] = ("model",),
     row_id: str = "example_id",
+    rows_per_task: int = ROWS_PER_TASK,
 ) -> DataFrame:
     """Left join on the text itself, for results that carry no example id.
 
@@ -47,7 +48,8 @@ def attach_by_text(
         .groupBy(*by, *value_cols)
         .agg(F.count(F.lit(1)).alias("n_copies"))
     )
-    out = salted_join(examples.withColumn("__text", key), distinct, by, row_id=row_id).drop("__text")
+    keyed = examples.withColumn("__text", key)
+    out = salted_join(keyed, distinct, by, row_id=row_id, rows_per_task=rows_per_task).drop("__text")
     return out.withColumn("n_copies", F.coalesce("n_copies", F.lit(1)))
 
 
@@ -70,6 +72,7 @@ def remaining_by_text(
     text_col: str,
     keys: Sequence[str] = ("model", "condition"),
     row_id: str = "example_id",
+    rows_per_task: int = ROWS_PER_TASK,
 ) -> DataFrame:
     """Rows whose text is not among the finished ones, for results that carry no example id.
 
@@ -78,7 +81,9 @@ def remaining_by_text(
     by = [*keys, "__text"]
     key = text_key(F.col(text_col))
     finished = done.select(*keys, key.alias("__text")).dropDuplicates(by)
-    return salted_join(todo.withColumn("__text", key), finished, by, "left_anti", row_id=row_id).drop("__text")
+    keyed = todo.withColumn("__text", key)
+    left = salted_join(keyed, finished, by, "left_anti", row_id=row_id, rows_per_task=rows_per_task)
+    return left.drop("__text")
 
 
 def reindex(result: DataFrame, col: str, wanted: Sequence[str]) -> DataFrame:

@@ -7,17 +7,20 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-HOT_KEYS = 1000
-SALTS = 32
+HOT_KEYS = 100_000
+ROWS_PER_TASK = 100_000
+MOST_SALTS = 10_000
 
 
-def hot_keys(df: DataFrame, key: str, k: int = HOT_KEYS) -> DataFrame:
-    """The ``k`` most frequent values of a key: at most ``k`` rows, whatever the data.
+def hot_keys(df: DataFrame, key: str, more_than: int = ROWS_PER_TASK, k: int = HOT_KEYS) -> DataFrame:
+    """The values of a key with more than so many rows, and their ``count``; the ``k`` most
+    frequent ones at most, whatever the data.
 
-    Every key with more than 1/k of the rows is among them. Ties are broken by the key, so a
-    recomputation gives the same answer.
+    A key that does not make the list holds less than 1/k of the rows. Ties are broken by the
+    key, so a recomputation gives the same answer.
     """
-    return df.groupBy(key).count().orderBy(F.desc("count"), F.asc(key)).limit(k).select(key)
+    counts = df.groupBy(key).count().filter(F.col("count") > more_than)
+    return counts.orderBy(F.desc("count"), F.asc(key)).limit(k)
 
 
 def key_digest(columns: Sequence[str]) -> Column:
@@ -37,30 +40,30 @@ def salted_join(
     how: str = "left",
     *,
     row_id: str,
-    salts: int = SALTS,
-    hot: int = HOT_KEYS,
+    rows_per_task: int = ROWS_PER_TASK,
 ) -> DataFrame:
     """Null-safe equi-join of a skewed left side with a right side that has few rows per key.
 
-    The most frequent left keys are spread over ``salts`` partitions by ``row_id``, and only
-    their right rows are copied. The list of hot keys has at most ``hot`` entries of 9 bytes,
-    which is why it may be broadcast; neither side is, whatever its estimated size. The left side
-    is read twice, so it should come from files. ``how`` is ``left``, ``inner``, ``left_semi`` or
-    ``left_anti``.
+    A left key with more than ``rows_per_task`` rows is spread by ``row_id`` over as many
+    partitions as it takes (10,000 at most), and its right rows are copied there; all others join
+    as usual. The list of such keys is cut to ``HOT_KEYS`` pairs of numbers, which is why it may be
+    broadcast; neither side is, whatever its estimated size. The left side is read twice, so it
+    should come from files. ``how`` is ``left``, ``inner``, ``left_semi`` or ``left_anti``.
     """
     on = list(on)
     left_cols, right_cols = left.columns, [c for c in right.columns if c not in on]
     keys = {"__k": key_digest(on), "__h": F.xxhash64(*on)}
     lh, rh = left.withColumns(keys), right.select(*right_cols, *[v.alias(k) for k, v in keys.items()])
-    hot_list = F.broadcast(hot_keys(lh.select("__h"), "__h", hot).withColumn("__hot", F.lit(True)))
+    hot = hot_keys(lh.select("__h"), "__h", rows_per_task)
+    salts = F.least(F.ceil(F.col("count") / rows_per_task), F.lit(MOST_SALTS)).cast("int")
+    hot = F.broadcast(hot.select("__h", salts.alias("__salts")))
 
-    spread = F.pmod(F.xxhash64(row_id), F.lit(salts)).cast("int")
-    salt = F.when(F.col("__hot"), spread).otherwise(F.lit(0))
-    ls = lh.join(hot_list, "__h", "left").withColumn("__salt", salt).drop("__h", "__hot")
-    copies = F.when(F.col("__hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-    rs = rh.join(hot_list, "__h", "left").withColumn("__salt", F.explode(copies)).drop("__h", "__hot")
+    spread = F.pmod(F.xxhash64(row_id), F.col("__salts")).cast("int")
+    ls = lh.join(hot, "__h", "left").withColumn("__salt", F.coalesce(spread, F.lit(0)))
+    copies = F.sequence(F.lit(0), F.coalesce("__salts", F.lit(1)) - 1)
+    rs = rh.join(hot, "__h", "left").withColumn("__salt", F.explode(copies))
 
     # Estimates miss the growth by explode, so the choice is not left to them.
-    joined = ls.join(rs.hint("merge"), ["__k", "__salt"], how)
+    joined = ls.drop("__h", "__salts").join(rs.drop("__h", "__salts").hint("merge"), ["__k", "__salt"], how)
     values = [] if how in ("left_semi", "left_anti") else right_cols
     return joined.select(*left_cols, *values)
