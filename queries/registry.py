@@ -441,13 +441,14 @@ def none_class_prf(spark, sf):
 )
 def prompt_sensitivity_f1(spark, sf):
     # The variants stand for three runs: label cells, raw answers, raw answers in lower case.
-    d = expand_models(R.detection_cells(spark, sf).withColumnRenamed("model", "m"), ["-"], list(INJECTION_TEMPLATES))
-    raw = col("raw_model_response")
-    read = F.when(col("prompt_variant") == "main", col("predicted_biases")).otherwise(
-        F.when(col("prompt_variant") == "alt_1", raw).otherwise(F.lower(raw))
+    variants, raw = list(INJECTION_TEMPLATES), col("raw_model_response")
+    d = R.detection_cells(spark, sf).withColumn("prompt_variant", F.explode(F.array(*[F.lit(v) for v in variants])))
+    read = (
+        F.when(col("prompt_variant") == "main", col("predicted_biases"))
+        .when(col("prompt_variant") == "alt_1", raw)
+        .otherwise(F.lower(raw))
     )
-    d = d.withColumn("predicted_biases", read).drop("model").withColumnRenamed("m", "model")
-    return T.prompt_sensitivity(d, list(INJECTION_TEMPLATES))
+    return T.prompt_sensitivity(d.withColumn("predicted_biases", read), variants)
 
 
 # --- scores of sentiment ----------------------------------------------------------
