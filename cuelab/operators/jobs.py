@@ -67,12 +67,14 @@ def detect(
     templates: TaskTemplates = TASK_TEMPLATES,
     params: Params = DETECT,
     text_col: str = "biased_sentence",
+    keep: Sequence[str] | None = None,
     partitions: int | None = None,
 ) -> DataFrame:
     """Ask which cues a text carries: adds ``raw_model_response, predicted_biases, error``."""
-    asked = examples.withColumn("prompt", render(templates.detect, {"sentence": F.col(text_col)}))
+    prompt = render(templates.detect, {"sentence": F.col(text_col)})
+    asked = _carried(examples.drop("error").withColumn("prompt", prompt), keep)
     call = Call("raw_model_response", "prompt", templates.detect_system)
-    answered = generate(asked, factory, [call], params, drop=["prompt"], **_spread(examples, partitions))
+    answered = generate(asked, factory, [call], params, drop=["prompt"], **_spread(asked, partitions))
     return answered.withColumn("predicted_biases", parse_predictions(F.col("raw_model_response")))
 
 
@@ -102,7 +104,7 @@ def rewrite(
         slots = {"predicted_biases": _as_text(detections, labels), "sentence": F.col(text_col)}
         return render(templates.rewrite, slots, missing)
 
-    asked = detections.withColumns(
+    asked = detections.drop("error").withColumns(
         {"__gold_prompt": prompt("biases"), "__detected_prompt": prompt("predicted_biases")}
     )
     asked = _carried(asked, keep)

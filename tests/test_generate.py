@@ -202,7 +202,7 @@ def test_stages_end_to_end(spark):
     found = J.detect(ds, detector)
     assert values(found, "example_id", "predicted_biases") == [("1", ["herding"]), ("2", ["none"]), ("3", ["none"])]
 
-    rewritten = J.rewrite(found.drop("error"), lambda p: lambda rs: [r.user.split("\n")[0] for r in rs])
+    rewritten = J.rewrite(found, lambda p: lambda rs: [r.user.split("\n")[0] for r in rs])
     assert values(rewritten, "example_id", "true_bias_rewrite", "detected_bias_rewrite") == [
         ("1", "Cues to take out: herding", "Cues to take out: herding"),
         ("2", "Cues to take out: none", "Cues to take out: none"),
@@ -218,6 +218,9 @@ def test_stages_end_to_end(spark):
     assert len(got) == 2 + 7 + 7
     assert got["1", "4_cot"] == got["2", "4_cot_clean"] == "negative" and got["1", "2_no_defense"] == "positive"
 
+    assert J.detect(found, detector, keep=["example_id"]).columns == [
+        "example_id", "raw_model_response", "error", "predicted_biases",
+    ]
     lean = J.classify_under_conditions(rewritten, echo, keep=["example_id"])
     assert set(lean.columns) == {"example_id", "condition", "predicted_sentiment", "error", "parsed_sentiment"}
 
