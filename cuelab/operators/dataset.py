@@ -1,4 +1,8 @@
-"""Assembling the labelled dataset: clean rows, union, permutation, samples, dedup."""
+"""Assembling the labelled dataset: clean rows, union, permutation, samples, dedup.
+
+Sorting, positions and large samples read their input twice: write a table made by model calls
+first.
+"""
 
 from __future__ import annotations
 

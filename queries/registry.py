@@ -802,6 +802,25 @@ def dedup_keep_last(spark, sf):
     return kept.select("model", "condition", "example_id", "seq", "parsed_sentiment")
 
 
+@query(
+    "sensitivity_plan",
+    Q.using(
+        "dataset",
+        "SELECT sentence_id, prompt_variant, plan_ord::INT AS plan_ord, biases, "
+        f"md5({_prompt_sql('prompt_variant', 'stage1', 'label', 'original_sentence')}) AS prompt "
+        "FROM dataset JOIN chosen USING (sentence_id), (VALUES ('alt_1'), ('alt_2')) v(prompt_variant) WHERE biases <> 'none'",
+        "chosen AS (SELECT sentence_id FROM base "
+        "QUALIFY row_number() OVER (PARTITION BY label ORDER BY md5('42|' || sentence_id), sentence_id) <= 10)",
+    ),
+)
+def sensitivity_plan(spark, sf):
+    # The sample of the sensitivity study: ten sentences per label, under the other two wordings.
+    sample = D.stratified_sample(R.base(spark, sf), "label", 10)
+    rows = expand_plan(sample, bias_plan(clean=False), variants=["alt_1", "alt_2"])
+    prompt = J.injection_prompt(col("stage1"), col("label"), col("prompt_variant"), col("sentence"), INJECTION_TEMPLATES)
+    return rows.select("sentence_id", "prompt_variant", "plan_ord", "biases", F.md5(prompt).alias("prompt"))
+
+
 # --- diversification ---------------------------------------------------------------
 
 
