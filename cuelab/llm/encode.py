@@ -2,7 +2,8 @@
 
 A byte-level pre-tokenizer starts a new piece at every space that stands before a non-space, so a
 text can be cut there and the stretches encoded alone. Where a space stands between white space, or
-between white space and the end, it is not cut (``_INSIDE``). Other kinds of tokenizers get whole texts.
+between white space and the end, it is not cut (``_INSIDE``). Stretches are cut further before the library gets
+them (``_parts``), so that it sees each word once, not once with each mark that follows it. Other kinds of tokenizers get whole texts.
 """
 
 from __future__ import annotations
@@ -14,15 +15,35 @@ from array import array
 
 from .shared import blocks
 
-_INSIDE = re.compile(r"[\s᠎] (?:[\s᠎]|\Z)")
+_INSIDE = re.compile(r"(?<=[\s᠎]) (?:[\s᠎]|\Z)")  # begins with a space, which is searched fast
 _BEFORE_WORD = re.compile(r" (?=[^\s᠎])")
 
 
+_TAIL = ".,;:!?%*$&#"
+
+
+def _parts(before: str, stretch: str) -> tuple[str, ...]:
+    """A stretch and the space before it, cut where any byte-level pre-tokenizer cuts too.
+
+    That is around a line feed between two non-spaces, and between a letter or number and the marks at
+    the end. Stretches that may hold a special token stay whole.
+    """
+    if "<" in stretch:
+        return (before + stretch,)
+    line, feed, rest = stretch.partition("\n")
+    if feed and line and rest and not line[-1].isspace() and line[-1] != "᠎" and not rest[0].isspace() and rest[0] != "᠎":
+        return (*_parts(before, line), feed, *_parts("", rest))
+    word = stretch.rstrip(_TAIL)
+    if len(word) < len(stretch) and word and word[-1].isascii() and word[-1].isalnum():
+        return (before + word, stretch[len(word) :])
+    return (before + stretch,)
+
+
 class Encoder:
     """``ids(texts)``: little-endian unsigned 32-bit ids of each text, without added special tokens."""
 
-    #: What is kept of the stretches met before; then the store is emptied.
-    MOST_STRETCHES, MOST_CHARS = 400_000, 8 << 20
+    #: Stretches and words kept for later blocks and tasks; a store that is full is emptied.
+    MOST_STRETCHES, MOST_WORDS, MOST_CHARS = 500_000, 800_000, 24 << 20
 
     def __init__(self, data: bytes) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
@@ -40,8 +61,9 @@ class Encoder:
             and not before.get("add_prefix_space")
             and not any(t.get("lstrip") or t.get("rstrip") or t.get("single_word") or " " in t["content"] for t in spec.get("added_tokens", []))
         )
-        self.first: dict[str, bytes] = {}
-        self.later: dict[str, bytes] = {}
+        self.first: dict[str, bytes] = {}  # by stretch, at the start of a text
+        self.later: dict[str, bytes] = {}  # by stretch, after a space
+        self.words: dict[str, bytes] = {}  # what the library has encoded, spaces included
         self.chars = 0
 
     def _encode(self, texts: list[str]) -> list[bytes]:
@@ -53,12 +75,20 @@ class Encoder:
 
     def _learn(self, store: dict[str, bytes], wanted: set[str], before: str) -> None:
         new = list(wanted.difference(store))
-        self.chars += sum(map(len, new))
-        store.update(zip(new, self._encode([before + x for x in new])))
+        if not new:
+            return
+        parts = [_parts(before, x) for x in new]
+        words = list({w for p in parts for w in p}.difference(self.words))
+        self.chars += sum(map(len, new)) + sum(map(len, words))
+        self.words.update(zip(words, self._encode(words)))
+        get = self.words.__getitem__
+        store.update(zip(new, [b"".join(map(get, p)) for p in parts]))
 
     def _block(self, texts: list[str]) -> list[bytes]:
-        if len(self.first) + len(self.later) > self.MOST_STRETCHES or self.chars > self.MOST_CHARS:
-            self.first, self.later, self.chars = {}, {}, 0
+        if self.chars > self.MOST_CHARS or len(self.words) > self.MOST_WORDS:
+            self.first, self.later, self.words, self.chars = {}, {}, {}, 0
+        elif len(self.first) + len(self.later) > self.MOST_STRETCHES:
+            self.first, self.later = {}, {}
         parts = [_BEFORE_WORD.split(t) if _INSIDE.search(t) else t.split(" ") for t in texts]
         heads = [p.pop(0) for p in parts]
         self._learn(self.first, set(heads), "")

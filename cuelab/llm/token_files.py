@@ -141,8 +141,9 @@ def _tokens(docs: DataFrame, vocab: str, end_id: int, id: str, text: str) -> Dat
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros(0, np.int64)
     for batch in batches:
-        for width, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            n = np.bincount(np.frombuffer(ids, f"<u{width}"), minlength=len(total))
+        if batch.num_rows:
+            ids = np.frombuffer(b"".join(batch.column(1).to_pylist()), f"<u{batch.column(0)[0].as_py()}")
+            n = np.bincount(ids, minlength=len(total))
             n[: len(total)] += total
             total = n
     there = np.flatnonzero(total)
@@ -217,6 +218,28 @@ def _to_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield block()
 
 
+def _decode_blocks(decoder: Decoder, blocks: list[dict]) -> pa.RecordBatch:
+    """The documents of some blocks; all stretches of all of them are decoded side by side."""
+    payload, marks, before = [], [], 0
+    for r in blocks:
+        payload.append(r["codes"])
+        marks.append(np.frombuffer(r["checkpoints"], "<i8") + 8 * before)
+        before += len(r["codes"])
+    sizes = np.concatenate([np.array(r["doc_tokens"], np.int64) for r in blocks])
+    stretches = -(-sizes // STEP)
+    tokens = np.full(int(stretches.sum()), STEP, np.int64)
+    tokens[np.cumsum(stretches) - 1] = sizes - STEP * (stretches - 1)
+    flat = np.concatenate(decoder.decode(b"".join(payload), np.concatenate(marks), tokens)).astype("<u4")
+    ends = np.cumsum(sizes)
+    bodies = [flat[e - n : e].tobytes() for e, n in zip(ends.tolist(), sizes.tolist())]
+    counts = [len(r["ids"]) for r in blocks]
+    firsts = np.repeat([r["first_token"] for r in blocks], counts)
+    inside = ends - sizes - np.repeat(np.cumsum([0] + [r["n_tokens"] for r in blocks[:-1]]), counts)
+    columns = [pa.array(np.repeat([r["part"] for r in blocks], counts), pa.int32()), pa.array([i for r in blocks for i in r["ids"]], pa.int64())]
+    columns += [pa.array(firsts + inside, pa.int64()), pa.array(sizes, pa.int64()), pa.array(bodies, pa.binary())]
+    return pa.RecordBatch.from_arrays(columns, names=["part", "doc_id", "start", "n_tokens", "ids"])
+
+
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     """``doc_id``, ``start`` (ids before it in all files), ``n_tokens``, ``ids`` (little-endian 32-bit) of each document."""
     (lengths, _), *_ = spark.read.parquet(f"{path}/codes").collect()  # one row
@@ -226,18 +249,14 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decoder = per_worker("huffman", sent.value, lambda d: Decoder(np.frombuffer(d, np.uint8)))
         for batch in batches:
+            held: list[dict] = []
             for r in batch.to_pylist():
-                sizes = np.array(r["doc_tokens"], np.int64)
-                stretches = -(-sizes // STEP)
-                tokens = np.full(int(stretches.sum()), STEP, np.int64)
-                tokens[np.cumsum(stretches) - 1] = sizes - STEP * (stretches - 1)
-                parts = decoder.decode(r["codes"], np.frombuffer(r["checkpoints"], "<i8"), tokens)
-                flat, ends = np.concatenate(parts).astype("<u4"), np.cumsum(sizes)
-                bodies = [flat[e - n : e].tobytes() for e, n in zip(ends, sizes)]
-                starts = r["first_token"] + ends - sizes
-                columns = [pa.array([r["part"]] * len(sizes), pa.int32()), pa.array(r["ids"], pa.int64())]
-                columns += [pa.array(starts, pa.int64()), pa.array(sizes, pa.int64()), pa.array(bodies, pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, names=["part", "doc_id", "start", "n_tokens", "ids"])
+                held.append(r)
+                if sum(x["n_tokens"] for x in held) >= 8 * BLOCK_TOKENS:
+                    yield _decode_blocks(decoder, held)
+                    held = []
+            if held:
+                yield _decode_blocks(decoder, held)
 
     docs = table.mapInArrow(decode, "part int, doc_id bigint, start bigint, n_tokens bigint, ids binary")
     parts = table.groupBy("part").agg(F.sum("n_tokens").alias("n")).collect()  # one row per file
