@@ -51,7 +51,7 @@ def _digests(docs: DataFrame, text: str, carried: list[Column]) -> DataFrame:
 def _groups(rows: DataFrame) -> DataFrame:
     """Per text that several rows share: the first of them by id (null last), then by tag; and how many there are."""
     order = F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"), F.col("tag").alias("tag"))
-    found = rows.where("digest is not null").groupBy("digest").agg(F.min(order).alias("o"), F.count("*").alias("n")).where("n > 1")
+    found = rows.groupBy("digest").agg(F.min(order).alias("o"), F.count("*").alias("n")).where("n > 1")
     return found.select("digest", F.col("o.id").alias("keep_id"), F.col("o.tag").alias("keep_tag"), F.col("n").alias("group_size"))
 
 
@@ -66,6 +66,8 @@ def exact_groups(docs: DataFrame, id: str = "doc_id", text: str = "text", carry:
     carried = [col(id).alias("id"), *[c.alias(f"carried_{k}") for k, c in carry.items()]]
     rows, tag = with_row_tag(_digests(docs, text, carried), "text-digests")
     rows = rows.withColumnRenamed(tag, "tag")
+    # rows without a full hash meet nothing; a key of their own spreads them over all tasks
+    rows = rows.withColumn("digest", F.coalesce("digest", F.col("tag").cast("string").cast("binary")))
     joined = rows.join(_groups(rows).hint("merge"), "digest", "left")
     alone = F.col("group_size").isNull()
     return joined.select(
@@ -83,7 +85,7 @@ def drop_exact_copies(docs: DataFrame, id: str = "doc_id", text: str = "text") -
     carried = [key.alias(whole), col(id).alias("id")]
     rows, tag = with_row_tag(_digests(docs, text, carried), "documents-with-digests")
     rows = rows.withColumnRenamed(tag, "tag")
-    found = _groups(rows.select("id", "tag", "digest"))
+    found = _groups(rows.select("id", "tag", "digest").where("digest is not null"))
     # only rows with a full hash can be copies; dropped ones are told by their tag
     dropped = rows.select("digest", "tag").where("digest is not null").join(found.hint("merge"), "digest").where("tag <> keep_tag").select("tag")
     return rows.join(side(materialise(dropped, "exact-copies"), 16), "tag", "left_anti").select(f"{whole}.*")
