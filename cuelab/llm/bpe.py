@@ -156,7 +156,7 @@ class Replayer:
     """``ids(texts)``: little-endian unsigned 32-bit ids of each text."""
 
     #: Words kept for later blocks; beyond it the store is emptied.
-    MOST_WORDS, MOST_CHARS = 400_000, 8 << 20
+    MOST_WORDS, MOST_CHARS = 900_000, 16 << 20
 
     def __init__(self, data: bytes, pattern: str) -> None:
         import regex
