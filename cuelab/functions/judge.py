@@ -20,11 +20,14 @@ def parse_judge(text: Column, scores: list[str] = JUDGE_SCORES) -> Column:
     """A struct of integer scores.
 
     A key that is absent counts 0. Anything else that is not an object of whole-number
-    values makes every score -1: broken JSON, text after the object, null, words.
+    values makes every score -1: broken JSON, text after the object, null, words. Other keys may
+    hold anything. An object that repeats a key is broken here.
     """
     body = _unfence(text)
-    # The JSON reader tolerates text after the object, hence the shape guard.
-    parsed = F.try_parse_json(F.when(F.rlike(body, F.lit(r"\A\{[^{}]*\}\z")), body))
+    # The JSON reader tolerates text after the object; inside an array and inside another object it does not.
+    inside = F.concat(F.lit("["), body, F.lit("]")), F.concat(F.lit('{"r":'), body, F.lit("}"))
+    alone = body.startswith("{") & F.try_parse_json(inside[0]).isNotNull() & F.try_parse_json(inside[1]).isNotNull()
+    parsed = F.try_parse_json(F.when(alone, body))
 
     def score(key: str) -> Column:
         path = f"$.{key}"

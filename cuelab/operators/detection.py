@@ -19,6 +19,8 @@ from cuelab.operators.analysis import pivot
 from cuelab.plans.conditions import is_clean
 
 _MODEL = ("model",)
+#: Stands for the labels of a call without a response: it is no class, so it is never right.
+NO_RESPONSE = "no response"
 
 
 def _cells(df: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -26,7 +28,10 @@ def _cells(df: DataFrame, by: Sequence[str]) -> DataFrame:
     first and parsed afterwards."""
     is_list = df.schema["predicted_biases"].dataType.typeName() == "array"
     counted = df.groupBy(*by, "biases", "predicted_biases").agg(F.count(F.lit(1)).alias("n"))
-    return counted.withColumn("predicted_biases", join_labels(F.col("predicted_biases"))) if is_list else counted
+    cell = join_labels(F.col("predicted_biases")) if is_list else F.col("predicted_biases")
+    if "error" in df.columns:  # then a missing cell is a call without a response, not a blank answer
+        cell = F.coalesce(cell, F.lit(NO_RESPONSE))
+    return counted.withColumn("predicted_biases", cell)
 
 
 def _contingency(

@@ -78,10 +78,12 @@ class Call:
 
 
 def _answers(backend: Backend, requests: list[Request], params: Params, attempts: int):
-    """Responses and errors of one batch. A batch that keeps failing is retried request by
-    request, so that one bad prompt does not take its neighbours down."""
+    """Responses and errors of one batch. A batch that fails is sent request by request, each with all its
+    attempts, so that one bad prompt does not take its neighbours down or wait for them."""
     problem: Exception | None = None
-    for attempt in range(attempts):
+    for attempt in range(attempts if len(requests) == 1 or params.fail_fast else 1):
+        if attempt:
+            time.sleep(params.backoff_s)
         try:
             out = list(backend(requests))
             if len(out) != len(requests):
@@ -89,13 +91,11 @@ def _answers(backend: Backend, requests: list[Request], params: Params, attempts
             return out, [None] * len(out)
         except Exception as e:  # the backend is foreign code: any failure is a row-level error
             problem = e
-            if attempt + 1 < attempts:
-                time.sleep(params.backoff_s)
     if params.fail_fast:
         raise problem
     if len(requests) == 1:
         return [None], [f"{type(problem).__name__}: {problem}"]
-    singles = [_answers(backend, [r], params, 1) for r in requests]
+    singles = [_answers(backend, [r], params, attempts) for r in requests]
     return [s[0][0] for s in singles], [s[1][0] for s in singles]
 
 
@@ -179,11 +179,14 @@ def generate_distinct(
     For deterministic backends. A prompt shared by a large part of the rows is reduced before
     the shuffle on the way in and salted on the way back.
     """
-    system = F.col(call.system_col) if call.system_col else F.lit(call.system)
-    keyed = df.withColumn(
-        "__prompt_key",
-        F.sha2(F.concat(F.coalesce(system, F.lit("")), F.lit("\x00"), F.col(call.prompt_col)), 256),
-    )
+    if call.system_by:
+        column, texts = call.system_by
+        named = [F.when(F.col(column).eqNullSafe(F.lit(k)), F.lit(v)) for k, v in texts.items()]
+        system = F.coalesce(*named, F.lit(None).cast("string"))
+    else:
+        system = F.col(call.system_col) if call.system_col else F.lit(call.system)
+    marked = F.coalesce(F.concat(F.lit("+"), system), F.lit("-"))  # none is not the same as an empty one
+    keyed = df.withColumn("__prompt_key", F.sha2(F.concat(marked, F.lit("\x00"), F.col(call.prompt_col)), 256))
     once = (
         keyed.filter(F.col("__prompt_key").isNotNull())
         .select("__prompt_key", system.cast("string").alias("__system"), call.prompt_col)

@@ -55,6 +55,10 @@ def _carried(df: DataFrame, keep: Sequence[str] | None) -> DataFrame:
     return df.select(*keep, *[c for c in extra if c not in keep])
 
 
+#: The error of a row that had no prompt, so that no call was made.
+NOT_ASKED = "no prompt"
+
+
 def _spread(df: DataFrame, partitions: int | None) -> dict:
     """Rows of one prompt table are told apart by these columns, and evenly spread by them."""
     ids = ("model", "condition", "example_id", "call_id")
@@ -70,12 +74,16 @@ def detect(
     keep: Sequence[str] | None = None,
     partitions: int | None = None,
 ) -> DataFrame:
-    """Ask which cues a text carries: adds ``raw_model_response, predicted_biases, error``."""
+    """Ask which cues a text carries: adds ``raw_model_response, predicted_biases, error``.
+
+    Without a response there are no labels: NULL, which metrics count as the empty set, not as ``none``.
+    """
     prompt = render(templates.detect, {"sentence": F.col(text_col)})
     asked = _carried(examples.drop("error").withColumn("prompt", prompt), keep)
     call = Call("raw_model_response", "prompt", templates.detect_system)
     answered = generate(asked, factory, [call], params, drop=["prompt"], **_spread(asked, partitions))
-    return answered.withColumn("predicted_biases", parse_predictions(F.col("raw_model_response")))
+    labels = parse_predictions(F.col("raw_model_response"))
+    return answered.withColumn("predicted_biases", F.when(F.col("raw_model_response").isNotNull(), labels))
 
 
 def _as_text(df: DataFrame, col: str) -> Column:
@@ -172,13 +180,16 @@ def condition_answers(
     partitions: int | None = None,
 ) -> DataFrame:
     """Send a prompt table of sentiment conditions: adds ``predicted_sentiment, error,
-    parsed_sentiment``. The answer is parsed in the same plan, so no partial result lacks it."""
+    parsed_sentiment``. The answer is parsed in the same plan, so no partial result lacks it. Rows
+    without a response have no sentiment (NULL, never right); those without a prompt say so in ``error``."""
     systems = {c.name: c.system for c in conditions or sentiment_conditions()}
     call = Call("predicted_sentiment", "prompt", system_by=("condition", systems))
     answered = generate(prompts, factory, [call], params, drop=["prompt"], **_spread(prompts, partitions))
-    return answered.withColumn(
-        "parsed_sentiment", parse_with(F.col("parser"), F.col("predicted_sentiment"))
-    ).drop("parser")
+    response, error = F.col("predicted_sentiment"), F.col("error")
+    return answered.withColumns({
+        "parsed_sentiment": F.when(response.isNotNull(), parse_with(F.col("parser"), response)),
+        "error": F.when(response.isNull() & error.isNull(), F.lit(NOT_ASKED)).otherwise(error),
+    }).drop("parser")
 
 
 def classify_under_conditions(

@@ -54,7 +54,7 @@ def label_contingency(
             (F.col(weight) if weight else F.lit(1).cast("bigint")).alias("__w"),
             F.size(gold).alias("gold_size"),
             label_mask(gold, classes).alias("gold"),
-            label_mask(pred, classes).alias("pred"),
+            F.coalesce(label_mask(pred, classes), F.lit(0)).alias("pred"),  # no prediction: the empty set
         )
         .groupBy(*by, "gold_size", "gold", "pred")
         .agg(F.sum("__w").alias("n"))

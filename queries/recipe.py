@@ -55,6 +55,10 @@ CANNED_JUDGE = [
     '{"trigger_removed":"yes"}',
     '{"trigger_removed":2}',
     '{"trigger_removed":1} extra',
+    '{"trigger_removed":1,"facts_preserved":1,"natural_language":1,"why":"kept {x} and }"}',
+    '{"trigger_removed":1,"detail":{"a":1,"b":[{}]},"natural_language":1}',
+    '{"trigger_removed":1},{"trigger_removed":1}',
+    '{"trigger_removed":1}] {x}',
     "junk",
     "",
     '  {"trigger_removed":1,"facts_preserved":1,"natural_language":0}  ',

@@ -120,7 +120,7 @@ def judge_ctes(source: str, raw: str = "judge_response", out: str = "judgements"
 
     return f"""{out}_body AS (SELECT *, {judge_columns(raw)} AS body FROM {source}),
 {out}_json AS (
-  SELECT *, CASE WHEN regexp_full_match(body, '\\{{[^{{}}]*\\}}') AND json_valid(body) THEN body::JSON END AS j
+  SELECT *, CASE WHEN CASE WHEN json_valid(body) THEN json_type(body) = 'OBJECT' END THEN body::JSON END AS j
   FROM {out}_body),
 {out}_scores AS (SELECT *, {', '.join(f'{score(k)} AS s{i}' for i, k in enumerate(keys))} FROM {out}_json),
 {out} AS (

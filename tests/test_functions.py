@@ -101,6 +101,11 @@ JUDGE = [
     ('{"trigger_removed":"0.9"}', FAILED),
     ('{"trigger_removed":2}', (2, 0, 0)),
     ('{"trigger_removed":1} extra', FAILED),
+    ('{"trigger_removed":1,"why":"kept {x}"}', (1, 0, 0)),
+    ('{"trigger_removed":1,"detail":{"a":1}}', (1, 0, 0)),
+    ('{"trigger_removed":1}{"trigger_removed":1}', FAILED),
+    ('{"trigger_removed":1},{"trigger_removed":1}', FAILED),
+    ('{"trigger_removed":1}] {x}', FAILED),
     ("junk", FAILED),
     ("", FAILED),
     (None, FAILED),

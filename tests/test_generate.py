@@ -230,3 +230,36 @@ def test_baseline_classifier(spark):
     ds = spark.createDataFrame(rows, "example_id string, original_sentence string, biased_sentence string, biases string")
     out = J.classify_baseline(ds, lambda: lambda ts: [t for t in ts], {"good": "positive", "bad": "negative"})
     assert values(out, "condition", "parsed_sentiment") == [("1_clean_baseline", "positive"), ("2_no_defense", "negative")]
+
+
+def test_no_response_is_never_an_answer(spark):
+    from cuelab.operators import detection, jobs
+
+    def down(params):
+        def call(requests):
+            raise RuntimeError("down")
+
+        return call
+
+    rows = [("m", i, f"text {i}", f"biased {i}", "none" if i % 2 else "framing", "neutral", None, f"r {i}") for i in range(6)]
+    kind = "model string, example_id long, original_sentence string, biased_sentence string, biases string, label string, detected_bias_rewrite string, true_bias_rewrite string"
+    table = spark.createDataFrame(rows, kind)
+    params = Params(attempts=1, backoff_s=0)
+    found = jobs.detect(table, down, params=params).cache()
+    assert found.where("predicted_biases is not null or error is null").count() == 0
+    assert all(not r["recall"] for r in detection.detection_report(found).collect())
+    answers = jobs.classify_under_conditions(found, down, params=params).cache()
+    assert answers.where("parsed_sentiment is not null or error is null").count() == 0
+    unasked = answers.where(answers["condition"] == "7_rewrite_detected")
+    assert {r["error"] for r in unasked.collect()} == {jobs.NOT_ASKED}
+
+
+def test_distinct_keeps_system_prompts_apart(spark):
+    def echo(params):
+        return lambda requests: [f"{r.system}|{r.user}" for r in requests]
+
+    table = spark.createDataFrame([(0, "a", "p"), (1, "b", "p"), (2, None, "p"), (3, "a", "p"), (4, "c", "p")], "id long, who string, prompt string")
+    call = Call("out", "prompt", system_by=("who", {"a": "S1", "b": "S2", "c": ""}))
+    got = {r["id"]: r["out"] for r in generate_distinct(table, echo, call, row_id="id").collect()}
+    assert got == {r["id"]: r["out"] for r in generate(table, echo, [call]).collect()}
+    assert got[0] == got[3] == "S1|p" and got[1] == "S2|p" and got[2] == "None|p" and got[4] == "|p"
