@@ -43,7 +43,7 @@ class Encoder:
     """``ids(texts)``: little-endian unsigned 32-bit ids of each text, without added special tokens."""
 
     #: Stretches and words kept for later blocks and tasks; a store that is full is emptied.
-    MOST_STRETCHES, MOST_WORDS, MOST_CHARS = 500_000, 800_000, 24 << 20
+    MOST_STRETCHES, MOST_WORDS, MOST_CHARS = 300_000, 500_000, 16 << 20
 
     def __init__(self, data: bytes) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core

@@ -21,6 +21,10 @@ WHITE_RUN = r"[\x20\x09-\x0D]+"
 BROADCAST_BYTES = 16 << 20
 
 
+#: Objects that a Python worker keeps: tokenizers, models, tables.
+MOST_OBJECTS = 3
+
+
 def col(name: str) -> Column:
     """A column by its whole name, dots included."""
     return F.col("`" + name.replace("`", "``") + "`")
@@ -56,11 +60,14 @@ def vocabulary(spark: SparkSession, path: str):
 
 
 def per_worker(kind: str, data: bytes, build: Callable):
-    """``build(data)``, once in each Python worker and kept between its tasks."""
+    """``build(data)``, once in each Python worker and kept between its tasks; the last ``MOST_OBJECTS`` are kept."""
     name = "_cuelab_llm_objects"
     store = sys.modules.setdefault(name, types.ModuleType(name)).__dict__
     key = (kind, hashlib.md5(data).digest())
     if key not in store:
+        kept = [k for k in store if isinstance(k, tuple)]
+        for old in kept[: max(0, len(kept) - MOST_OBJECTS + 1)]:
+            del store[old]
         store[key] = build(data)
     return store[key]
 
