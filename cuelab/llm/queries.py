@@ -83,11 +83,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLES = {
     "op6_url_filters": r"""
 WITH u AS (
-  SELECT page_id, coalesce(url, '') AS url, strpos(coalesce(url, ''), '://') AS at FROM pages
+  SELECT page_id, coalesce(url, '') AS url, strpos(coalesce(url, ''), '://') AS sep FROM pages
 ), p AS (
   SELECT page_id,
-    CASE WHEN at = 0 THEN '' ELSE regexp_extract(substr(url, at + 3), '^[^/?#]*') END AS raw_host,
-    CASE WHEN at = 0 THEN '' ELSE regexp_extract(substr(url, at + 3), '^[^/?#]*([^?#]*)', 1) END AS path
+    CASE WHEN sep = 0 THEN '' ELSE regexp_extract(substr(url, sep + 3), '^[^/?#]*') END AS raw_host,
+    CASE WHEN sep = 0 THEN '' ELSE regexp_extract(substr(url, sep + 3), '^[^/?#]*([^?#]*)', 1) END AS path
   FROM u
 ), h AS (
   SELECT page_id, translate(raw_host, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, path FROM p
