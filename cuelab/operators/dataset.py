@@ -167,11 +167,13 @@ def keep_last_predictions(
     order: Sequence[str] = ("seq",),
     original: str = "original_sentence",
     biased: str = "biased_sentence",
+    conditions: Sequence[str] = ALL_CONDITIONS,
+    clean: Sequence[str] = CLEAN_CONDITIONS,
 ) -> DataFrame:
-    """One prediction per model, condition and text: the original text for clean conditions,
-    the biased text for the others. Rows of unknown conditions are left out. ``original`` and
+    """One prediction per model, condition and text: the original text for the ``clean`` conditions,
+    the biased text for the others. Rows of conditions that are not listed are left out. ``original`` and
     ``biased`` may name the columns of ``with_text_keys`` as well."""
-    df = df.filter(F.col("condition").isin(ALL_CONDITIONS))
-    text = F.when(F.col("condition").isin(CLEAN_CONDITIONS), F.col(original)).otherwise(F.col(biased))
+    df = df.filter(F.col("condition").isin(list(conditions)))
+    text = F.when(F.col("condition").isin(list(clean)), F.col(original)).otherwise(F.col(biased))
     keys = [c for c in ("model", "condition") if c in df.columns]
     return keep_last(df.withColumn("__text", text_key(text)), [*keys, "__text"], order).drop("__text")

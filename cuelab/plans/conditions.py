@@ -21,14 +21,8 @@ class Condition:
     system: str
     template: str
     labels_col: str | None = None
-
-    @property
-    def clean(self) -> bool:
-        return self.name in CLEAN_CONDITIONS
-
-    @property
-    def parser(self) -> str:
-        return "cot" if self.name in COT_CONDITIONS else "plain"
+    clean: bool = False  # whether it asks about the original sentences of clean rows
+    parser: str = "plain"  # or "cot"
 
 
 def sentiment_conditions(
@@ -49,7 +43,11 @@ def sentiment_conditions(
     unknown = set(names) - set(spec)
     if unknown:
         raise ValueError(f"unknown conditions: {sorted(unknown)}")
-    return [Condition(ALL_CONDITIONS.index(n), n, *spec[n]) for n in ALL_CONDITIONS if n in set(names)]
+    return [
+        Condition(ALL_CONDITIONS.index(n), n, *spec[n], clean=n in CLEAN_CONDITIONS, parser="cot" if n in COT_CONDITIONS else "plain")
+        for n in ALL_CONDITIONS
+        if n in set(names)
+    ]
 
 
 def is_clean(biases: Column) -> Column:
