@@ -25,6 +25,15 @@ def value_counts(df: DataFrame, col: str) -> DataFrame:
     )
 
 
+def composition(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """``part`` (the column), ``value`` and ``n`` for several columns of few values, in one scan: their
+    combinations are counted first. Missing cells are not counted; unsorted, as tables between steps are."""
+    cells = df.groupBy(*cols).agg(F.count(F.lit(1)).alias("n"))
+    parts = F.array(*[F.struct(F.lit(c).alias("part"), F.col(c).cast("string").alias("value")) for c in cols])
+    long = cells.select(F.explode(parts).alias("c"), "n").select("c.*", "n").filter(F.col("value").isNotNull())
+    return long.groupBy("part", "value").agg(F.sum("n").alias("n"))
+
+
 def null_rate(df: DataFrame, col: str, by: Sequence[str] = ("model",)) -> DataFrame:
     """Number and percentage of missing cells."""
     c = df.groupBy(*by).agg(
@@ -116,9 +125,16 @@ def error_sample(
     df: DataFrame, n: int = 100, seed: int = 42, key: Sequence[str] = ("model", "example_id"),
     rewrite_col: str = "detected_bias_rewrite",
 ) -> DataFrame:
-    """A seeded uniform sample of the error rows, sorted for reading."""
+    """A seeded uniform sample of the error rows, sorted for reading. ``key`` identifies a row: the
+    sample is drawn on keys alone, and the texts of the drawn rows are fetched after."""
     errors = error_rows(df, carry=list(key), rewrite_col=rewrite_col)
-    sampled = random_sample(errors, n, [*key, "error_type"], seed)
+    names = [*key, "error_type"]
+    drawn = random_sample(errors.select(*names), n, names, seed)
+    drawn = F.broadcast(drawn) if n <= 1000 else drawn.hint("merge")  # n rows at most
+    same = F.lit(True)
+    for k in names:
+        same = same & F.col(f"e.{k}").eqNullSafe(F.col(f"d.{k}"))
+    sampled = errors.alias("e").join(drawn.alias("d"), same, "left_semi")
     return sampled.orderBy("error_type", "bias_type", *key)
 
 

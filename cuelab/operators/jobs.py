@@ -29,7 +29,6 @@ from cuelab.operators.generate import (
     classify,
     generate,
 )
-from cuelab.operators.joins import remaining
 from cuelab.plans.conditions import (
     Condition,
     condition_prompt,
@@ -152,6 +151,21 @@ def judge(
     return answered.withColumn("__scores", parse_judge(F.col("judge_response"))).select(*columns, "__scores.*")
 
 
+#: The conditions that an example is done with.
+FINISHED = "__finished"
+
+
+def with_finished(rewrites: DataFrame, done: DataFrame) -> DataFrame:
+    """Beside each example the set of conditions in ``done``: one join per example, not one per condition."""
+    keys = [k for k in ("model", "example_id") if k in rewrites.columns]
+    sets = done.groupBy(*keys).agg(F.collect_set("condition").alias(FINISHED))
+    e, d = rewrites.alias("e"), sets.hint("merge").alias("d")
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(f"e.{k}").eqNullSafe(F.col(f"d.{k}"))
+    return e.join(d, same, "left").select("e.*", f"d.{FINISHED}")
+
+
 def condition_prompts(
     rewrites: DataFrame,
     conditions: Sequence[Condition] | None = None,
@@ -159,16 +173,17 @@ def condition_prompts(
     done: DataFrame | None = None,
     keep: Sequence[str] | None = None,
 ) -> DataFrame:
-    """The prompt table of the sentiment conditions, without the keys already ``done``; of the
-    other columns those in ``keep``, or all."""
+    """The prompt table of the sentiment conditions, without the keys already ``done`` (or those
+    that ``with_finished`` has marked); of the other columns those in ``keep``, or all. Finished
+    conditions are taken out before the expansion, so texts are shuffled once per example."""
     conditions = conditions or sentiment_conditions()
     examples = rewrites.drop("error")
     if "predicted_biases" in examples.columns:
         examples = examples.withColumn("predicted_biases", _as_text(examples, "predicted_biases"))
-    rows = expand_conditions(examples, conditions)
     if done is not None:
-        keys = [k for k in ("model", "condition", "example_id") if k in rows.columns]
-        rows = remaining(rows, done, keys)
+        examples = with_finished(examples, done)
+    finished = FINISHED if FINISHED in examples.columns else None
+    rows = expand_conditions(examples, conditions, finished).drop(FINISHED)
     return _carried(rows.withColumn("prompt", condition_prompt(conditions, missing)), keep)
 
 

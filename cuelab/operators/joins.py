@@ -33,21 +33,26 @@ def attach_by_text(
     keys: Sequence[str] = ("model",),
     row_id: str = "example_id",
     rows_per_task: int = ROWS_PER_TASK,
+    last_by: Sequence[str] = (),
+    every: bool = False,
 ) -> DataFrame:
-    """Left join on the text itself, for results that carry no example id.
+    """Left join on the text itself, for results that carry no example id: one row per example.
 
-    Copies of a text would multiply: n examples with n results make n² equal rows. Results are
-    therefore reduced to one row per text and value with their number in ``n_copies``, so the
-    same multiset comes out in a size that copies cannot blow up. Unmatched examples have
-    ``n_copies`` 1, as a left join keeps them once.
+    Copies of a text would multiply: n examples with n results make n² rows. So results are first
+    reduced to one per text, the last by the columns ``last_by`` (of equal ones the greatest digest
+    of the values); ``n_copies`` says how many there were, 1 for unmatched examples. With ``every``
+    each distinct value of a text gives a row with its number: for labels and scores, of
+    which there are few, not for texts that a model wrote.
     """
     by = [*keys, "__text"]
+    keyed_results = results.withColumn("__text", text_key(F.col(text_col)))
+    n_copies = F.count(F.lit(1)).alias("n_copies")
+    if every:
+        distinct = keyed_results.groupBy(*by, *value_cols).agg(n_copies)
+    else:
+        last = F.max_by(F.struct(*value_cols), F.struct(*last_by, F.xxhash64(*value_cols)))
+        distinct = keyed_results.groupBy(*by).agg(last.alias("__last"), n_copies).select(*by, "__last.*", "n_copies")
     key = text_key(F.col(text_col))
-    distinct = (
-        results.select(*keys, key.alias("__text"), *value_cols)
-        .groupBy(*by, *value_cols)
-        .agg(F.count(F.lit(1)).alias("n_copies"))
-    )
     keyed = examples.withColumn("__text", key)
     out = salted_join(keyed, distinct, by, row_id=row_id, rows_per_task=rows_per_task).drop("__text")
     return out.withColumn("n_copies", F.coalesce("n_copies", F.lit(1)))

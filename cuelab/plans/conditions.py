@@ -60,14 +60,19 @@ def split_biased_clean(df: DataFrame, biases_col: str = "biases") -> tuple[DataF
     return df.filter(~clean), df.filter(clean)
 
 
-def expand_conditions(examples: DataFrame, conditions: Sequence[Condition]) -> DataFrame:
+def expand_conditions(examples: DataFrame, conditions: Sequence[Condition], finished: str | None = None) -> DataFrame:
     """Each example with each condition of its population: adds ``condition, condition_ord,
     parser``. The population is a property of the example, so clean conditions never meet biased
-    rows. Only constants are exploded; the prompt is added to the exploded rows."""
+    rows. Conditions in the array column ``finished`` are left out. Only constants are exploded; the
+    prompt is added to the exploded rows."""
     clean = is_clean(F.col("biases"))
+
+    def open_(name: str) -> Column:
+        return ~F.coalesce(F.array_contains(F.col(finished), name), F.lit(False)) if finished else F.lit(True)
+
     rows = [
         (
-            clean if c.clean else ~clean,
+            (clean if c.clean else ~clean) & open_(c.name),
             F.struct(
                 F.lit(c.name).alias("condition"),
                 F.lit(c.ord).alias("condition_ord"),

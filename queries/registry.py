@@ -709,13 +709,7 @@ def error_sample(spark, sf):
     ),
 )
 def composition(spark, sf):
-    d = R.dataset(spark, sf)
-    return D.union_all(
-        [
-            A.value_counts(d, c).select(F.lit(c).alias("part"), F.col(c).alias("value"), "n")
-            for c in ("label", "biases")
-        ]
-    )
+    return A.composition(R.dataset(spark, sf), ["label", "biases"])
 
 
 # --- dataset ----------------------------------------------------------------------
@@ -1095,6 +1089,38 @@ def resume_conditions(spark, sf):
     )
 
 
+_TWO = ["2_no_defense", "4_cot_clean"]
+_TWO_SQL = f"SELECT * FROM ({ORACLES['defense_conditions']}) WHERE condition IN ({', '.join(Q.s(c) for c in _TWO)})"
+
+
+def _predictions(spark, path):
+    columns = "model", "condition", "example_id", "predicted_sentiment", "parsed_sentiment"
+    return latest_predictions(spark, path).select(*columns)
+
+
+@query("resume_in_batches", _TWO_SQL)
+def resume_in_batches(spark, sf):
+    # Both runs commit their answers batch by batch; the second one asks for what failed.
+    path = fresh_path(spark, "predictions")
+    rows, keep = R.rewrites(spark, sf), ["model", "example_id"]
+    picky = R.refusing(R.canned_backend(R.CANNED_SENTIMENTS), "the")
+    once = replace(SENTIMENT, attempts=1, backoff_s=0.0)
+    how = {"conditions": _TWO, "checkpoint_every": 20_000, "files_per_batch": 64, "keep": keep}
+    run_conditions(rows, picky, path, params=once, **how)
+    run_conditions(rows, R.canned_backend(R.CANNED_SENTIMENTS), path, **how)
+    return _predictions(spark, path)
+
+
+@query("override_run", _TWO_SQL)
+def override_run(spark, sf):
+    # Nothing of the first run is left.
+    path = fresh_path(spark, "predictions")
+    rows, keep = R.rewrites(spark, sf), ["model", "example_id"]
+    run_conditions(rows, R.canned_backend(["other"]), path, conditions=["2_no_defense", "3_generic_defense"], keep=keep)
+    run_conditions(rows, R.canned_backend(R.CANNED_SENTIMENTS), path, conditions=_TWO, mode="override", keep=keep)
+    return _predictions(spark, path)
+
+
 # --- joins --------------------------------------------------------------------------
 
 
@@ -1142,7 +1168,7 @@ def attach_detections(spark, sf):
 def attach_detections_by_text(spark, sf):
     found = _found(R.detection_cells(spark, sf)).select("model", "biased_key", "predicted_biases")
     examples = _ids(spark, sf).select("model", "example_id", "biased_key")
-    out = N.attach_by_text(examples, found, ["predicted_biases"], "biased_key")
+    out = N.attach_by_text(examples, found, ["predicted_biases"], "biased_key", every=True)
     return out.select("model", "example_id", "predicted_biases", "n_copies")
 
 
@@ -1150,18 +1176,22 @@ def attach_detections_by_text(spark, sf):
     "attach_rewrites",
     Q.using(
         "rewrites",
-        "SELECT d.model, d.example_id, md5(r.detected_bias_rewrite) AS detected_bias_rewrite, "
-        "md5(r.true_bias_rewrite) AS true_bias_rewrite, count(*) AS n_copies FROM (SELECT * FROM rewrites WHERE biases <> 'none') d "
-        "LEFT JOIN done r ON d.model = r.model AND d.biased_sentence = r.biased_sentence "
-        "GROUP BY d.model, d.example_id, r.detected_bias_rewrite, r.true_bias_rewrite",
-        f"done AS (SELECT model, biased_sentence, detected_bias_rewrite, true_bias_rewrite FROM rewrites WHERE {_FOUND_SQL})",
+        "SELECT d.model, d.example_id, md5(r.detected_bias_rewrite || ' ' || r.example_id) AS detected_bias_rewrite, "
+        "md5(r.true_bias_rewrite || ' ' || r.example_id) AS true_bias_rewrite, coalesce(l.n, 1) AS n_copies "
+        "FROM (SELECT * FROM rewrites WHERE biases <> 'none') d "
+        "LEFT JOIN done l ON d.model = l.model AND d.biased_sentence = l.biased_sentence "
+        "LEFT JOIN rewrites r ON r.model = l.model AND r.example_id = l.last_id",
+        f"done AS (SELECT model, biased_sentence, max(example_id) AS last_id, count(*) AS n FROM rewrites WHERE {_FOUND_SQL} GROUP BY ALL)",
     ),
 )
 def attach_rewrites(spark, sf):
     texts = ["detected_bias_rewrite", "true_bias_rewrite"]
-    found = _found(R.rewrites(spark, sf)).select("model", "biased_sentence", *texts)
+    # No two copies of a text have the same rewrite: each example gets the last one.
+    own = {t: F.concat_ws(" ", t, "example_id") for t in texts}
+    own = {t: F.when(col(t).isNotNull(), v) for t, v in own.items()}
+    found = _found(R.rewrites(spark, sf)).withColumns(own).select("model", "biased_sentence", "example_id", *texts)
     biased, _ = split_biased_clean(_ids(spark, sf))
-    out = N.attach_by_text(biased.select("model", "example_id", "biased_sentence"), found, texts)
+    out = N.attach_by_text(biased.select("model", "example_id", "biased_sentence"), found, texts, last_by=["example_id"])
     return out.select("model", "example_id", *digest(*texts), "n_copies")
 
 
@@ -1181,11 +1211,11 @@ def resume_anti_join(spark, sf):
     "resume_by_text",
     Q.using(
         "predictions",
-        """SELECT model, condition, example_id FROM keyed WHERE NOT EXISTS (SELECT 1 FROM keyed d WHERE
-           d.model = keyed.model AND d.condition = keyed.condition AND d.text IS NOT DISTINCT FROM keyed.text AND d.done)""",
-        f"""keyed AS (SELECT model, condition, example_id, {_DONE_SQL} AS done,
-            CASE WHEN biases = 'framing' THEN NULL WHEN condition IN ({', '.join(Q.s(c) for c in CLEAN_CONDITIONS)})
-            THEN original_sentence ELSE biased_sentence END AS text FROM predictions)""",
+        "SELECT model, condition, example_id FROM keyed ANTI JOIN finished USING (model, condition, text)",
+        f"""keyed AS MATERIALIZED (SELECT model, condition, example_id, {_DONE_SQL} AS done, coalesce(md5(CASE
+            WHEN biases = 'framing' THEN NULL WHEN condition IN ({', '.join(Q.s(c) for c in CLEAN_CONDITIONS)})
+            THEN original_sentence ELSE biased_sentence END), '') AS text FROM predictions),
+            finished AS (SELECT DISTINCT model, condition, text FROM keyed WHERE done)""",
     ),
 )
 def resume_by_text(spark, sf):
@@ -1281,7 +1311,7 @@ def scan_skip(spark, sf):
     Q.using(
         "predictions",
         "SELECT model, condition, example_id, CASE WHEN condition = '4_cot' THEN 'asked again' ELSE parsed_sentiment END "
-        "AS parsed_sentiment FROM predictions",
+        "AS parsed_sentiment FROM predictions WHERE condition <> '3_generic_defense'",
     ),
 )
 def replace_condition(spark, sf):
@@ -1289,7 +1319,10 @@ def replace_condition(spark, sf):
     p = R.predictions(spark, sf).select("model", "condition", "example_id", "parsed_sentiment")
     files.replace_partitions(p, path)
     again = p.filter(col("condition") == "4_cot").withColumn("parsed_sentiment", F.lit("asked again"))
-    files.replace_partitions(again, path)
+    # The other condition has no rows any more.
+    chosen = F.explode(F.array(F.lit("4_cot"), F.lit("3_generic_defense"))).alias("condition")
+    cleared = spark.createDataFrame([(m,) for m in R.MODELS], "model string").select("model", chosen)
+    files.replace_partitions(again, path, cleared=cleared)
     return spark.read.parquet(path).select("model", "condition", "example_id", "parsed_sentiment")
 
 

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cuelab.operators import joins as N
-from cuelab.operators.skew import hot_keys, salted_join
+from cuelab.operators.skew import heavy_keys, hot_keys, salted_join
 from tests.conftest import plan_of, values
 
 
@@ -42,8 +42,10 @@ def test_salted_join_spreads_the_hot_key(spark):
         spark.conf.set("spark.sql.adaptive.enabled", "true")
     assert len(sizes) == 8 and max(sizes) < 2 * sum(sizes) / 8
     assert "SortMergeJoin" in plan and "Cartesian" not in plan and "NestedLoop" not in plan
-    # What is broadcast is the list of hot keys, cut to its size before.
-    assert plan.count("BroadcastExchange") >= 1 and "TakeOrderedAndProject(limit=100000" in plan
+    # What is broadcast is the list of hot keys, cut to its size when it was found: no scan stands under it.
+    under = plan.split("BroadcastExchange")[1:]
+    assert under and len(heavy_keys(skewed(spark).select(F.xxhash64("k").alias("h")), "h", 0, k=3)) == 3
+    assert plan.count("Scan ExistingRDD[__h#") + plan.count("LocalTableScan [__h#") >= 1
 
 
 def test_several_keys_do_not_run_together(spark):
@@ -61,6 +63,25 @@ def test_hot_keys_are_bounded_and_repeatable(spark):
     assert hot_keys(df, "k").count() == 0
 
 
+def test_heavy_keys_by_sketch(spark):
+    df = spark.range(30_000).select(F.when(F.col("id") % 3 == 0, F.lit(-7)).otherwise(F.col("id")).alias("k"))
+    assert heavy_keys(df, "k", 500) == [(-7, 10_000)]
+    assert heavy_keys(df, "k", 20_000) == heavy_keys(df.limit(0), "k", 0) == []
+    [(key, n)] = heavy_keys(df.repartition(5), "k", 500, k=3, tracked=64)  # far fewer counters than keys
+    assert key == -7 and abs(n - 10_000) < 2_000
+
+
+def test_salting_does_not_change_the_rows(spark):
+    df = skewed(spark).withColumn("id", F.monotonically_increasing_id())
+    right = df.select("k").distinct().withColumn("v", F.concat(F.lit("v"), "k"))
+    for how in ("left", "inner", "left_semi", "left_anti"):
+        few = right.filter("k <> 'hot'") if how == "left_anti" else right
+        salted = salted_join(df, few, ["k"], how, row_id="id", rows_per_task=10)
+        plain = salted_join(df, few, ["k"], how, row_id="id")
+        assert "__salt" in plan_of(salted) and "__salt" not in plan_of(plain)
+        assert values(salted) == values(plain)
+
+
 def test_attach(spark):
     ex = spark.createDataFrame([("m", "1"), ("m", "2")], "model string, example_id string")
     res = spark.createDataFrame([("m", "1", "x", 0), ("n", "2", "y", 0)], "model string, example_id string, v string, w int")
@@ -74,7 +95,7 @@ def test_attach_by_text_is_the_left_join_with_copies_counted(spark):
     e = spark.createDataFrame(ex, "model string, example_id string, biased_sentence string")
     r = spark.createDataFrame(res, "model string, biased_sentence string, v string")
     got = Counter()
-    for row in N.attach_by_text(e, r, ["v"]).collect():
+    for row in N.attach_by_text(e, r, ["v"], every=True).collect():
         got[row["example_id"], row["v"]] += row["n_copies"]
     want = Counter()
     for _, i, text in ex:
@@ -87,9 +108,13 @@ def test_attach_by_text_is_the_left_join_with_copies_counted(spark):
 def test_copies_do_not_multiply(spark):
     text = spark.range(2000).select(F.lit("m").alias("model"), F.col("id").cast("string").alias("example_id"), F.lit("same").alias("biased_sentence"))
     found = text.select("model", "biased_sentence", (F.col("example_id").cast("int") % 4).alias("v"))
-    out = N.attach_by_text(text, found, ["v"], rows_per_task=100)
+    out = N.attach_by_text(text, found, ["v"], rows_per_task=100, every=True)
     assert out.count() == 8000
     assert out.agg(F.sum("n_copies")).first()[0] == 2000 * 2000
+    own = text.select("model", "biased_sentence", F.col("example_id").cast("int").alias("seq"), F.concat(F.lit("r"), "example_id").alias("v"))
+    out = N.attach_by_text(text, own, ["v"], rows_per_task=100, last_by=["seq"])
+    assert values(out.select("v", "n_copies").distinct()) == [("r1999", 2000)] and out.count() == 2000
+    assert N.attach_by_text(text, own, ["v"]).select("v").distinct().count() == 1
 
 
 def test_remaining(spark):

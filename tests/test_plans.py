@@ -72,6 +72,17 @@ def test_conditions_and_populations(spark):
     assert got == sorted(want, key=repr)
 
 
+def test_finished_conditions_are_left_out_before_the_expansion(spark):
+    rows = examples(spark).withColumn("model", F.lit("m"))
+    whole = jobs.condition_prompts(rows)
+    done = whole.filter("condition like '4%' or example_id = '3'").select("model", "condition", "example_id")
+    left = jobs.condition_prompts(rows, done=done.unionByName(done))
+    assert values(left.drop("prompt")) == values(whole.filter("condition not like '4%' and example_id <> '3'").drop("prompt"))
+    assert "Exchange" not in plan_of(left).split("Generate")[0]
+    empty = jobs.condition_prompts(rows, done=done.limit(0))
+    assert values(empty) == values(whole)
+
+
 def test_condition_prompts(spark):
     prompts = jobs.condition_prompts(examples(spark))
     by_key = {(r["example_id"], r["condition"]): r for r in prompts.collect()}
