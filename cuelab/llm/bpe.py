@@ -198,10 +198,7 @@ def encoded(spark: SparkSession, text: Column, ranks_path: str, pattern: str) ->
     def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         replayer = per_worker("replay " + pattern, data.value, lambda d: Replayer(d, pattern))
         for batch in batches:
-            ids = replayer.ids(batch.to_pylist())
-            ends = np.cumsum([0] + [len(x) // 4 for x in ids])
-            values = pa.array(np.frombuffer(b"".join(ids), np.int32))
-            yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)
+            yield _as_lists(replayer.ids(batch.to_pylist()))
 
     return encode(text)
 
@@ -213,13 +210,40 @@ def decoded(spark: SparkSession, ids: Column, ranks_path: str) -> Column:
     @F.arrow_udf("binary")
     def decode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         tokens = per_worker("tokens", data.value, lambda d: {r: t for t, r in read_ranks(d).items()})
-        get = tokens.__getitem__
         for batch in batches:
-            yield pa.array([None if x is None else b"".join(map(get, x.tolist())) for x in _lists(batch)], pa.binary())
+            yield _decode(batch, tokens)
 
     return decode(ids)
 
 
+def round_trip(spark: SparkSession, text: Column, ranks_path: str, pattern: str) -> Column:
+    """``ids`` as of ``encoded`` and ``bytes`` as of ``decoded``, made from these ids, in one visit to a Python worker.
+
+    Two functions one after the other would have two workers a core, each with the stores of both in time.
+    """
+    data = vocabulary(spark, ranks_path)
+
+    @F.arrow_udf("ids array<int>, bytes binary")
+    def both(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        replayer = per_worker("replay " + pattern, data.value, lambda d: Replayer(d, pattern))
+        tokens = {r: t for t, r in replayer.ranks.items()}
+        for batch in batches:
+            ids = _as_lists(replayer.ids(batch.to_pylist()))
+            yield pa.StructArray.from_arrays([ids, _decode(ids, tokens)], names=["ids", "bytes"])
+
+    return both(text)
+
+
+def _as_lists(ids: list[bytes]) -> pa.Array:
+    ends = np.cumsum([0] + [len(x) // 4 for x in ids])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(ids), np.int32)))
+
+
+def _decode(ids: pa.Array, tokens: dict[int, bytes]) -> pa.Array:
+    get = tokens.__getitem__
+    return pa.array([None if x is None else b"".join(map(get, x.tolist())) for x in _lists(ids)], pa.binary())
+
+
 def _lists(batch: pa.Array) -> Iterator[np.ndarray | None]:
     values, ends = batch.values.to_numpy(), batch.offsets.to_numpy()
     for i, there in enumerate(batch.is_valid().to_pylist()):

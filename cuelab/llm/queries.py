@@ -58,9 +58,8 @@ def op8_token_files(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def op9_byte_bpe(spark: SparkSession, sf: str) -> DataFrame:
-    docs = table(spark, sf, "documents").select("doc_id", "text")
-    coded = bpe.with_ids(docs, RANKS, public_tokenizers.PATTERN)
-    both = coded.withColumn("bytes", bpe.decoded(spark, F.col("ids"), RANKS))
+    text = F.coalesce("text", F.lit(""))
+    both = table(spark, sf, "documents").select("doc_id", bpe.round_trip(spark, text, RANKS, public_tokenizers.PATTERN).alias("b")).select("doc_id", "b.*")
     listed = F.array_join(F.col("ids").cast("array<string>"), " ")
     return both.select(
         "doc_id", F.size("ids").cast("bigint").alias("n_tokens"), F.sha2(listed, 256).alias("ids_sha256"), F.sha2("bytes", 256).alias("decoded_sha256")

@@ -11,6 +11,7 @@ import public_tokenizers as P
 import pytest
 import tiktoken
 import xxhash
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from cuelab.llm import bpe, exact_dedup, golay, html_text, packing, quality, queries, simhash, token_counts, token_files, toxicity, url_rules
@@ -89,7 +90,10 @@ def test_byte_bpe(spark, table):
     name = coded.columns[-1]
     back = coded.select("doc_id", name, bpe.decoded(spark, coded[name], queries.RANKS).alias("b"))
     got = sorted(((r[0], list(r[1]), bytes(r[2])) for r in back.collect()), key=repr)
-    assert got == sorted(((i, tik.encode_ordinary(x), x.encode()) for i, x in texts(table)), key=repr)
+    want = sorted(((i, tik.encode_ordinary(x), x.encode()) for i, x in texts(table)), key=repr)
+    assert got == want
+    both = table.select("doc_id", bpe.round_trip(spark, F.coalesce("text", F.lit("")), queries.RANKS, P.PATTERN).alias("b"))
+    assert sorted(((r[0], list(r[1]), bytes(r[2])) for r in both.select("doc_id", "b.ids", "b.bytes").collect()), key=repr) == want
 
 
 def test_plan_uses_every_piece_once():
