@@ -21,8 +21,8 @@ WHITE_RUN = r"[\x20\x09-\x0D]+"
 BROADCAST_BYTES = 16 << 20
 
 
-#: Objects that a Python worker keeps: tokenizers, models, tables.
-MOST_OBJECTS = 3
+#: Objects that a Python worker keeps: tokenizers, models, tables. One, so that a stage does not hold those of the stage before.
+MOST_OBJECTS = 1
 
 
 def col(name: str) -> Column:
