@@ -238,6 +238,17 @@ def test_html(spark):
     assert html_text.main_texts(pages.limit(0)).collect() == []
 
 
+def test_differencing_decides_outside_of_articles_too(spark):
+    page = "<body><div>Site</div><div>Body of {0}</div><article class=teaser><p>Teaser</p></article><p>{0} ends</p><div>Imprint</div>"
+    rows = [(i, f"http://h/{i}", page.format(i)) for i in (1, 2, 3)] + [(4, "http://h/4", "<p>Alone</p><div>Imprint</div>"), (5, "http://h/4", "<p>Alone</p><div>Imprint</div>")]
+    got = {r[0]: r["text"] for r in html_text.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert [got[i] for i in (1, 2, 3)] == [f"Body of {i}\nTeaser\n{i} ends" for i in (1, 2, 3)]
+    assert got[4] == "Alone"  # the copy after it tells nothing, the page before it does
+    lines = ["Menu", "Text", "Own", "Menu"]
+    assert html_text.main_text(lines, "oaox", [["Menu", "Text"]]) == "Text\nOwn"
+    assert html_text.main_text(lines, "oaox", [lines]) == html_text.main_text(lines, "oaox", []) == "Menu\nText\nOwn"
+
+
 def test_shared_lines_are_a_longest_common_subsequence():
     rng = np.random.default_rng(3)
     for _ in range(200):
