@@ -249,6 +249,16 @@ def test_differencing_decides_outside_of_articles_too(spark):
     assert html_text.main_text(lines, "oaox", [lines]) == html_text.main_text(lines, "oaox", []) == "Menu\nText\nOwn"
 
 
+def test_labels_inside_an_article_need_more_evidence():
+    page = ("<article><h2 id=discussion>Discussion</h2><section id=related-work><h2>Related work</h2><p>Read {0}</section><p id=social-history>History"
+            "<div class=share-prices>Prices {0}</div><p>So <span class=ad-hoc>it</span> is<div class='box ad'>Buy</div><div id=share>Tell</div>"
+            "<ul class=social-links><li><a href=/>Post {0}</a></ul><div class=promo-box>Join us</div><p><a class=share-link>Send {0}</a></article>")
+    pages = [html_text.page_lines(page.format(i)) for i in "12"]
+    want = "Discussion\nRelated work\nRead 1\nHistory\nPrices 1\nSo it is"
+    assert html_text.main_text(*pages[0], [pages[1][0]]) == want
+    assert html_text.main_text(*pages[0], []) == want + "\nJoin us"  # nobody agrees
+
+
 def test_shared_lines_are_a_longest_common_subsequence():
     rng = np.random.default_rng(3)
     for _ in range(200):
