@@ -259,6 +259,13 @@ def test_labels_inside_an_article_need_more_evidence():
     assert html_text.main_text(*pages[0], []) == want + "\nJoin us"  # nobody agrees
 
 
+def test_an_open_head_ends_where_the_body_begins():
+    head = "<html><head><meta charset=utf-8><title>T</title><script>x()</script><noscript><p>No script</p></noscript>"
+    for start in ("</head><body>", "<body>", "</head>", "", "<link rel=x>\n", "<noscript><body>"):
+        for rest in ("<p>One<p>Two", "One<br><p>Two", "<img src=x>One<hr>Two"):
+            assert html_text.page_lines(head + start + rest)[0] == ["One", "Two"], (start, rest)
+
+
 def test_shared_lines_are_a_longest_common_subsequence():
     rng = np.random.default_rng(3)
     for _ in range(200):
