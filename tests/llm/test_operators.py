@@ -159,6 +159,22 @@ def test_toxicity_learns_and_holds_out(spark):
     assert toxicity.drop_toxic(docs, labels).count() == 323 - 1  # the repeated toxic row goes too
 
 
+def test_toxicity_counts_all_training_rows(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "MOST_TOXIC", 40)  # of the logistic curve only
+    monkeypatch.setattr(toxicity, "MOST_ORDINARY", 80)
+    rng = np.random.default_rng(6)
+    rows, truth = [], {}
+    for i in range(900):
+        body = [f"w{k}" for k in rng.integers(0, 30, 60)]
+        truth[i] = int(i % 5 == 0)
+        if truth[i]:
+            body[30] = f"bad{i // 5 % 12}"  # each in some 11 training texts, in under 5 of the sample
+        rows.append((i, " ".join(body)))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = toxicity.score_toxicity(docs, spark.createDataFrame(list(truth.items()), "doc_id bigint, toxic int"))
+    assert [r["doc_id"] for r in got.collect() if r["held_out"] and r["predicted"] != truth[r["doc_id"]]] == []
+
+
 def counts(text):
     w = [x for x in WHITE.split(text) if x]
     seen, dup = set(), 0
