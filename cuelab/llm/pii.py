@@ -55,6 +55,8 @@ AGAINST = r"(?i)\b(?:version|release|section|chapter|isbn|issn|doi|build|rfc|lic
 
 LABELERS = ("form", "check", "listed", "near", "edge")
 STEPS = 30
+#: Right votes and votes that each labeler starts with; the least share of either answer.
+RIGHT, TRIALS, LEAST_SHARE = 7, 10, 0.02
 #: Buckets of a feature's values in the classifier, and the weight of what is not known.
 BUCKETS, SMOOTH = 4096, 1.0
 #: Certainties are counted in thousandths, so that sums do not depend on their order.
@@ -156,29 +158,25 @@ def _votes(spans: DataFrame) -> DataFrame:
     )
 
 
-def reliabilities(counts: list[tuple[tuple[int, ...], int]]) -> tuple[float, list[dict[int, tuple[float, float]]], dict[tuple[int, ...], float]]:
-    """Share of personal data, each labeler's P(vote | no), P(vote | yes), and the likelihood of each vote pattern.
+def reliabilities(counts: list[tuple[tuple[int, ...], int]]) -> tuple[float, list[float], dict[tuple[int, ...], float]]:
+    """Share of personal data, each labeler's share of right votes, and the likelihood of each vote pattern.
 
-    ``counts``: patterns of votes with their number of rows. Labelers are taken as independent given the truth; the
-    first guess is the sum of votes, and every count starts from one half, so no vote is ever impossible.
+    ``counts``: patterns of votes with their number of rows. Labelers are independent given the truth; one that does
+    not vote says nothing. The first guess is the sum of votes. A labeler starts with ``RIGHT`` of ``TRIALS`` votes
+    right, so that one with few votes is neither trusted nor thrown out.
     """
     likely = {p: min(0.95, max(0.05, 0.5 + 0.2 * sum(p))) for p, _ in counts}
-    share, tables = 0.5, []
+    share, right = 0.5, [RIGHT / TRIALS] * len(LABELERS)
     for _ in range(STEPS):
-        yes = sum(n * likely[p] for p, n in counts)
-        rows = sum(n for _, n in counts)
-        share = (yes + 0.5) / (rows + 1)
-        tables = []
+        share = (sum(n * likely[p] for p, n in counts) + 1) / (sum(n for _, n in counts) + 2)
+        share = min(1 - LEAST_SHARE, max(LEAST_SHARE, share))
         for i in range(len(LABELERS)):
-            table = {}
-            for vote in (-1, 0, 1):
-                of = [(n, likely[p]) for p, n in counts if p[i] == vote]
-                table[vote] = (sum(n * (1 - x) for n, x in of) + 0.5) / (rows - yes + 1.5), (sum(n * x for n, x in of) + 0.5) / (yes + 1.5)
-            tables.append(table)
+            voted = [(n, likely[p] if p[i] > 0 else 1 - likely[p]) for p, n in counts if p[i]]
+            right[i] = (sum(n * x for n, x in voted) + RIGHT) / (sum(n for n, _ in voted) + TRIALS)
         for p, _ in counts:
-            odds = math.log(share / (1 - share)) + sum(math.log(t[v][1] / t[v][0]) for t, v in zip(tables, p))
+            odds = math.log(share / (1 - share)) + sum(v * math.log(r / (1 - r)) for v, r in zip(p, right))
             likely[p] = 1 / (1 + math.exp(-max(-30.0, min(30.0, odds))))
-    return share, tables, likely
+    return share, right, likely
 
 
 def _likelihoods(spark: SparkSession, votes: DataFrame) -> DataFrame:
@@ -224,9 +222,11 @@ def _accepted(labelled: DataFrame) -> DataFrame:
     each = used.select("kind", "sure", F.explode("features").alias("f")).groupBy("kind", "f.feature", "f.bucket")
     counts = each.agg(F.sum("sure").alias("yes"), F.sum(UNIT - F.col("sure")).alias("no"))
     whole = used.groupBy("kind").agg((F.sum("sure") / UNIT).alias("all_yes"), (F.sum(UNIT - F.col("sure")) / UNIT).alias("all_no"))
-    weigh = F.log((F.col("yes") / UNIT + SMOOTH) / (F.col("all_yes") + SMOOTH * 2)) - F.log((F.col("no") / UNIT + SMOOTH) / (F.col("all_no") + SMOOTH * 2))
+    # a value met seldom says nothing: its odds are drawn to those of all candidates
+    share = (F.col("all_yes") + SMOOTH) / (F.col("all_yes") + F.col("all_no") + 2 * SMOOTH)
+    prior = F.log(share / (1 - share))
+    weigh = F.log((F.col("yes") / UNIT + SMOOTH * share) / (F.col("no") / UNIT + SMOOTH * (1 - share))) - prior
     model = materialise(counts.join(F.broadcast(whole), "kind").select("kind", "feature", "bucket", weigh.alias("weight")), "span-model")
-    prior = F.log((F.col("all_yes") + SMOOTH) / (F.col("all_no") + SMOOTH))
     asked = used.where(~F.col("base")).select("tag", "kind", "start", "end", F.explode("features").alias("f")).select("tag", "kind", "start", "end", "f.*")
     summed = asked.join(side(model, 40), ["kind", "feature", "bucket"]).groupBy("tag", "kind", "start", "end").agg(F.sum(F.round("weight", 6)).alias("weight"))
     return summed.join(F.broadcast(whole.select("kind", prior.alias("prior"))), "kind").where(F.col("weight") + F.col("prior") > 0).select("tag", "kind", "start", "end")
