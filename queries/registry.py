@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import replace
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,6 +37,7 @@ from cuelab.plans.conditions import split_biased_clean
 from cuelab.plans.injection import bias_plan, expand_models, expand_plan
 from cuelab.plans.prompts import INJECTION_TEMPLATES, TASK_TEMPLATES, render
 from cuelab.sources import files
+from cuelab.sources.batches import BatchTable
 from cuelab.streaming.incremental import generate_stream, latest_predictions, run_conditions
 from cuelab.workspace import fresh_path
 from queries import recipe as R
@@ -1089,38 +1091,73 @@ def resume_conditions(spark, sf):
     )
 
 
-_TWO = ["2_no_defense", "4_cot_clean"]
-_TWO_SQL = f"SELECT * FROM ({ORACLES['defense_conditions']}) WHERE condition IN ({', '.join(Q.s(c) for c in _TWO)})"
-
-
 def _predictions(spark, path):
     columns = "model", "condition", "example_id", "predicted_sentiment", "parsed_sentiment"
     return latest_predictions(spark, path).select(*columns)
 
 
-@query("resume_in_batches", _TWO_SQL)
+@query("resume_in_batches", ORACLES["defense_conditions"])
 def resume_in_batches(spark, sf):
     # Both runs commit their answers batch by batch; the second one asks for what failed.
     path = fresh_path(spark, "predictions")
     rows, keep = R.rewrites(spark, sf), ["model", "example_id"]
     picky = R.refusing(R.canned_backend(R.CANNED_SENTIMENTS), "the")
     once = replace(SENTIMENT, attempts=1, backoff_s=0.0)
-    how = {"conditions": _TWO, "checkpoint_every": 20_000, "files_per_batch": 64, "keep": keep}
+    how = {"one_by_one": False, "checkpoint_every": 20_000, "files_per_batch": 64, "keep": keep}
     run_conditions(rows, picky, path, params=once, **how)
     run_conditions(rows, R.canned_backend(R.CANNED_SENTIMENTS), path, **how)
     return _predictions(spark, path)
 
 
-@query("override_run", _TWO_SQL)
+class _Killed(BatchTable):
+    """Dies when the files of its second batch are written, before any of them is in the table."""
+
+    def publish(self, key):
+        if key.endswith("1"):
+            raise RuntimeError("killed")
+        super().publish(key)
+
+
+@query("resume_after_kill", ORACLES["defense_conditions"])
+def resume_after_kill(spark, sf):
+    # The table itself is compared, not the latest row of each key: no answer is there twice.
+    path = fresh_path(spark, "predictions")
+    rows, keep = R.rewrites(spark, sf), ["model", "example_id"]
+    how = {"one_by_one": False, "checkpoint_every": 20_000, "files_per_batch": 6, "keep": keep, "run": "nightly"}
+    try:
+        run_conditions(rows, R.canned_backend(R.CANNED_SENTIMENTS), path, batch_table=_Killed, **how)
+    except Exception as e:
+        if "killed" not in str(e):
+            raise
+    run_conditions(rows, R.canned_backend(R.CANNED_SENTIMENTS), path, **how)
+    return spark.read.parquet(path).select("model", "condition", "example_id", "predicted_sentiment", "parsed_sentiment")
+
+
+@query("override_run", ORACLES["defense_conditions"])
 def override_run(spark, sf):
     # Nothing of the first run is left.
     path = fresh_path(spark, "predictions")
     rows, keep = R.rewrites(spark, sf), ["model", "example_id"]
     run_conditions(rows, R.canned_backend(["other"]), path, conditions=["2_no_defense", "3_generic_defense"], keep=keep)
-    run_conditions(rows, R.canned_backend(R.CANNED_SENTIMENTS), path, conditions=_TWO, mode="override", keep=keep)
+    run_conditions(rows, R.canned_backend(R.CANNED_SENTIMENTS), path, mode="override", one_by_one=False, keep=keep)
     return _predictions(spark, path)
 
 
+@query("override_failed", ORACLES["defense_conditions"])
+def override_failed(spark, sf):
+    # A run that fails half way leaves the table as it was.
+    path = fresh_path(spark, "predictions")
+    rows, keep = R.rewrites(spark, sf), ["model", "example_id"]
+    run_conditions(rows, R.canned_backend(R.CANNED_SENTIMENTS), path, one_by_one=False, keep=keep)
+    strict = replace(SENTIMENT, attempts=1, backoff_s=0.0, fail_fast=True)
+    try:
+        run_conditions(rows, R.refusing(R.canned_backend(["other"]), "the"), path, mode="override", params=strict, keep=keep)
+    except PySparkException as e:
+        if "refused" not in str(e):
+            raise
+    return spark.read.parquet(path).select("model", "condition", "example_id", "predicted_sentiment", "parsed_sentiment")
+
+
 # --- joins --------------------------------------------------------------------------
 
 
