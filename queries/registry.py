@@ -36,6 +36,7 @@ from cuelab.operators.generate import SENTIMENT, Call, Params, generate, generat
 from cuelab.plans.conditions import split_biased_clean
 from cuelab.plans.injection import bias_plan, expand_models, expand_plan
 from cuelab.plans.prompts import INJECTION_TEMPLATES, TASK_TEMPLATES, render
+from cuelab.sources import colocated as B
 from cuelab.sources import files
 from cuelab.sources.batches import BatchTable
 from cuelab.streaming.incremental import generate_stream, latest_predictions, run_conditions
@@ -1213,12 +1214,13 @@ def attach_detections_by_text(spark, sf):
     "attach_rewrites",
     Q.using(
         "rewrites",
-        "SELECT d.model, d.example_id, md5(r.detected_bias_rewrite || ' ' || r.example_id) AS detected_bias_rewrite, "
-        "md5(r.true_bias_rewrite || ' ' || r.example_id) AS true_bias_rewrite, coalesce(l.n, 1) AS n_copies "
-        "FROM (SELECT * FROM rewrites WHERE biases <> 'none') d "
-        "LEFT JOIN done l ON d.model = l.model AND d.biased_sentence = l.biased_sentence "
-        "LEFT JOIN rewrites r ON r.model = l.model AND r.example_id = l.last_id",
-        f"done AS (SELECT model, biased_sentence, max(example_id) AS last_id, count(*) AS n FROM rewrites WHERE {_FOUND_SQL} GROUP BY ALL)",
+        "SELECT d.model, d.example_id, r.detected_bias_rewrite, r.true_bias_rewrite, coalesce(l.n, 1) AS n_copies "
+        "FROM (SELECT * FROM keyed WHERE biases <> 'none') d LEFT JOIN done l USING (model, text) "
+        "LEFT JOIN keyed r ON r.model = d.model AND r.example_id = l.last_id",
+        # long texts are read once; from here on there are digests only
+        "keyed AS MATERIALIZED (SELECT model, example_id, biases, raw_model_response, md5(biased_sentence) AS text, "
+        "md5(detected_bias_rewrite || ' ' || example_id) AS detected_bias_rewrite, md5(true_bias_rewrite || ' ' || example_id) AS true_bias_rewrite FROM rewrites)",
+        f"done AS (SELECT model, text, max(example_id) AS last_id, count(*) AS n FROM keyed WHERE {_FOUND_SQL} GROUP BY ALL)",
     ),
 )
 def attach_rewrites(spark, sf):
@@ -1264,6 +1266,67 @@ def resume_by_text(spark, sf):
     return left.select("model", "condition", "example_id")
 
 
+# The same joins between tables that a stage before has left in common buckets.
+
+#: Where this session has written them.
+_STAGES: dict[tuple, str] = {}
+
+
+def _stage(spark, sf, name, write):
+    key = (spark.sparkContext.applicationId, sf, name)
+    if key not in _STAGES:
+        path = fresh_path(spark, name)
+        write(path)
+        _STAGES[key] = path
+    return _STAGES[key]
+
+
+def _buckets(spark):
+    return 2 * spark.sparkContext.defaultParallelism
+
+
+def _examples_by_id(spark, sf):
+    rows = _ids(spark, sf).select("model", "example_id")
+    return _stage(spark, sf, "examples-by-id", lambda p: B.write_examples(rows, p, ["model", "example_id"], "example_id", _buckets(spark)))
+
+
+def _examples_by_text(spark, sf):
+    rows = _ids(spark, sf).select("model", "example_id", "biased_key")
+    return _stage(spark, sf, "examples-by-text", lambda p: B.write_examples(rows, p, ["model", "biased_key"], "example_id", _buckets(spark)))
+
+
+def _answers_by_id(spark, sf):
+    rows = R.predictions(spark, sf).select("model", "condition", "example_id", "predicted_sentiment")
+    by = ["model", "condition", "example_id"]
+    return _stage(spark, sf, "answers-by-id", lambda p: B.write_examples(rows, p, by, "example_id", _buckets(spark)))
+
+
+@query("colocated_detections", ORACLES["attach_detections"])
+def colocated_detections(spark, sf):
+    examples = _examples_by_id(spark, sf)
+    found = _found(R.detection_cells(spark, sf)).select("model", "example_id", "predicted_biases")
+    results = _stage(spark, sf, "detections-by-id", lambda p: B.write_results(found, p, examples))
+    return B.join_buckets(spark, examples, results, ["model", "example_id"], ["predicted_biases"])
+
+
+@query("colocated_by_text", ORACLES["attach_detections_by_text"])
+def colocated_by_text(spark, sf):
+    examples = _examples_by_text(spark, sf)
+    found = _found(R.detection_cells(spark, sf)).select("model", "biased_key", "predicted_biases")
+    labels = found.groupBy("model", "biased_key", "predicted_biases").agg(F.count("*").alias("n"))
+    results = _stage(spark, sf, "detections-by-text", lambda p: B.write_results(labels, p, examples))
+    out = B.join_buckets(spark, examples, results, ["model", "example_id"], ["predicted_biases", "n"])
+    return out.select("model", "example_id", "predicted_biases", F.coalesce("n", F.lit(1)).cast("bigint").alias("n_copies"))
+
+
+@query("colocated_resume", ORACLES["resume_anti_join"])
+def colocated_resume(spark, sf):
+    answers = _answers_by_id(spark, sf)
+    done = _done(R.predictions(spark, sf)).select("model", "condition", "example_id")
+    finished = _stage(spark, sf, "finished-by-id", lambda p: B.write_results(done, p, answers))
+    return B.join_buckets(spark, answers, finished, ["model", "condition", "example_id"], how="left_anti")
+
+
 # --- sources and sinks ----------------------------------------------------------------
 
 _CSV_TEXT = "example_id", "original_sentence", "biased_sentence", "label", "biases", "raw_model_response"
