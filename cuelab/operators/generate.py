@@ -6,6 +6,7 @@ JVM; the Python side passes Arrow batches through and adds the response columns.
 
 from __future__ import annotations
 
+import heapq
 import time
 from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass
@@ -77,54 +78,158 @@ class Call:
         return [self.system] * batch.num_rows
 
 
-def _answers(backend: Backend, requests: list[Request], params: Params, attempts: int):
-    """Responses and errors of one batch. A batch that fails is sent request by request, each with all its
-    attempts, so that one bad prompt does not take its neighbours down or wait for them."""
-    problem: Exception | None = None
-    for attempt in range(attempts if len(requests) == 1 or params.fail_fast else 1):
+#: Rows of a task that wait for another attempt; beyond that the task waits with them.
+MOST_WAITING = 10_000
+
+
+def _sent(backend: Backend, requests: list[Request]) -> list[str | None]:
+    out = list(backend(requests))
+    if len(out) != len(requests):
+        raise ValueError(f"{len(out)} responses for {len(requests)} requests")
+    return out
+
+
+def _sent_or_raised(backend: Backend, requests: list[Request], params: Params) -> list[str | None]:
+    """All answers, or the last failure after all attempts."""
+    for attempt in range(params.attempts):
         if attempt:
             time.sleep(params.backoff_s)
         try:
-            out = list(backend(requests))
-            if len(out) != len(requests):
-                raise ValueError(f"{len(out)} responses for {len(requests)} requests")
-            return out, [None] * len(out)
-        except Exception as e:  # the backend is foreign code: any failure is a row-level error
+            return _sent(backend, requests)
+        except Exception as e:
             problem = e
-    if params.fail_fast:
-        raise problem
-    if len(requests) == 1:
-        return [None], [f"{type(problem).__name__}: {problem}"]
-    singles = [_answers(backend, [r], params, attempts) for r in requests]
-    return [s[0][0] for s in singles], [s[1][0] for s in singles]
+    raise problem
+
+
+class _Row:
+    """A row on its way: its requests by call, and what came back."""
+
+    def __init__(self, batch, at: int, calls: int):
+        self.batch, self.at = batch, at
+        self.requests: dict[int, Request] = {}
+        self.answers: list[str | None] = [None] * calls
+        self.problems: dict[int, Exception] = {}
+        self.attempts = 0
+
+
+class _Caller:
+    """The calls of one task.
+
+    A batch of requests that fails is sent request by request, so that one bad prompt does not take its neighbours
+    down. What fails alone waits: it is sent again when it is due, and the task goes on meanwhile. (Without a
+    time to wait it is sent again at once.) Only when nothing else is left, or ``MOST_WAITING`` rows wait, does the task wait too.
+    """
+
+    def __init__(self, backend: Backend, calls: Sequence[Call], params: Params, clock=time.monotonic, sleep=time.sleep):
+        self.backend, self.calls, self.params, self.clock, self.sleep = backend, calls, params, clock, sleep
+        self.waiting: list[tuple[float, int, _Row]] = []  # by due time; the number breaks ties
+        self.number = 0
+
+    def rows(self, batch) -> list[_Row]:
+        out = [_Row(batch, i, len(self.calls)) for i in range(batch.num_rows)]
+        for c, call in enumerate(self.calls):
+            for row, prompt, system in zip(out, batch.column(call.prompt_col).to_pylist(), call.systems(batch)):
+                if prompt is not None:
+                    row.requests[c] = Request(system, prompt)
+        return out
+
+    def first_attempt(self, rows: list[_Row]) -> list[_Row]:
+        """Send all requests of these rows; the rows that are through."""
+        size = self.params.batch_size
+        for c in range(len(self.calls)):
+            todo = [r for r in rows if c in r.requests]
+            for at in range(0, len(todo), size):
+                part = todo[at : at + size]
+                if len(part) > 1:
+                    self._send(part, c)
+                else:
+                    self._send_alone(part[0], c)
+        return self._settled(rows)
+
+    def _send(self, rows: list[_Row], c: int) -> None:
+        requests = [r.requests[c] for r in rows]
+        try:
+            answers = _sent_or_raised(self.backend, requests, self.params) if self.params.fail_fast else _sent(self.backend, requests)
+        except Exception as e:  # the backend is foreign code: any failure is a row-level error
+            if self.params.fail_fast:
+                raise
+            if len(rows) > 1:
+                for row in rows:
+                    self._send_alone(row, c)
+            else:
+                rows[0].problems[c] = e
+            return
+        for row, answer in zip(rows, answers):
+            row.answers[c] = answer
+            row.problems.pop(c, None)
+
+    def _send_alone(self, row: _Row, c: int) -> None:
+        for _ in range(1 if self.params.backoff_s else self.params.attempts):
+            self._send([row], c)
+            if c not in row.problems:
+                break
+
+    def _settled(self, rows: list[_Row]) -> list[_Row]:
+        """Rows without a failure, or without an attempt left; the others wait."""
+        through, due = [], self.clock() + self.params.backoff_s
+        for row in rows:
+            row.attempts += 1
+            if row.problems and self.params.backoff_s and row.attempts < self.params.attempts:
+                # a copy of the row alone, so that it does not hold its whole batch
+                row.batch, row.at = row.batch.take([row.at]), 0
+                heapq.heappush(self.waiting, (due, self.number, row))
+                self.number += 1
+            else:
+                through.append(row)
+        return through
+
+    def again(self, finish: bool = False) -> Iterator[list[_Row]]:
+        """Send what is due; with ``finish`` until nothing waits any more. Yields the rows that are through."""
+        while self.waiting:
+            left = self.waiting[0][0] - self.clock()
+            if left > 0:
+                if not finish and len(self.waiting) <= MOST_WAITING:
+                    return
+                self.sleep(left)
+            due = []
+            now = self.clock()
+            while self.waiting and self.waiting[0][0] <= now and len(due) < self.params.batch_size:
+                due.append(heapq.heappop(self.waiting)[2])
+            for row in due:  # alone, as they failed alone
+                for c in list(row.problems):
+                    self._send([row], c)
+            yield self._settled(due)
 
 
 def _arrow_caller(factory: BackendFactory, calls: Sequence[Call], params: Params, kept: list[str], error_col: str):
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        backend = factory(params)  # once per task
-        for batch in batches:
-            columns = [batch.column(name) for name in kept]
-            errors: list[str | None] = [None] * batch.num_rows
-            for call in calls:
-                prompts = batch.column(call.prompt_col).to_pylist()
-                systems = call.systems(batch)
-                todo = [i for i, p in enumerate(prompts) if p is not None]
-                answers: list[str | None] = [None] * len(prompts)
-                for at in range(0, len(todo), params.batch_size):
-                    part = todo[at : at + params.batch_size]
-                    out, bad = _answers(
-                        backend, [Request(systems[i], prompts[i]) for i in part], params, params.attempts
-                    )
-                    for i, answer, error in zip(part, out, bad):
-                        answers[i] = answer
-                        if error is not None:
-                            errors[i] = f"{call.out_col}: {error}"
-                columns.append(pa.array(answers, pa.string()))
-            columns.append(pa.array(errors, pa.string()))
+        caller = _Caller(factory(params), calls, params)  # once per task
+
+        def out(rows: list[_Row], columns: list) -> pa.RecordBatch:
+            answers = [pa.array([r.answers[c] for r in rows], pa.string()) for c in range(len(calls))]
+            errors = []
+            for r in rows:
+                last = max(r.problems, default=None)
+                problem = r.problems.get(last)
+                errors.append(f"{calls[last].out_col}: {type(problem).__name__}: {problem}" if problem is not None else None)
             names = kept + [c.out_col for c in calls] + [error_col]
-            yield pa.RecordBatch.from_arrays(columns, names=names)
+            return pa.RecordBatch.from_arrays([*columns, *answers, pa.array(errors, pa.string())], names=names)
+
+        def late(finish: bool) -> Iterator:
+            for rows in caller.again(finish):
+                if rows:
+                    columns = [pa.concat_arrays([r.batch.column(n) for r in rows]) for n in kept]
+                    yield out(rows, columns)
+
+        for batch in batches:
+            rows = caller.first_attempt(caller.rows(batch))
+            if len(rows) < batch.num_rows:
+                batch = batch.take(pa.array([r.at for r in rows], pa.int64()))
+            yield out(rows, [batch.column(n) for n in kept])
+            yield from late(finish=False)
+        yield from late(finish=True)
 
     return run
 
@@ -143,7 +248,8 @@ def generate(
     """Call the model once per row and per entry of ``calls``; adds the response columns.
 
     Several calls of one row happen in one pass, without exploding the row and pivoting back.
-    A NULL prompt makes no call. After the last attempt a failed row keeps a NULL response and
+    A NULL prompt makes no call. A request that fails is sent again after ``backoff_s`` while the task goes on
+    with others; rows may so change their order. After the last attempt a failed row keeps a NULL response and
     its message in ``error_col``. ``partitions`` sets the number of concurrent callers; the rows
     are spread by the hash of the columns that identify them, which a retried task reproduces. Columns in
     ``drop`` (prompts, as a rule) are not shipped back.

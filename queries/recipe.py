@@ -229,6 +229,25 @@ def refusing(inner, word: str):
     return factory
 
 
+def stumbling(inner, word: str):
+    """Fails the first time that it is sent a prompt with the word alone, and any batch that holds a new one."""
+
+    def factory(params):
+        backend, met = inner(params), set()
+
+        def call(requests):
+            new = {digest_number(r.system, r.user) for r in requests if word in r.user} - met
+            if len(requests) == 1:
+                met.update(new)
+            if new:
+                raise ConnectionError("try again")
+            return backend(requests)
+
+        return call
+
+    return factory
+
+
 def length_classifier():
     """Batched stand-in for a fixed classifier: a class by the length of the text."""
     names = ["Positive", "Negative", "Neutral", "Other"]

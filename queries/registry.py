@@ -922,6 +922,21 @@ def generate_errors(spark, sf):
     return generate(d, R.refusing(R.length_backend, "the"), [Call("response")], QUICK, drop=["prompt"])
 
 
+@query(
+    "generate_retry",
+    Q.using(
+        "base",
+        """SELECT sentence_id, CASE WHEN contains(sentence, 'tion') THEN NULL ELSE length(sentence)::VARCHAR END AS response,
+           CASE WHEN contains(sentence, 'tion') THEN 'response: RuntimeError: refused' END AS error FROM base""",
+    ),
+)
+def generate_retry(spark, sf):
+    # Prompts with one word fail once, those with another fail always; both wait their turn while others go on.
+    d = R.base(spark, sf).select("sentence_id", F.col("sentence").alias("prompt"))
+    backend = R.refusing(R.stumbling(R.length_backend, "the"), "tion")
+    return generate(d, backend, [Call("response")], Params(backoff_s=0.5), drop=["prompt"])
+
+
 _LABEL_ANSWERS = R.CANNED_LABELS + CUES
 _DETECT_PROMPT = _template_sql(TASK_TEMPLATES.detect, {"sentence": "biased_sentence"})
 

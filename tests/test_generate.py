@@ -263,3 +263,128 @@ def test_distinct_keeps_system_prompts_apart(spark):
     got = {r["id"]: r["out"] for r in generate_distinct(table, echo, call, row_id="id").collect()}
     assert got == {r["id"]: r["out"] for r in generate(table, echo, [call]).collect()}
     assert got[0] == got[3] == "S1|p" and got[1] == "S2|p" and got[2] == "None|p" and got[4] == "|p"
+
+
+class Clock:
+    """Time that passes only while somebody sleeps, or by ``tick`` with each call."""
+
+    def __init__(self, tick=0.0):
+        self.now, self.tick, self.slept = 0.0, tick, []
+
+    def time(self):
+        return self.now
+
+    def sleep(self, s):
+        self.slept.append(s)
+        self.now += s
+
+
+def caller(backend, clock, calls=1, **params):
+    from cuelab.operators.generate import _Caller
+
+    return _Caller(backend, [Call(f"r{i}") for i in range(calls)], Params(**{"backoff_s": 30.0, "batch_size": 4, **params}), clock.time, clock.sleep)
+
+
+def batch_of(words):
+    import pyarrow as pa
+
+    return pa.RecordBatch.from_pydict({"prompt": list(words)})
+
+
+def test_others_go_on_while_a_request_waits():
+    clock, sent = Clock(), []
+
+    def backend(requests):
+        clock.now += 1
+        sent.append((clock.now, [r.user for r in requests]))
+        if any(r.user == "bad" for r in requests):
+            raise OSError("busy")
+        return [r.user.upper() for r in requests]
+
+    c = caller(backend, clock)
+    first = c.first_attempt(c.rows(batch_of(["a", "bad", "b"])))
+    assert [r.answers for r in first] == [["A"], ["B"]] and not clock.slept
+    for _ in range(20):  # other batches, until the time has come
+        assert len(c.first_attempt(c.rows(batch_of("cd")))) == 2
+        assert not [r for rows in c.again() for r in rows] and not clock.slept
+    clock.now += 30
+    assert [rows for rows in c.again()] == [[]]  # the second attempt fails as well
+    assert not clock.slept and len(c.waiting) == 1
+    last = [r for rows in c.again(finish=True) for r in rows]
+    assert len(clock.slept) == 1 and 25 < clock.slept[0] <= 30
+    assert [type(r.problems[0]) for r in last] == [OSError] and not c.waiting
+    assert sum("bad" in users for _, users in sent) == 4  # once with its batch, then three attempts
+
+
+def test_waiting_rows_wait_together():
+    """Three hundred passing failures cost one wait, not three hundred."""
+    clock, seen = Clock(), set()
+
+    def backend(requests):
+        new = [r.user for r in requests if r.user not in seen]
+        if len(requests) == 1:
+            seen.update(new)
+        if new:
+            raise OSError("busy")
+        return [r.user for r in requests]
+
+    c = caller(backend, clock)
+    words = [f"w{i}" for i in range(300)]
+    assert c.first_attempt(c.rows(batch_of(words))) == []
+    done = [r.answers[0] for rows in c.again(finish=True) for r in rows]
+    assert sorted(done) == sorted(words) and clock.slept == [30.0]
+
+
+def test_only_so_many_rows_wait(monkeypatch):
+    from cuelab.operators import generate as G
+
+    monkeypatch.setattr(G, "MOST_WAITING", 5)
+    clock = Clock()
+
+    def backend(requests):
+        raise OSError("down")
+
+    c = caller(backend, clock, attempts=2)
+    assert c.first_attempt(c.rows(batch_of("abcdefgh"))) == []
+    out = [r for rows in c.again() for r in rows]
+    assert clock.slept == [30.0] and len(out) == 8 and not c.waiting
+
+
+def test_each_call_of_a_row_is_tried_again_for_itself():
+    clock, sent = Clock(), []
+
+    def backend(requests):
+        sent.extend((r.user, r.system) for r in requests)
+        if len([x for x in sent if x == (requests[0].user, "s2")]) == 1 and requests[0].system == "s2":
+            raise OSError("busy")
+        return [f"{r.user}{r.system}" for r in requests]
+
+    from cuelab.operators.generate import _Caller
+
+    calls = [Call("a", system="s1"), Call("b", system="s2")]
+    c = _Caller(backend, calls, Params(backoff_s=5.0, batch_size=1), clock.time, clock.sleep)
+    assert c.first_attempt(c.rows(batch_of(["x"]))) == []
+    (row,) = [r for rows in c.again(finish=True) for r in rows]
+    assert row.answers == ["xs1", "xs2"] and not row.problems and sent.count(("x", "s1")) == 1
+
+
+def test_retries_with_a_wait_give_the_same_rows(spark):
+    def flaky(params):
+        seen = set()
+
+        def call(requests):
+            for r in requests:
+                if r.user.endswith("3") or (r.user.endswith("7") and (len(requests) > 1 or r.user not in seen)):
+                    seen.update([r.user] if len(requests) == 1 else [])
+                    raise OSError("busy")
+            return [r.user + "!" for r in requests]
+
+        return call
+
+    params = Params(backoff_s=0.05, batch_size=4)
+    out = generate(prompts(spark, 200).withColumn("more", F.array(F.lit(1), F.length("prompt"))), flaky, [Call("r")], params)
+    for r in out.collect():
+        bad = r["prompt"].endswith("3")
+        assert r["r"] == (None if bad else r["prompt"] + "!") and r["error"] == ("r: OSError: busy" if bad else None)
+        assert r["more"] == [1, len(r["prompt"])]
+    assert out.count() == 200
