@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cuelab.fixed_values import COT_CONDITIONS, CUES, ERROR_TYPES, JUDGE_SCORES
+from cuelab.functions.numbers import round_half_even
 from cuelab.functions.sentiment import format_failure
 from cuelab.operators.dataset import random_sample
 from cuelab.operators.metrics import accuracy, ratio
@@ -190,8 +191,8 @@ def pivot(
 
 
 def rounded(df: DataFrame, digits: int, cols: Sequence[str]) -> DataFrame:
-    """Round for display, ties to the even digit. Scores are kept unrounded until export."""
-    return df.withColumns({c: F.bround(c, digits) for c in cols})
+    """Round for display as Python does. Scores are kept unrounded until export."""
+    return df.withColumns({c: round_half_even(F.col(c), digits) for c in cols})
 
 
 def report_layout(report: DataFrame) -> DataFrame:

@@ -703,6 +703,31 @@ def error_sample(spark, sf):
     return e.select("model", "example_id", "bias_type", "error_type", *digest(*_ERROR_TEXTS))
 
 
+_RATES = {
+    "step": ("(doc_id % 20000) / 2000.0::DOUBLE", lambda: F.pmod("doc_id", F.lit(20000)) / F.lit(2000.0)),
+    "sixteenth": ("(doc_id % 4001 - 2000) / 16.0::DOUBLE", lambda: (F.pmod("doc_id", F.lit(4001)) - 2000) / F.lit(16.0)),
+    "seventh": ("length(text) / 7.0::DOUBLE", lambda: F.length("text") / F.lit(7.0)),
+    "small": ("length(text) / 1e9::DOUBLE", lambda: F.length("text") / F.lit(1e9)),
+}
+_DIGITS = (1, 2, 3, 6)
+
+
+@query(
+    "round_rates",
+    "SELECT doc_id, "
+    + ", ".join(f"format('{{:.{d}f}}', {sql})::DOUBLE + 0 AS {name}_{d}" for name, (sql, _) in _RATES.items() for d in _DIGITS)
+    + " FROM documents",
+)
+def round_rates(spark, sf):
+    # Steps of 0.0005 (of which few are true ties), of 1/16 (all of them ties at three digits), and others.
+    d = R.table(spark, sf, "documents").select(
+        "doc_id", *[x().cast("double").alias(f"{name}_{d}") for name, (_, x) in _RATES.items() for d in _DIGITS]
+    )
+    for digits in _DIGITS:
+        d = A.rounded(d, digits, [f"{name}_{digits}" for name in _RATES])
+    return d.select("doc_id", *[(col(c) + 0.0).alias(c) for c in d.columns if c != "doc_id"])
+
+
 @query(
     "composition",
     Q.using(

@@ -158,3 +158,32 @@ def test_draws(spark):
     for part in range(4):
         got = apply(spark, lambda t: X.keyed_draw(t, 42, "p", part), ["a", "b"])
         assert got == [want("a", part), want("b", part)]
+
+
+def test_rounding_is_that_of_python(spark):
+    import random
+    import struct
+
+    from cuelab.functions.numbers import round_half_even
+
+    rng = random.Random(4)
+    xs = [0.0, -0.0, 0.0005, 0.0625, 0.6665, 0.5, 1.5, 2.5, 0.125, 0.375, 2.675, 1.005, 1e-9, 5e-324, 1e300, 1e15 + 0.5, 2.0**52 + 1, 0.1 + 0.2, 1 / 3]
+    xs += [i / 2000 for i in range(2001)] + [i / 16 for i in range(200)] + [i / 64 + 2.0**-40 for i in range(50)] + [2.0**-i for i in range(60)]
+    xs += [rng.random() * 10 ** rng.randint(-8, 12) for _ in range(3000)]
+    xs += [struct.unpack("d", struct.pack("q", rng.getrandbits(62)))[0] for _ in range(500)]
+    xs += [-x for x in xs] + [float("inf"), float("-inf")]
+    df = spark.createDataFrame([(x,) for x in xs] + [(None,), (float("nan"),)], "x double").repartition(4)
+    got = df.select("x", *[round_half_even(F.col("x"), d).alias(f"r{d}") for d in (0, 1, 2, 3, 6, 12)]).collect()
+    assert len(got) == len(xs) + 2
+    for r in got:
+        for d in (0, 1, 2, 3, 6, 12):
+            want = None if r.x is None else r.x if r.x != r.x else round(r.x, d) if abs(r.x) != float("inf") else r.x
+            assert repr(r[f"r{d}"]) == repr(want), (r.x, d)
+
+
+def test_rounding_refuses_digits_that_do_not_fit():
+    from cuelab.functions.numbers import round_half_even
+
+    for d in (-1, 13):
+        with pytest.raises(ValueError):
+            round_half_even(None, d)
