@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from cuelab.fixed_values import COT_CONDITIONS, CUES, ERROR_TYPES, JUDGE_SCORES
 from cuelab.functions.numbers import round_half_even
 from cuelab.functions.sentiment import format_failure
+from cuelab.functions.text import shuffle_key
 from cuelab.operators.dataset import random_sample
 from cuelab.operators.metrics import accuracy, ratio
+from cuelab.workspace import materialise
 
 PARSE_FAILURE = -1
 
@@ -122,12 +124,36 @@ def error_rows(df: DataFrame, carry: Sequence[str] = ("model",), rewrite_col: st
     )
 
 
+#: Candidates for a sample that a first bound on the hash should leave, as a multiple of the sample.
+_CANDIDATES = 20
+
+
 def error_sample(
     df: DataFrame, n: int = 100, seed: int = 42, key: Sequence[str] = ("model", "example_id"),
     rewrite_col: str = "detected_bias_rewrite",
 ) -> DataFrame:
-    """A seeded uniform sample of the error rows, sorted for reading."""
-    errors = error_rows(df, carry=list(key), rewrite_col=rewrite_col)
+    """A seeded uniform sample of the error rows, sorted for reading.
+
+    The sample has the least hashes of key and error. From the number of rows follows a bound that leaves some
+    times ``n`` of them; rows above it are dropped by their key, before scores are looked at or texts carried.
+    If fewer than ``n`` errors lie below it, the bound is raised, in the end to all rows: the result is
+    exactly that of sorting all errors. Rows are counted, and the candidates written, when the sample is made.
+    """
+    def hashed(error: Column) -> Column:
+        return shuffle_key(F.concat_ws("|", *[F.col(c).cast("string") for c in key], error), seed)
+
+    rows, space = max(df.count(), 1), 16**8
+    bound = _CANDIDATES * n * space // (rows * len(ERROR_TYPES)) + 1
+    while bound < space:
+        below = F.lit(f"{bound:08x}")
+        near = df.filter(F.exists(F.array(*[hashed(F.lit(e)) for e in ERROR_TYPES.values()]), lambda h: h < below))
+        errors = error_rows(near, carry=list(key), rewrite_col=rewrite_col).filter(hashed(F.col("error_type")) < below)
+        errors = materialise(errors, "error-candidates")
+        if errors.count() >= n:
+            break
+        bound *= 64
+    else:
+        errors = error_rows(df, carry=list(key), rewrite_col=rewrite_col)
     sampled = random_sample(errors, n, [*key, "error_type"], seed)
     return sampled.orderBy("error_type", "bias_type", *key)
 

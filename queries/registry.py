@@ -37,7 +37,7 @@ from cuelab.plans.conditions import split_biased_clean
 from cuelab.plans.injection import bias_plan, expand_models, expand_plan
 from cuelab.plans.prompts import INJECTION_TEMPLATES, TASK_TEMPLATES, render
 from cuelab.sources import colocated as B
-from cuelab.sources import files
+from cuelab.sources import discovery, files, places
 from cuelab.sources.batches import BatchTable
 from cuelab.streaming.incremental import generate_stream, latest_predictions, run_conditions
 from cuelab.workspace import fresh_path
@@ -1446,6 +1446,45 @@ def scan_skip(spark, sf):
     return found.withColumn("model", F.substring_index("model", "=", -1))
 
 
+def _put_csv(spark, df, path):
+    """One CSV file of that name."""
+    folder = fresh_path(spark, "csv")
+    files.write_csv(df.coalesce(1), folder)
+    (name,) = [f for f in places.files_below(spark, folder) if f.endswith(".csv")]
+    places.move(spark, f"{folder}/{name}", path)
+
+
+@query(
+    "discover_folders",
+    Q.using(
+        "detections",
+        "SELECT 'first' AS rule, model, example_id, predicted_biases FROM detections WHERE model = 'model_a' AND biases = 'none' "
+        "UNION ALL SELECT 'complete', model, example_id, predicted_biases FROM detections WHERE model = 'model_c' "
+        "UNION ALL SELECT 'missing', * FROM (VALUES ('model_a', NULL, 'report'), ('model_b', NULL, 'predictions'))",
+    ),
+)
+def discover_folders(spark, sf):
+    # model_a: two files of detections, no report. model_b: skipped for one rule, no predictions. model_c: no detections, else all files.
+    root = fresh_path(spark, "results")
+    d = R.detection_cells(spark, sf).select("model", "biases", "example_id", "predicted_biases")
+    of = {m: d.filter(col("model") == m).select("example_id", "predicted_biases") for m in R.MODELS}
+    clean = d.filter((col("model") == "model_a") & (col("biases") == "none")).select("example_id", "predicted_biases")
+    report = spark.createDataFrame([("none", 1)], "class string, support int")
+    _put_csv(spark, clean, f"{root}/model_a/debiased_sentences_1.csv")
+    _put_csv(spark, of["model_a"], f"{root}/model_a/debiased_sentences_2.csv")
+    _put_csv(spark, of["model_a"], f"{root}/model_a/predictions_model_a.csv")
+    _put_csv(spark, of["model_b"], f"{root}/model_b/debiased_sentences_1.csv")
+    _put_csv(spark, report, f"{root}/model_b/classification_report_model_b.csv")
+    _put_csv(spark, of["model_c"], f"{root}/model_c/predictions_model_c.csv")
+    _put_csv(spark, report, f"{root}/model_c/classification_report_model_c.csv")
+    first = discovery.discover_first(spark, root, clean.schema, "debiased_sentences_*.csv", skip=["model_b"])
+    needed = {"predictions": ("predictions_{model}.csv", clean.schema), "report": ("classification_report_{model}.csv", report.schema)}
+    whole, folders = discovery.discover_complete(spark, root, needed)
+    missing = folders.select("model", F.lit(None).cast("string").alias("example_id"), F.explode("missing").alias("predicted_biases"))
+    parts = {"first": first, "complete": whole["predictions"], "missing": missing}
+    return D.union_all([p.select(F.lit(rule).alias("rule"), "model", "example_id", "predicted_biases") for rule, p in parts.items()])
+
+
 @query(
     "replace_condition",
     Q.using(
