@@ -12,7 +12,8 @@ from cuelab.functions.numbers import round_half_even
 from cuelab.functions.sentiment import format_failure
 from cuelab.functions.text import shuffle_key
 from cuelab.operators.dataset import random_sample
-from cuelab.operators.metrics import accuracy, ratio
+from cuelab.operators.generate import STAGES
+from cuelab.operators.metrics import accuracy, class_contingency, class_report, ratio, with_totals
 from cuelab.workspace import materialise
 
 PARSE_FAILURE = -1
@@ -45,6 +46,13 @@ def null_rate(df: DataFrame, col: str, by: Sequence[str] = ("model",)) -> DataFr
     return c.select(*by, "rows", "missing", (ratio(F.col("missing"), F.col("rows")) * 100).alias("missing_pct"))
 
 
+def failures_by_stage(df: DataFrame, by: Sequence[str] = ("model",), stages: Sequence[str] = STAGES) -> DataFrame:
+    """Per group its ``rows`` and, as ``failed_<stage>``, how many of them a stage could not answer; ``missing``: rows with any
+    failure. ``df`` carries ``errors`` (see ``jobs.with_errors``)."""
+    failed = [F.count_if(F.map_contains_key("errors", s)).alias(f"failed_{s}") for s in stages]
+    return df.groupBy(*by).agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.size("errors") > 0).alias("missing"), *failed)
+
+
 # --- judge scores ------------------------------------------------------------
 
 
@@ -174,6 +182,15 @@ def add_accuracy(
     return report.join(scores.hint("merge"), list(by), "left")
 
 
+def report_with_accuracy(
+    predictions: DataFrame, by: Sequence[str] = ("model", "condition"), totals: Sequence[str] = ()
+) -> DataFrame:
+    """The report of each group with its accuracy beside every row, and with ``totals``, columns of ``by``, of all their
+    values together: all from one contingency table, so predictions are read once."""
+    cells = class_contingency(predictions, "label", "parsed_sentiment", by)
+    return class_report(with_totals(cells, by, totals) if totals else cells, by=by)
+
+
 def _in_pair() -> Column:
     return F.coalesce(F.contains(F.col("biases"), F.lit(",")), F.lit(False))
 

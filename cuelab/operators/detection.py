@@ -49,9 +49,11 @@ def _cues_only(df: DataFrame, by: Sequence[str]) -> DataFrame:
     return _contingency(df.filter(~is_clean(F.col("biases"))), label_set_without_none, CUES, by)
 
 
-def detection_report(df: DataFrame, by: Sequence[str] = _MODEL) -> DataFrame:
-    """Precision, recall, F1, support of the six cues and ``none``, with four averages."""
-    return M.label_report(_all_classes(df, by), CUE_CLASSES, by)
+def detection_report(df: DataFrame, by: Sequence[str] = _MODEL, totals: Sequence[str] = ()) -> DataFrame:
+    """Precision, recall, F1, support of the six cues and ``none``, with four averages. With ``totals``, columns of ``by``, also
+    for all their values together (``metrics.ALL``)."""
+    cells = _all_classes(df, by)
+    return M.label_report(M.with_totals(cells, by, totals) if totals else cells, CUE_CLASSES, by)
 
 
 def f1_per_cue(df: DataFrame, by: Sequence[str] = _MODEL) -> DataFrame:

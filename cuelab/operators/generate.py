@@ -50,6 +50,9 @@ REWRITE = Params(max_in_tokens=1024, max_out_tokens=256)
 JUDGE = Params(max_in_tokens=1024, max_out_tokens=128)
 SENTIMENT = Params(max_in_tokens=1024, max_out_tokens=1024)
 
+#: The stages of the jobs, as they are named in the map of errors.
+STAGES = ("inject", "detect", "rewrite", "judge", "sentiment")
+
 Backend = Callable[[list[Request]], Sequence[str]]
 BackendFactory = Callable[[Params], Backend]
 

@@ -46,11 +46,34 @@ from cuelab.plans.prompts import INJECTION_TEMPLATES, TASK_TEMPLATES, InjectionT
 from cuelab.workspace import materialise
 
 
+#: Where the failures of all stages are kept, by stage.
+ERRORS = "errors"
+
+
+def with_errors(df: DataFrame, stage: str | None = None) -> DataFrame:
+    """Have failures carried on: adds ``errors``, a map of stage to message, which every job then hands on and adds to.
+
+    Without it a row has the ``error`` of the last stage only. A table that comes from a ``stage`` brings its ``error`` along.
+    """
+    if ERRORS not in df.columns:
+        df = df.withColumn(ERRORS, F.create_map().cast("map<string,string>"))
+    return _noted(df, stage) if stage and "error" in df.columns else df
+
+
+def _noted(df: DataFrame, stage: str) -> DataFrame:
+    """The ``error`` of a stage among the ``errors``, if they are carried; a later run of the stage replaces its message."""
+    if ERRORS not in df.columns:
+        return df
+    others = F.map_filter(ERRORS, lambda k, _: k != stage)
+    own = F.create_map(F.lit(stage), F.col("error"))
+    return df.withColumn(ERRORS, F.when(F.col("error").isNotNull(), F.map_concat(others, own)).otherwise(others))
+
+
 def _carried(df: DataFrame, keep: Sequence[str] | None) -> DataFrame:
     """Only these columns and the prompts go through Python; all of them when none are named."""
     if keep is None:
         return df
-    extra = [c for c in df.columns if c in ("prompt", "parser", "condition") or c.startswith("__")]
+    extra = [c for c in df.columns if c in ("prompt", "parser", "condition", ERRORS) or c.startswith("__")]
     return df.select(*keep, *[c for c in extra if c not in keep])
 
 
@@ -81,6 +104,7 @@ def detect(
     asked = _carried(examples.drop("error").withColumn("prompt", prompt), keep)
     call = Call("raw_model_response", "prompt", templates.detect_system)
     answered = generate(asked, factory, [call], params, drop=["prompt"], **_spread(asked, partitions))
+    answered = _noted(answered, "detect")
     labels = parse_predictions(F.col("raw_model_response"))
     return answered.withColumn("predicted_biases", F.when(F.col("raw_model_response").isNotNull(), labels))
 
@@ -119,7 +143,8 @@ def rewrite(
         Call("true_bias_rewrite", "__gold_prompt", templates.rewrite_system),
         Call("detected_bias_rewrite", "__detected_prompt", templates.rewrite_system),
     ]
-    return generate(asked, factory, calls, params, drop=["__gold_prompt", "__detected_prompt"], **_spread(asked, partitions))
+    answered = generate(asked, factory, calls, params, drop=["__gold_prompt", "__detected_prompt"], **_spread(asked, partitions))
+    return _noted(answered, "rewrite")
 
 
 def judge(
@@ -146,7 +171,7 @@ def judge(
     }
     asked = _carried(asked.drop("error").withColumn("prompt", render(templates.judge, slots, missing)), keep)
     call = Call("judge_response", "prompt", templates.judge_system)
-    answered = generate(asked, factory, [call], params, drop=["prompt"], **_spread(asked, partitions))
+    answered = _noted(generate(asked, factory, [call], params, drop=["prompt"], **_spread(asked, partitions)), "judge")
     columns = answered.columns
     return answered.withColumn("__scores", parse_judge(F.col("judge_response"))).select(*columns, "__scores.*")
 
@@ -201,10 +226,11 @@ def condition_answers(
     call = Call("predicted_sentiment", "prompt", system_by=("condition", systems))
     answered = generate(prompts, factory, [call], params, drop=["prompt"], **_spread(prompts, partitions))
     response, error = F.col("predicted_sentiment"), F.col("error")
-    return answered.withColumns({
+    parsed = answered.withColumns({
         "parsed_sentiment": F.when(response.isNotNull(), parse_with(F.col("parser"), response)),
         "error": F.when(response.isNull() & error.isNull(), F.lit(NOT_ASKED)).otherwise(error),
     }).drop("parser")
+    return _noted(parsed, "sentiment")
 
 
 def classify_under_conditions(

@@ -32,6 +32,26 @@ def total(columns: Sequence[Column]) -> Column:
     return out
 
 
+#: Stands for all models together where a report has totals.
+ALL = "(all)"
+
+
+def with_totals(contingency: DataFrame, by: Sequence[str], over: Sequence[str] = ("model",), name: str = ALL) -> DataFrame:
+    """A contingency table with its rows once more for all values of ``over`` together, called ``name`` there.
+
+    Grouping sets over the few counted cells: the rows behind them are read and counted once. Missing groups are groups of
+    their own. Scores of ``name`` are those of the pooled rows, not means of scores.
+    """
+    if not set(over) <= set(by):
+        raise ValueError("totals are over columns of the groups")
+    cells = [c for c in contingency.columns if c != "n"]
+    rest = [c for c in cells if c not in over]
+    sets = contingency.groupingSets([[F.col(c) for c in cells], [F.col(c) for c in rest]], *cells)
+    summed = sets.agg(F.sum("n").alias("n"), F.grouping(over[0]).alias("__total"))
+    named = {c: F.when(F.col("__total") == 1, F.lit(name)).otherwise(F.col(c).cast("string")) for c in over}
+    return summed.withColumns(named).select(*contingency.columns)
+
+
 # --- label sets --------------------------------------------------------------
 
 

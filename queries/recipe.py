@@ -229,6 +229,22 @@ def refusing(inner, word: str):
     return factory
 
 
+def failing(inner, every: int = 7):
+    """Never answers the prompts whose digest is a multiple of a number."""
+
+    def factory(params):
+        backend = inner(params)
+
+        def call(requests):
+            if any(digest_number(r.system, r.user) % every == 0 for r in requests):
+                raise TimeoutError("no answer")
+            return backend(requests)
+
+        return call
+
+    return factory
+
+
 def stumbling(inner, word: str):
     """Fails the first time that it is sent a prompt with the word alone, and any batch that holds a new one."""
 

@@ -40,7 +40,7 @@ from cuelab.sources import colocated as B
 from cuelab.sources import discovery, files, places
 from cuelab.sources.batches import BatchTable
 from cuelab.streaming.incremental import generate_stream, latest_predictions, run_conditions
-from cuelab.workspace import fresh_path
+from cuelab.workspace import fresh_path, materialise
 from queries import recipe as R
 from queries import sql as Q
 
@@ -468,7 +468,29 @@ def sentiment_report(spark, sf):
 
 @query("report_with_accuracy", Q.using("predictions", _SENT_SELECT, _SENT_C))
 def report_with_accuracy(spark, sf):
-    return A.add_accuracy(sentiment_report(spark, sf), R.predictions(spark, sf))
+    return A.report_with_accuracy(R.predictions(spark, sf))
+
+
+_ALL_SQL = f"SELECT * FROM {{0}} UNION ALL BY NAME SELECT * REPLACE ({Q.s(M.ALL)} AS model) FROM {{0}}"
+_ALL_C, _ALL_SELECT = Q.class_report("pooled", "label", "parsed_sentiment", "model, condition")
+
+
+@query("report_all_models", Q.using("predictions", _ALL_SELECT, f"pooled AS ({_ALL_SQL.format('predictions')})", _ALL_C))
+def report_all_models(spark, sf):
+    return A.report_with_accuracy(R.predictions(spark, sf), totals=["model"])
+
+
+@query("stored_report_with_accuracy", Q.using("predictions", _SENT_SELECT, _SENT_C))
+def stored_report_with_accuracy(spark, sf):
+    # A report that was written before is completed from the predictions.
+    path = fresh_path(spark, "report")
+    sentiment_report(spark, sf).write.parquet(path)
+    return A.add_accuracy(spark.read.parquet(path), R.predictions(spark, sf))
+
+
+@query("detection_report_all", Q.label_report().replace("FROM detections)", f"FROM ({_ALL_SQL.format('detections')}))"))
+def detection_report_all(spark, sf):
+    return T.detection_report(R.detection_cells(spark, sf), totals=["model"])
 
 
 _LABEL_C, _LABEL_SELECT = Q.class_report("gold", "quality", "toxic", "source", ["0", "1"])
@@ -571,15 +593,8 @@ def null_prediction_rate(spark, sf):
     # A blank answer has no parsed cell: it is missing and counts as wrong.
     answered = col("predicted_sentiment") != ""
     p = R.predictions(spark, sf).withColumn("parsed_sentiment", F.when(answered, col("parsed_sentiment")))
-    missing = F.count_if(col("parsed_sentiment").isNull())
-    hits = F.count_if(F.coalesce(col("label") == col("parsed_sentiment"), F.lit(False)))
-    rows = F.count(F.lit(1))
-    return p.groupBy("model").agg(
-        rows.alias("rows"),
-        missing.alias("missing"),
-        (M.ratio(missing, rows) * 100).alias("missing_pct"),
-        M.ratio(hits, rows).alias("accuracy"),
-    )
+    rates, scores = A.null_rate(p, "parsed_sentiment"), M.accuracy(p, "label", "parsed_sentiment", ["model"])
+    return rates.join(scores.drop("rows"), "model")
 
 
 # --- judge scores ---------------------------------------------------------------
@@ -1048,6 +1063,100 @@ def defense_conditions(spark, sf):
     return p.select("model", "condition", "example_id", "predicted_sentiment", "parsed_sentiment")
 
 
+# --- jobs of which some calls fail ---------------------------------------------------------
+
+_FAILS = "(('0x' || substr(md5({0} || chr(10) || {1}), 1, 8))::BIGINT % 7 = 0)"
+_ONCE = Params(attempts=1, backoff_s=0.0, batch_size=4)
+_DETECT_SYS, _REWRITE_SYS = Q.s(TASK_TEMPLATES.detect_system), Q.s(TASK_TEMPLATES.rewrite_system)
+_FAILING_DETECTIONS = f"""found AS (SELECT 'm' AS model, *, CASE WHEN NOT {_FAILS.format(_DETECT_SYS, _DETECT_PROMPT)}
+  THEN {_canned_answer(_LABEL_ANSWERS, _DETECT_SYS, _DETECT_PROMPT)} END AS raw_model_response FROM dataset),
+detections AS (SELECT *, CASE WHEN raw_model_response IS NOT NULL THEN array_to_string({Q.predicted('raw_model_response')}, ',') END AS predicted_biases FROM found)"""
+
+
+def _failing_detections(spark, sf):
+    rows = R.dataset(spark, sf).withColumn("model", F.lit("m"))
+    return J.detect(J.with_errors(rows), R.failing(R.canned_backend(_LABEL_ANSWERS)), params=_ONCE)
+
+
+_FAILED_REPORT = Q.label_report()
+_FAILED_REPORT = "WITH " + ", ".join([Q.BASE, Q.PLAN, Q.DATASET, _FAILING_DETECTIONS]) + ", sets AS" + _FAILED_REPORT.split("sets AS", 1)[1]
+
+
+@query("detect_with_failures", _FAILED_REPORT.replace("predicted_biases IS NULL OR", "FALSE OR").replace("(predicted_biases", "(coalesce(predicted_biases, 'no response')"))
+def detect_with_failures(spark, sf):
+    # Calls without an answer count as support of their classes and as no answer of any.
+    return T.detection_report(_failing_detections(spark, sf))
+
+
+def _failing_rewrite(labels: str) -> str:
+    prompt = _template_sql(TASK_TEMPLATES.rewrite, {"predicted_biases": labels, "sentence": "biased_sentence"})
+    return f"CASE WHEN {labels} IS NOT NULL AND NOT {_FAILS.format(_REWRITE_SYS, prompt)} THEN {_digest_answer('rewritten', _REWRITE_SYS, prompt)} END"
+
+
+def _rewrite_failed(labels: str) -> str:
+    prompt = _template_sql(TASK_TEMPLATES.rewrite, {"predicted_biases": labels, "sentence": "biased_sentence"})
+    return f"coalesce({labels} IS NOT NULL AND {_FAILS.format(_REWRITE_SYS, prompt)}, FALSE)"
+
+
+@query(
+    "conditions_with_failures",
+    Q.using(
+        "dataset conditions",
+        f"""SELECT model, condition, count(*) AS rows, count(*) FILTER (d OR r OR s) AS missing, count(*) FILTER (d) AS failed_detect,
+            count(*) FILTER (r) AS failed_rewrite, count(*) FILTER (s) AS failed_sentiment,
+            {Q.div("count(*) FILTER (NOT s AND label = parsed)", "count(*)")} AS accuracy
+            FROM (SELECT *, CASE parser WHEN 'cot' THEN {Q.cot_sentiment('raw')} ELSE {Q.plain_sentiment('raw')} END AS parsed FROM answered)
+            GROUP BY model, condition""",
+        _FAILING_DETECTIONS,
+        f"""rewritten AS (SELECT * EXCLUDE (raw_model_response), raw_model_response IS NULL AS d,
+            {_failing_rewrite('biases')} AS true_bias_rewrite, {_failing_rewrite('predicted_biases')} AS detected_bias_rewrite,
+            {_rewrite_failed('biases')} OR {_rewrite_failed('predicted_biases')} AS r FROM detections)""",
+        f"asked AS (SELECT *, {_SYS} AS sys, {_PROMPT} AS prompt FROM rewritten, conditions WHERE clean = (biases = 'none'))",
+        f"""answered AS (SELECT model, condition, parser, label, d, r, coalesce({_FAILS.format('sys', 'prompt')}, TRUE) AS s,
+            {_canned_answer(R.CANNED_SENTIMENTS, 'sys', 'prompt')} AS raw FROM asked)""",
+    ),
+)
+def conditions_with_failures(spark, sf):
+    # A failed detection leaves no labels to name, so later prompts are missing too; every failure is told by its stage.
+    d = materialise(_failing_detections(spark, sf), "detections")
+    r = materialise(J.rewrite(d, R.failing(R.digest_backend("rewritten")), params=_ONCE), "rewrites")
+    p = J.classify_under_conditions(r, R.failing(R.canned_backend(R.CANNED_SENTIMENTS)), params=_ONCE, keep=["model", "example_id", "label"])
+    p = materialise(p, "answers")
+    by = ["model", "condition"]
+    failures = A.failures_by_stage(p, by, ["detect", "rewrite", "sentiment"])
+    return failures.join(A.condition_accuracy(p, by).drop("rows"), by)
+
+
+# --- the study of three wordings: injected, detected and scored each for itself -------------------
+
+
+def _variant_sql() -> str:
+    system = "CASE prompt_variant " + " ".join(f"WHEN {Q.s(v)} THEN {Q.s(t.system)}" for v, t in INJECTION_TEMPLATES.items()) + " END"
+    first = _digest_answer("text", system, _prompt_sql("prompt_variant", "stage1", "label", "original_sentence"))
+    second = _digest_answer("text", system, _prompt_sql("prompt_variant", "stage2", "label", "mid"))
+    classes = Q.class_counts("t", "p", CUES)
+    return Q.using(
+        "dataset",
+        "SELECT 'm' AS model, " + ", ".join(f"max(f) FILTER (WHERE v = {Q.s(v)}) AS {v}" for v in INJECTION_TEMPLATES) + " FROM f",
+        f"variants AS (SELECT * FROM (VALUES {_VARIANTS}) v(prompt_variant))",
+        f"begun AS (SELECT dataset.*, prompt_variant, {first} AS mid FROM dataset, variants WHERE stage1 IS NOT NULL)",
+        f"""injected AS (SELECT * EXCLUDE (biased_sentence), CASE WHEN stage2 IS NULL THEN mid ELSE {second} END AS biased_sentence FROM begun)""",
+        f"found AS (SELECT biases, prompt_variant, {_canned_answer(_LABEL_ANSWERS, _DETECT_SYS, _DETECT_PROMPT)} AS raw FROM injected)",
+        f"sets AS (SELECT prompt_variant AS v, list_filter(string_split(biases, ','), x -> list_contains({Q.lst(CUES)}, x)) AS t, "
+        f"list_filter({Q.predicted('raw')}, x -> list_contains({Q.lst(CUES)}, x)) AS p FROM found)".replace("x ->", "lambda x:"),
+        f"c AS (SELECT v, {classes} FROM sets GROUP BY v)",
+        f"f AS (SELECT v, {Q.mean([Q.f1_of(i) for i in range(6)])} AS f FROM c)",
+    )
+
+
+@query("sensitivity_run", _variant_sql())
+def sensitivity_run(spark, sf):
+    variants = list(INJECTION_TEMPLATES)
+    injected = J.inject(R.base(spark, sf), R.digest_backend("text"), bias_plan(clean=False), variants=variants)
+    found = J.detect(injected.withColumn("model", F.lit("m")), R.canned_backend(_LABEL_ANSWERS), keep=["model", "example_id", "biases", "prompt_variant"])
+    return T.prompt_sensitivity(found, variants)
+
+
 @query(
     "classify_batch",
     Q.using(
