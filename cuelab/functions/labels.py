@@ -8,11 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from cuelab.fixed_values import CUES, NONE
-from cuelab.functions.text import strip
-
-
-def _literals(words: Sequence[str]) -> Column:
-    return F.array(*[F.lit(w) for w in words])
+from cuelab.functions.text import strip, text_array
 
 
 def prediction_cell(text: Column, cues: Sequence[str] = CUES) -> Column:
@@ -45,7 +41,7 @@ def parse_gold(text: Column) -> Column:
 
     Unknown labels stay, and a cell of bare commas gives an empty list.
     """
-    return F.when(_is_none(text), _literals([NONE])).otherwise(_cells(text))
+    return F.when(_is_none(text), text_array([NONE])).otherwise(_cells(text))
 
 
 def label_set(text: Column) -> Column:
@@ -64,7 +60,7 @@ def label_set_without_none(text: Column) -> Column:
 def known_labels(text: Column, cues: Sequence[str] = CUES) -> Column:
     """Known labels only, compared with case; missing cells give the empty set."""
     empty = F.array().cast("array<string>")
-    known = F.array_intersect(_cells(text, lower=False), _literals(cues))
+    known = F.array_intersect(_cells(text, lower=False), text_array(cues))
     return F.when(text.isNull() | text.isin("", NONE), empty).otherwise(known)
 
 
@@ -79,7 +75,6 @@ def pair_key(labels: Column) -> Column:
 
 def label_mask(labels: Column, classes: Sequence[str]) -> Column:
     """One bit per class; labels outside ``classes`` leave no trace."""
-    mask = F.lit(0)
-    for i, c in enumerate(classes):
-        mask = mask.bitwiseOR(F.when(F.array_contains(labels, c), F.lit(1 << i)).otherwise(F.lit(0)))
-    return mask
+    known = text_array(classes)
+    bit = lambda mask, c: mask.bitwiseOR(F.call_function("shiftleft", F.lit(1), (F.array_position(known, c) - 1).cast("int")))
+    return F.coalesce(F.aggregate(F.array_intersect(labels, known), F.lit(0), bit), F.lit(0))

@@ -10,6 +10,20 @@ from pyspark.sql import functions as F
 from cuelab.fixed_values import MISSING_TOKENS, NON_PRINTABLE, WHITESPACE_RANGES
 
 
+def sql_text(word: str | None) -> str:
+    """A literal in an SQL expression. Constant tables are written as one expression: built column by column they cost
+    the driver thousands of calls."""
+    if word is None:
+        return "CAST(NULL AS STRING)"
+    plain = word.replace("\\", "\\\\").replace("'", "\\'").replace("\n", "\\n").replace("\r", "\\r").replace("\x00", "\\0")
+    return f"'{plain}'"
+
+
+def text_array(words: Sequence[str]) -> Column:
+    """A constant array of texts."""
+    return F.expr(f"array({', '.join(map(sql_text, words))})")
+
+
 _WHITESPACE = "".join(chr(c) for a, b in WHITESPACE_RANGES for c in range(a, b + 1))
 
 

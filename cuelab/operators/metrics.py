@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from cuelab.fixed_values import CUE_CLASSES, CUES, NONE, SENTIMENTS
 from cuelab.functions.labels import label_mask
+from cuelab.functions.text import sql_text
 
 
 def ratio(a: Column, b: Column) -> Column:
@@ -81,21 +82,51 @@ def label_contingency(
     )
 
 
+def _counts(i: int, gold: str, pred: str) -> list[Column]:
+    """Right answers, answers and gold rows of class ``i``, given the conditions in SQL."""
+    conditions = {"tp": f"{gold} AND {pred}", "pp": pred, "sup": gold}
+    return [F.expr(f"sum(CASE WHEN {c} THEN n ELSE 0 END) AS {name}_{i}") for name, c in conditions.items()]
+
+
 def _class_counts(classes: Sequence[str]) -> list[Column]:
-    aggs = []
-    for i in range(len(classes)):
-        bit = F.lit(1 << i)
-        g, p = F.col("gold").bitwiseAND(bit) != 0, F.col("pred").bitwiseAND(bit) != 0
-        aggs += [
-            F.sum(F.when(g & p, F.col("n")).otherwise(0)).alias(f"tp_{i}"),
-            F.sum(F.when(p, F.col("n")).otherwise(0)).alias(f"pp_{i}"),
-            F.sum(F.when(g, F.col("n")).otherwise(0)).alias(f"sup_{i}"),
-        ]
-    return aggs
+    return [c for i in range(len(classes)) for c in _counts(i, f"(gold & {1 << i}) <> 0", f"(pred & {1 << i}) <> 0")]
+
+
+def _ratio_sql(a: str, b: str) -> str:
+    """``ratio`` in SQL: the tables have dozens of cells, and each is one text here instead of ten calls."""
+    return f"(CASE WHEN ({b}) = 0 THEN 0.0D ELSE CAST(({a}) AS DOUBLE) / CAST(({b}) AS DOUBLE) END)"
+
+
+def _f1_sql(i: int) -> str:
+    return _ratio_sql(f"2 * tp_{i}", f"pp_{i} + sup_{i}")
 
 
 def _f1(i: int) -> Column:
-    return ratio(2 * F.col(f"tp_{i}"), F.col(f"pp_{i}") + F.col(f"sup_{i}"))
+    return F.expr(_f1_sql(i))
+
+
+def _sum_sql(parts: Sequence[str]) -> str:
+    return "(" + " + ".join(parts) + ")"
+
+
+def _row_sql(i: int, name: str, precision: str, recall: str, f1: str, support: str) -> str:
+    """One row of a report; ``name`` is an SQL expression."""
+    return f"named_struct('class_ord', {i}, 'class', {name}, 'precision', {precision}, 'recall', {recall}, 'f1', {f1}, 'support', {support})"
+
+
+class _Scores:
+    """The scores of k classes from their counts, in SQL."""
+
+    def __init__(self, k: int):
+        n = range(k)
+        self.p = [_ratio_sql(f"tp_{i}", f"pp_{i}") for i in n]
+        self.r = [_ratio_sql(f"tp_{i}", f"sup_{i}") for i in n]
+        self.f = [_f1_sql(i) for i in n]
+        self.tp, self.pp, self.sup = (_sum_sql([f"{x}_{i}" for i in n]) for x in ("tp", "pp", "sup"))
+        self.micro = _ratio_sql(self.tp, self.pp), _ratio_sql(self.tp, self.sup), _ratio_sql(f"2 * {self.tp}", f"{self.pp} + {self.sup}")
+        self.macro = tuple(f"({_sum_sql(x)} / {k})" for x in (self.p, self.r, self.f))
+        weights = [[f"{x} * CAST(sup_{i} AS DOUBLE)" for i, x in enumerate(xs)] for xs in (self.p, self.r, self.f)]
+        self.weighted = tuple(_ratio_sql(_sum_sql(w), self.sup) for w in weights)
 
 
 def _sample_sums(k: int) -> tuple[list[Column], int]:
@@ -119,52 +150,26 @@ def label_report(contingency: DataFrame, classes: Sequence[str] = CUE_CLASSES, b
     sums, unit = _sample_sums(k)
     c = contingency.groupBy(*by).agg(*_class_counts(classes), *sums, F.sum("n").alias("rows"))
 
-    p = [ratio(F.col(f"tp_{i}"), F.col(f"pp_{i}")) for i in range(k)]
-    r = [ratio(F.col(f"tp_{i}"), F.col(f"sup_{i}")) for i in range(k)]
-    f = [_f1(i) for i in range(k)]
-    sup = [F.col(f"sup_{i}") for i in range(k)]
-    tp_all = total([F.col(f"tp_{i}") for i in range(k)])
-    pp_all = total([F.col(f"pp_{i}") for i in range(k)])
-    sup_all = total(sup)
-
-    def row(i: int, name: str, precision: Column, recall: Column, f1: Column, support: Column) -> Column:
-        return F.struct(
-            F.lit(i).alias("class_ord"),
-            F.lit(name).alias("class"),
-            precision.alias("precision"),
-            recall.alias("recall"),
-            f1.alias("f1"),
-            support.alias("support"),
-        )
-
-    def weighted(scores: list[Column]) -> Column:
-        return ratio(total([x * s.cast("double") for x, s in zip(scores, sup)]), sup_all)
-
-    def sample_mean(name: str) -> Column:
-        return ratio(F.col(name), F.col("rows") * F.lit(unit).cast("bigint"))
-
-    rows = [row(i, name, p[i], r[i], f[i], sup[i]) for i, name in enumerate(classes)]
-    rows += [
-        row(k, "micro avg", ratio(tp_all, pp_all), ratio(tp_all, sup_all), ratio(2 * tp_all, pp_all + sup_all), sup_all),
-        row(k + 1, "macro avg", total(p) / k, total(r) / k, total(f) / k, sup_all),
-        row(k + 2, "weighted avg", weighted(p), weighted(r), weighted(f), sup_all),
-        row(k + 3, "samples avg", sample_mean("s_p"), sample_mean("s_r"), sample_mean("s_f"), sup_all),
-    ]
-    return c.select(*by, F.inline(F.array(*rows)))
+    x = _Scores(k)
+    mean = [_ratio_sql(name, f"rows * CAST({unit} AS BIGINT)") for name in ("s_p", "s_r", "s_f")]
+    rows = [_row_sql(i, sql_text(name), x.p[i], x.r[i], x.f[i], f"sup_{i}") for i, name in enumerate(classes)]
+    for i, (name, scores) in enumerate([("micro avg", x.micro), ("macro avg", x.macro), ("weighted avg", x.weighted), ("samples avg", mean)]):
+        rows.append(_row_sql(k + i, sql_text(name), *scores, x.sup))
+    return c.select(*by, F.expr(f"inline(array({', '.join(rows)}))"))
 
 
 def f1_per_class(contingency: DataFrame, classes: Sequence[str] = CUE_CLASSES, by: Sequence[str] = ("model",)) -> DataFrame:
     """F1 of every class."""
     c = contingency.groupBy(*by).agg(*_class_counts(classes))
-    rows = [F.struct(F.lit(name).alias("class"), _f1(i).alias("f1")) for i, name in enumerate(classes)]
-    return c.select(*by, F.inline(F.array(*rows)))
+    rows = [f"named_struct('class', {sql_text(name)}, 'f1', {_f1_sql(i)})" for i, name in enumerate(classes)]
+    return c.select(*by, F.expr(f"inline(array({', '.join(rows)}))"))
 
 
 def macro_f1(contingency: DataFrame, classes: Sequence[str] = CUES, by: Sequence[str] = ("model",)) -> DataFrame:
     """Unweighted mean F1 over the classes."""
     k = len(classes)
     c = contingency.groupBy(*by).agg(*_class_counts(classes), F.sum("n").alias("rows"))
-    return c.select(*by, (total([_f1(i) for i in range(k)]) / k).alias("macro_f1"), "rows")
+    return c.select(*by, F.expr(f"{_Scores(k).macro[2]} AS macro_f1"), "rows")
 
 
 def single_vs_pairwise(contingency: DataFrame, classes: Sequence[str] = CUES, by: Sequence[str] = ("model",)) -> DataFrame:
@@ -182,20 +187,13 @@ def pair_f1(
     by: Sequence[str] = ("model",),
 ) -> DataFrame:
     """Macro-F1 of each combination of two gold labels over these two classes only."""
-    bit = {name: 1 << i for i, name in enumerate(classes)}
     index = {name: i for i, name in enumerate(classes)}
-    name_of, score = None, None
-    for a, b in pairs:
-        here = F.col("gold") == (bit[a] | bit[b])
-        name_of = F.when(here, f"{a},{b}") if name_of is None else name_of.when(here, f"{a},{b}")
-    c = contingency.filter(F.col("gold_size") == 2).withColumn("combination", name_of)
+    named = " ".join(f"WHEN {1 << index[a] | 1 << index[b]} THEN {sql_text(f'{a},{b}')}" for a, b in pairs)
+    means = " ".join(f"WHEN {sql_text(f'{a},{b}')} THEN (({_f1_sql(index[a])} + {_f1_sql(index[b])}) / 2)" for a, b in pairs)
+    c = contingency.filter(F.col("gold_size") == 2).withColumn("combination", F.expr(f"CASE gold {named} END"))
     c = c.filter(F.col("combination").isNotNull())
     c = c.groupBy(*by, "combination").agg(*_class_counts(classes), F.sum("n").alias("rows"))
-    for a, b in pairs:
-        mean = (_f1(index[a]) + _f1(index[b])) / 2
-        here = F.col("combination") == f"{a},{b}"
-        score = F.when(here, mean) if score is None else score.when(here, mean)
-    return c.select(*by, "combination", score.alias("macro_f1"), "rows")
+    return c.select(*by, "combination", F.expr(f"CASE combination {means} END AS macro_f1"), "rows")
 
 
 def class_vs_rest(
@@ -248,60 +246,35 @@ def class_report(
     columns, as the tables of the usual Python report do once transposed.
     """
     k = len(classes)
-    known = list(classes)
-    aggs = []
-    for i, name in enumerate(classes):
-        g, p = F.col("gold").eqNullSafe(F.lit(name)), F.col("pred").eqNullSafe(F.lit(name))
-        aggs += [
-            F.sum(F.when(g & p, F.col("n")).otherwise(0)).alias(f"tp_{i}"),
-            F.sum(F.when(p, F.col("n")).otherwise(0)).alias(f"pp_{i}"),
-            F.sum(F.when(g, F.col("n")).otherwise(0)).alias(f"sup_{i}"),
-        ]
-    inside = F.coalesce(F.col("gold").isin(known) & F.col("pred").isin(known), F.lit(False))
+    names = [sql_text(c) for c in classes]
+    known = ", ".join(names)
+    aggs = [c for i, x in enumerate(names) for c in _counts(i, f"gold <=> {x}", f"pred <=> {x}")]
+    inside = f"coalesce(gold IN ({known}) AND pred IN ({known}), FALSE)"
     c = contingency.groupBy(*by).agg(
         *aggs,
         F.sum("n").alias("rows"),
-        F.sum(F.when(~inside, F.col("n")).otherwise(0)).alias("outside"),
-        F.sum(F.when(F.col("gold") == F.col("pred"), F.col("n")).otherwise(0)).alias("equal"),
+        F.expr(f"sum(CASE WHEN NOT {inside} THEN n ELSE 0 END) AS outside"),
+        F.expr("sum(CASE WHEN gold = pred THEN n ELSE 0 END) AS equal"),
     )
-    p = [ratio(F.col(f"tp_{i}"), F.col(f"pp_{i}")) for i in range(k)]
-    r = [ratio(F.col(f"tp_{i}"), F.col(f"sup_{i}")) for i in range(k)]
-    f = [_f1(i) for i in range(k)]
-    sup = [F.col(f"sup_{i}") for i in range(k)]
-    sup_all = total(sup)
-    tp_all = total([F.col(f"tp_{i}") for i in range(k)])
-    pp_all = total([F.col(f"pp_{i}") for i in range(k)])
-    covered = F.col("outside") == 0
-    accuracy = ratio(F.col("equal"), F.col("rows"))
-    blank = accuracy if fill_accuracy_row else F.lit(None).cast("double")
-
-    def row(i, name, precision, recall, f1, support) -> Column:
-        return F.struct(
-            F.lit(i).alias("class_ord"),
-            (name if isinstance(name, Column) else F.lit(name)).alias("class"),
-            precision.alias("precision"),
-            recall.alias("recall"),
-            f1.alias("f1"),
-            support.cast("double").alias("support"),
-        )
+    x = _Scores(k)
+    hits = _ratio_sql("equal", "rows")
+    blank = hits if fill_accuracy_row else "CAST(NULL AS DOUBLE)"
+    number = blank if fill_accuracy_row else "CAST(rows AS DOUBLE)"
+    all_gold = f"CAST({x.sup} AS DOUBLE)"
 
-    def weighted(scores: list[Column]) -> Column:
-        return ratio(total([x * s.cast("double") for x, s in zip(scores, sup)]), sup_all)
+    def covered(yes: str, no: str) -> str:
+        return f"(CASE WHEN outside = 0 THEN {yes} ELSE {no} END)"
 
-    rows = [row(i, name, p[i], r[i], f[i], sup[i]) for i, name in enumerate(classes)]
+    rows = [_row_sql(i, name, x.p[i], x.r[i], x.f[i], f"CAST(sup_{i} AS DOUBLE)") for i, name in enumerate(names)]
     rows += [
-        row(
-            k,
-            F.when(covered, F.lit("accuracy")).otherwise(F.lit("micro avg")),
-            F.when(covered, blank).otherwise(ratio(tp_all, pp_all)),
-            F.when(covered, blank).otherwise(ratio(tp_all, sup_all)),
-            F.when(covered, accuracy).otherwise(ratio(2 * tp_all, pp_all + sup_all)),
-            F.when(covered, blank if fill_accuracy_row else F.col("rows").cast("double")).otherwise(sup_all.cast("double")),
+        _row_sql(
+            k, covered("'accuracy'", "'micro avg'"), covered(blank, x.micro[0]), covered(blank, x.micro[1]), covered(hits, x.micro[2]),
+            covered(number, all_gold),
         ),
-        row(k + 1, "macro avg", total(p) / k, total(r) / k, total(f) / k, sup_all),
-        row(k + 2, "weighted avg", weighted(p), weighted(r), weighted(f), sup_all),
-    ]
-    return c.select(*by, accuracy.alias("accuracy"), F.inline(F.array(*rows)))
+        _row_sql(k + 1, "'macro avg'", *x.macro, all_gold),
+        _row_sql(k + 2, "'weighted avg'", *x.weighted, all_gold),
+    ]
+    return c.select(*by, F.expr(f"{hits} AS accuracy"), F.expr(f"inline(array({', '.join(rows)}))"))
 
 
 def accuracy(df: DataFrame, gold: str, pred: str, by: Sequence[str]) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cuelab.fixed_values import CUES, NONE
+from cuelab.functions.text import sql_text, text_array
 from cuelab.plans.prompts import InjectionTemplates, render
 
 FRAMED_LABELS = ("positive", "negative")
@@ -68,10 +69,6 @@ def _full_order(plain: Sequence[str]) -> list[tuple]:
     )
 
 
-def _applies(label: Column, labels: tuple[str, ...] | None) -> Column:
-    return F.lit(True) if labels is None else label.isin(*labels)
-
-
 def explode_when(df: DataFrame, rows: Sequence[tuple[Column, Column]], name: str) -> DataFrame:
     """Explode the structs whose condition holds; a row for which none holds is gone."""
     items = F.array_compact(F.array(*[F.when(cond, item) for cond, item in rows]))
@@ -87,20 +84,26 @@ def expand_plan(
     """Each sentence with each plan row that applies to it: adds ``plan_ord, biases, stage1,
     stage2, prompt_variant``."""
     rows = [
-        (
-            _applies(F.col(label_col), r.labels),
-            F.struct(
-                F.lit(r.ord).alias("plan_ord"),
-                F.lit(r.biases).alias("biases"),
-                F.lit(r.stage1).cast("string").alias("stage1"),
-                F.lit(r.stage2).cast("string").alias("stage2"),
-                F.lit(v).alias("prompt_variant"),
-            ),
-        )
+        f"named_struct('labels', {_labels(r.labels)}, 'plan_ord', {r.ord}, 'biases', {sql_text(r.biases)}, "
+        f"'stage1', {sql_text(r.stage1)}, 'stage2', {sql_text(r.stage2)}, 'prompt_variant', {sql_text(v)})"
         for v in variants
         for r in plan
     ]
-    return explode_when(base, rows, "__plan").select(*base.columns, "__plan.*")
+    return _explode_rows(base, rows, label_col)
+
+
+def _labels(labels: Sequence[str] | None) -> str:
+    return "CAST(NULL AS ARRAY<STRING>)" if labels is None else f"array({', '.join(map(sql_text, labels))})"
+
+
+def _explode_rows(base: DataFrame, rows: Sequence[str], label_col: str) -> DataFrame:
+    """Each row of ``base`` with the constant structs that apply to its label."""
+    label = "`" + label_col.replace("`", "``") + "`"
+    if not rows:
+        raise ValueError("the plan is empty")
+    all_rows = f"filter(array({', '.join(rows)}), r -> r.labels IS NULL OR array_contains(r.labels, {label}))"
+    exploded = base.select("*", F.expr(f"explode({all_rows})").alias("__row"))
+    return exploded.select(*base.columns, F.col("__row").dropFields("labels").alias("__row")).select(*base.columns, "__row.*")
 
 
 def expand_first_calls(
@@ -123,28 +126,14 @@ def expand_first_calls(
     for v in variants:
         for uses in calls.values():
             first = uses[0]
-            finish = F.array(
-                *[
-                    F.struct(
-                        F.lit(u.ord).alias("plan_ord"),
-                        F.lit(u.biases).alias("biases"),
-                        F.lit(u.stage2).cast("string").alias("stage2"),
-                    )
-                    for u in uses
-                ]
+            finish = ", ".join(
+                f"named_struct('plan_ord', {u.ord}, 'biases', {sql_text(u.biases)}, 'stage2', {sql_text(u.stage2)})" for u in uses
             )
             rows.append(
-                (
-                    _applies(F.col(label_col), first.labels),
-                    F.struct(
-                        F.lit(first.ord).alias("call_ord"),
-                        F.lit(first.stage1).alias("stage1"),
-                        F.lit(v).alias("prompt_variant"),
-                        finish.alias("finish"),
-                    ),
-                )
+                f"named_struct('labels', {_labels(first.labels)}, 'call_ord', {first.ord}, 'stage1', {sql_text(first.stage1)}, "
+                f"'prompt_variant', {sql_text(v)}, 'finish', array({finish}))"
             )
-    return explode_when(base, rows, "__call").select(*base.columns, "__call.*")
+    return _explode_rows(base, rows, label_col)
 
 
 def injection_prompt(
@@ -174,7 +163,7 @@ def expand_models(df: DataFrame, models: Sequence[str], variants: Sequence[str]
     """Each row once per model (and per variant): the grid of runs as columns."""
     if not models:
         raise ValueError("name at least one model")
-    out = df.withColumn("model", F.explode(F.array(*[F.lit(m) for m in models])))
+    out = df.withColumn("model", F.explode(text_array(models)))
     if variants is not None:
-        out = out.withColumn("prompt_variant", F.explode(F.array(*[F.lit(v) for v in variants])))
+        out = out.withColumn("prompt_variant", F.explode(text_array(variants)))
     return out

@@ -16,6 +16,7 @@ from cuelab.fixed_values import FRAMING_OPTIONS, HERDING_FINDS, OVERCONFIDENCE_F
 from cuelab.functions.judge import parse_judge
 from cuelab.functions.labels import parse_predictions, prediction_cell
 from cuelab.functions.sentiment import parse_with
+from cuelab.functions.text import text_array
 from cuelab.operators.dataset import example_id, with_text_keys
 from cuelab.operators.diversify import AUTHORITY
 from cuelab.plans.conditions import expand_conditions, sentiment_conditions
@@ -66,7 +67,7 @@ CANNED_JUDGE = [
 
 
 def pick(words: Sequence[str], number: Column) -> Column:
-    return F.element_at(F.array(*[F.lit(w) for w in words]), (F.pmod(number, F.lit(len(words))) + 1).cast("int"))
+    return F.element_at(text_array(words), (F.pmod(number, F.lit(len(words))) + 1).cast("int"))
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
