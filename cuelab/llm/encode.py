@@ -13,6 +13,8 @@ import os
 import re
 from array import array
 
+import numpy as np
+
 from .shared import blocks
 
 _INSIDE = re.compile(r"(?<=[\s᠎]) (?:[\s᠎]|\Z)")  # begins with a space, which is searched fast
@@ -39,11 +41,39 @@ def _parts(before: str, stretch: str) -> tuple[str, ...]:
     return (before + stretch,)
 
 
+class _Store(dict):
+    """The ids of stretches. When full, those seen since the last time are kept as long again, the others go."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.old: dict[str, bytes] = {}
+        self.chars = 0
+
+    def missing(self, wanted: set[str]) -> set[str]:
+        """What of ``wanted`` is not known."""
+        new = wanted.difference(self)
+        if self.old and new:
+            again = [x for x in new if x in self.old]
+            self.keep(again, [self.old[x] for x in again])
+            new.difference_update(again)
+        return new
+
+    def keep(self, stretches: list[str], ids: list[bytes]) -> None:
+        self.update(zip(stretches, ids))
+        self.chars += sum(map(len, stretches))
+
+    def age(self, most: int, most_chars: int) -> None:
+        if len(self) > most or self.chars > most_chars:
+            self.old = dict(self)
+            self.clear()
+            self.chars = 0
+
+
 class Encoder:
     """``ids(texts)``: little-endian unsigned 32-bit ids of each text, without added special tokens."""
 
-    #: Stretches and words kept for later blocks and tasks; a store that is full is emptied.
-    MOST_STRETCHES, MOST_WORDS, MOST_CHARS = 300_000, 500_000, 16 << 20
+    #: Stretches kept for later blocks and tasks in each of the two stores, before those not seen again go.
+    MOST_STRETCHES, MOST_CHARS = 500_000, 8 << 20
 
     def __init__(self, data: bytes) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
@@ -59,12 +89,14 @@ class Encoder:
             and before.get("type") == "ByteLevel"
             and before.get("use_regex", True)
             and not before.get("add_prefix_space")
-            and not any(t.get("lstrip") or t.get("rstrip") or t.get("single_word") or " " in t["content"] for t in spec.get("added_tokens", []))
+            and not any(
+                t.get("lstrip") or t.get("rstrip") or t.get("single_word") or " " in t["content"] or "<" not in t["content"]
+                for t in spec.get("added_tokens", [])
+            )
         )
-        self.first: dict[str, bytes] = {}  # by stretch, at the start of a text
-        self.later: dict[str, bytes] = {}  # by stretch, after a space
-        self.words: dict[str, bytes] = {}  # what the library has encoded, spaces included
-        self.chars = 0
+        feed = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        self.feed = feed[0] if len(feed) == 1 else None
+        self.first, self.later = _Store(), _Store()  # by stretch: without a space before it, and after one
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         out = []
@@ -73,26 +105,43 @@ class Encoder:
                 out.append(array("I", e.ids).tobytes())
         return out
 
-    def _learn(self, store: dict[str, bytes], wanted: set[str], before: str) -> None:
-        new = list(wanted.difference(store))
-        if not new:
-            return
-        parts = [_parts(before, x) for x in new]
-        words = list({w for p in parts for w in p}.difference(self.words))
-        self.chars += sum(map(len, new)) + sum(map(len, words))
-        self.words.update(zip(words, self._encode(words)))
-        get = self.words.__getitem__
-        store.update(zip(new, [b"".join(map(get, p)) for p in parts]))
+    def _encode_lines(self, words: list[str], before: str) -> list[bytes]:
+        """The ids of words without white space or ``<``: as lines of one text, since a line feed between such is one token."""
+        out: list[bytes] = []
+        for at in range(0, len(words), 5000):
+            part = words[at : at + 5000]
+            ids = np.array(self.tokenizer.encode_batch_fast([before + ("\n" + before).join(part)], add_special_tokens=False)[0].ids, "<u4")
+            ends = 4 * np.flatnonzero(ids == self.feed)
+            body = ids.tobytes()
+            out += [body[a:b] for a, b in zip([0, *(ends + 4).tolist()], [*ends.tolist(), len(body)])]
+        return out
+
+    def _add(self, store: _Store, new: set[str], before: str) -> None:
+        plain = [x for x in new if x.isprintable() and " " not in x and "<" not in x and x] if self.feed is not None else []
+        store.keep(plain, self._encode_lines(plain, before))
+        others = list(new.difference(plain))
+        store.keep(others, self._encode([before + x for x in others]))
+
+    def _learn(self, store: _Store, wanted: set[str], before: str) -> None:
+        whole, cut = set(), {}
+        for x in store.missing(wanted):
+            parts = (x,) if x.isalnum() else _parts(before, x)
+            if len(parts) == 1:
+                whole.add(x)
+            else:
+                cut[x] = (parts[0][len(before) :], parts[1:])
+        self._add(store, whole | store.missing({h for h, _ in cut.values()}.difference(whole)), before)
+        self._add(self.first, self.first.missing({p for _, rest in cut.values() for p in rest}), "")
+        known = self.first.__getitem__
+        store.keep(list(cut), [store[h] + b"".join(map(known, rest)) for h, rest in cut.values()])
 
     def _block(self, texts: list[str]) -> list[bytes]:
-        if self.chars > self.MOST_CHARS or len(self.words) > self.MOST_WORDS:
-            self.first, self.later, self.words, self.chars = {}, {}, {}, 0
-        elif len(self.first) + len(self.later) > self.MOST_STRETCHES:
-            self.first, self.later = {}, {}
+        for store in (self.first, self.later):
+            store.age(self.MOST_STRETCHES, self.MOST_CHARS)
         parts = [_BEFORE_WORD.split(t) if _INSIDE.search(t) else t.split(" ") for t in texts]
         heads = [p.pop(0) for p in parts]
         self._learn(self.first, set(heads), "")
-        self._learn(self.later, {x for p in parts for x in p}, " ")
+        self._learn(self.later, set().union(*parts), " ")
         first, later = self.first, self.later.__getitem__
         return [first[h] + b"".join(map(later, p)) for h, p in zip(heads, parts)]
 
