@@ -16,7 +16,6 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from cuelab.workspace import fresh_path
 
@@ -71,21 +70,26 @@ def canonical(lengths: np.ndarray) -> np.ndarray:
     return codes
 
 
-def encode_ids(ids: np.ndarray, codes: np.ndarray, lengths: np.ndarray, step: int = STEP) -> tuple[bytes, np.ndarray]:
-    """The codes of ``ids`` one after another, and the bit offset of every ``step``-th."""
+def encode_ids(ids: np.ndarray, codes: np.ndarray, lengths: np.ndarray, step: int = STEP, sizes: np.ndarray | None = None) -> tuple[bytes, np.ndarray]:
+    """The codes of documents of ``sizes`` ids (else of one), each from a full byte on, and the bit offset of every ``step``-th id of each."""
+    sizes = np.array([len(ids)]) if sizes is None else sizes
     size = lengths[ids].astype(np.int64)
     ends = np.cumsum(size)
     starts = ends - size
-    n_words = int(ends[-1] >> 5) + 2 if len(ids) else 0
-    words = np.zeros(n_words, np.uint64)
+    lasts = np.cumsum(sizes)
+    bits = np.diff(np.append(0, ends)[lasts], prepend=0)
+    filled = -bits % 8
+    starts += np.repeat(np.cumsum(filled) - filled, sizes)
+    n_bits = int((bits + filled).sum())
+    words = np.zeros((n_bits >> 5) + 2, np.uint64)
     if len(ids):
         at = starts >> 5  # a code lies in one 32-bit word or two
         shifted = codes[ids] << (64 - size - (starts & 31)).astype(np.uint64)
         first = np.flatnonzero(np.diff(at, prepend=-1))
         words[at[first]] = np.add.reduceat(shifted >> np.uint64(32), first)
         words[at[first] + 1] += np.add.reduceat(shifted & np.uint64(0xFFFFFFFF), first)
-    n_bytes = int(ends[-1] + 7) // 8 if len(ids) else 0
-    return words.astype(">u4").tobytes()[:n_bytes], starts[::step]
+    inside = np.arange(len(ids)) - np.repeat(lasts - sizes, sizes)
+    return words.astype(">u4").tobytes()[: n_bits // 8], starts[inside % step == 0]
 
 
 class Decoder:
@@ -170,49 +174,37 @@ def write_token_files(docs: DataFrame, vocab: str, path: str, end_id: int = 0, i
     spark.createDataFrame([(bytearray(lengths.tobytes()), LONGEST)], "lengths binary, longest int").coalesce(1).write.parquet(f"{path}/codes")
     sent = spark.sparkContext.broadcast(lengths.tobytes())
 
-    coded = T.StructType([T.StructField(id, docs.schema[id].dataType)]).add("n_tokens", T.LongType())
-    coded = coded.add("codes", T.BinaryType()).add("checkpoints", T.BinaryType())
-
-    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lengths = np.frombuffer(sent.value, np.uint8)
-        codes = canonical(lengths)
-        for batch in batches:
-            out = []
-            for width, x in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                x = np.frombuffer(x, f"<u{width}")
-                payload, checkpoints = encode_ids(x, codes, lengths)
-                out.append((len(x), payload, checkpoints.astype("<i8").tobytes()))
-            columns = [batch.column(0)] + [pa.array([r[k] for r in out], t) for k, t in enumerate((pa.int64(), pa.binary(), pa.binary()))]
-            yield pa.RecordBatch.from_arrays(columns, names=coded.names)
+    def to_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _to_blocks(batches, np.frombuffer(sent.value, np.uint8))
 
     kind = "part int, block int, first_token bigint, n_tokens bigint, ids array<bigint>, doc_tokens array<bigint>, checkpoints binary, codes binary"
-    rows = ids.select(col(id), "width", "ids").mapInArrow(code, coded)
-    rows = rows.repartitionByRange(col(id)).sortWithinPartitions(col(id))
-    rows.mapInArrow(_to_blocks, kind).write.parquet(f"{path}/blocks")
+    # ranges of what is written: finding their bounds must not run the coding
+    rows = ids.select(col(id), "width", "ids").repartitionByRange(col(id)).sortWithinPartitions(col(id))
+    rows.mapInArrow(to_blocks, kind).write.parquet(f"{path}/blocks")
     return path
 
 
-def _to_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    part, number, first = TaskContext.get().partitionId(), 0, 0
-    ids, sizes, marks, payloads, n_bytes = [], [], [], [], 0
+def _to_blocks(batches: Iterator[pa.RecordBatch], lengths: np.ndarray) -> Iterator[pa.RecordBatch]:
+    part, number, first, codes = TaskContext.get().partitionId(), 0, 0, canonical(lengths)
+    ids, bodies, held = [], [], 0
 
     def block() -> pa.RecordBatch:
-        nonlocal number, first, ids, sizes, marks, payloads, n_bytes
-        row = [part, number, first, sum(sizes), ids, sizes, np.concatenate(marks).astype("<i8").tobytes(), b"".join(payloads)]
-        number, first = number + 1, first + sum(sizes)
-        ids, sizes, marks, payloads, n_bytes = [], [], [], [], 0
+        nonlocal number, first, ids, bodies, held
+        sizes = np.array([len(x) for x in bodies], np.int64)
+        payload, marks = encode_ids(np.concatenate(bodies), codes, lengths, sizes=sizes)
+        row = [part, number, first, held, ids, sizes, marks.astype("<i8").tobytes(), payload]
+        number, first = number + 1, first + held
+        ids, bodies, held = [], [], 0
         kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.binary()]
         names = "part block first_token n_tokens ids doc_tokens checkpoints codes".split()
         return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, kinds)], names=names)
 
     for batch in batches:
-        for doc, n, payload, checkpoints in zip(*(batch.column(k).to_pylist() for k in range(4))):
+        for doc, width, body in zip(*(batch.column(k).to_pylist() for k in range(3))):
             ids.append(doc)
-            sizes.append(n)
-            marks.append(np.frombuffer(checkpoints, "<i8") + 8 * n_bytes)
-            payloads.append(payload)
-            n_bytes += len(payload)
-            if sum(sizes[-1:]) >= BLOCK_TOKENS or n_bytes >= BLOCK_TOKENS:
+            bodies.append(np.frombuffer(body, f"<u{width}"))
+            held += len(bodies[-1])
+            if held >= BLOCK_TOKENS:
                 yield block()
     if ids:
         yield block()
