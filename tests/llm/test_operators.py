@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -295,6 +296,51 @@ def test_shared_lines_are_a_longest_common_subsequence():
         assert len(found) == best[-1, -1] and all(x in rest for x in found)
 
 
+@pytest.mark.parametrize("few", [0, 16])
+def test_parts_of_lines_that_repeat_are_aligned_as_well(few, monkeypatch):
+    monkeypatch.setattr(html_text, "FEW", few)
+    rng = np.random.default_rng(4)
+    for _ in range(200):
+        a, b = (rng.integers(0, rng.integers(1, 6), rng.integers(0, 25)).astype(str).tolist() for _ in "ab")
+        best = np.zeros((len(a) + 1, len(b) + 1), int)
+        for i in range(len(a)):
+            for j in range(len(b)):
+                best[i + 1, j + 1] = best[i, j] + 1 if a[i] == b[j] else max(best[i, j + 1], best[i + 1, j])
+        found = [a[i] for i in sorted(html_text.shared_lines(a, b))]
+        rest = iter(b)
+        assert len(found) == best[-1, -1] and all(x in rest for x in found)
+
+
+def test_very_long_pages_take_seconds():
+    start = time.process_time()
+    assert len(html_text.shared_lines(["x"] * 100_000, ["x"] * 99_990)) == 99_990
+    assert len(html_text.shared_lines(["a"] + ["x"] * 100_000, ["b"] + ["x"] * 60_000 + ["c"] + ["x"] * 20_000 + ["d"])) == 80_000
+    for page in ("<div>" * 100_000 + "</p>" * 100_000 + "x", "<b>" * 50_000 + "<p></p>" * 50_000 + "x", "<i><div>" + "<b>" * 50_000 + "</i>" * 50_000 + "x"):
+        assert html_text.page_lines(page)[0] == ["x"]
+    assert time.process_time() - start < 60
+
+
+def test_texts_do_not_depend_on_the_ranges(spark):
+    rows = [(i, f"http://{h}/{i % 7}/{i}", f"<div>Site {h}</div><div>Part {h} {i % 7}</div><p>Own {i}</p><div>Imprint {h}</div>") for i, h in enumerate(["a"] * 90 + ["b", "b", "c"] * 20)]
+    rows += [(i, None, "<p>Nowhere</p><p>Own %d</p>" % i) for i in range(200, 210)] + [(1000 + k // 3, "http://z/", f"<p>Z</p><p>Own {k // 3}</p>") for k in range(30)] + [(None, "http://z/", None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
+    order = lambda r: (html_text_host(r[1]), r[1] or "", "" if r[0] is None else str(r[0]))
+    ranked = sorted(rows, key=order)
+    read = [html_text.page_lines(r[2] or "") for r in ranked]
+    want = []
+    for k, r in enumerate(ranked):
+        beside = [read[j][0] for j in (k - 1, k + 1) if 0 <= j < len(rows) and order(ranked[j])[0] == order(r)[0]]
+        want.append((r[0], r[1], html_text.main_text(*read[k], beside)))
+    for ranges in (1, 2, 8, 211):
+        got = [tuple(r)[:3] for r in html_text.main_texts(pages, ranges=ranges).collect()]
+        assert Counter(got) == Counter(want), ranges
+    assert {t for _, u, t in want if u and "/a/" in u} == {f"Own {i}" for i in range(90)}
+
+
+def html_text_host(url):
+    return "" if url is None else url.split("://")[1].split("/")[0]
+
+
 def test_url_rules(spark):
     rules = spark.createDataFrame([*queries.URL_RULES, ("org", "/", "allow"), (None, "/", "block"), ("net", "/x", "block")], "host string, path string, verdict string")
     urls = [None, "", "nohost", "http://A.Example.ORG/es/1?x#y", "https://example.org/en/12", "http://example.org/en/2", "http://org", "http://org/",
