@@ -2,9 +2,9 @@
 
 A byte-level pre-tokenizer starts a new piece at every space that stands before a non-space, so a
 text can be cut there and the stretches encoded alone. Where a space stands between white space, or
-between white space and the end, it is not cut (``_flags``). Stretches are cut further before the library gets
-them (``_parts``), so that it sees each word once, not once with each mark that follows it. A text with a special
-token goes to the library whole, and so do all texts of other kinds of tokenizers.
+between white space and the end, it is not cut (``_INSIDE``). Stretches are cut further before the library gets
+them (``_parts``), so that it sees each word once, not once with each mark that follows it. A text with a special token
+goes to the library whole, and so do all texts of other kinds of tokenizers.
 """
 
 from __future__ import annotations
@@ -15,124 +15,79 @@ import re
 from array import array
 
 import numpy as np
-import pyarrow as pa
-import pyarrow.compute as pc
 
 from .shared import blocks
 
-_BEFORE_WORD = re.compile(r"(?= [^\s᠎])")
-_TAIL = ".,;:!?%*$&#"
-
-
-_EMPTY, _SPACE = pa.scalar("", pa.large_string()), pa.scalar(" ", pa.large_string())
+_INSIDE = re.compile(r"(?<=[\s᠎]) (?:[\s᠎]|\Z)")  # begins with a space, which is searched fast
+_BEFORE_WORD = re.compile(r" (?=[^\s᠎])")
 
 
-def _strings(column: pa.Array) -> list[str]:
-    """As ``to_pylist``, in a tenth of the time."""
-    return column.to_numpy(zero_copy_only=False).tolist()
-
-
-def _white(char: str) -> bool:
-    return char.isspace() or char == "᠎"
+_TAIL = ".,;:!?%*$&#"
 
 
-def _parts(stretch: str) -> list[str]:
-    """A stretch, cut where any byte-level pre-tokenizer cuts too.
+def _parts(before: str, stretch: str) -> tuple[str, ...]:
+    """A stretch and the space before it, cut where any byte-level pre-tokenizer cuts too.
 
     That is around a line feed between two non-spaces, and between a letter or number and the marks at
     the end. Stretches that may hold a special token stay whole.
     """
     if "<" in stretch:
-        return [stretch]
-    lines, held = [], []
+        return (before + stretch,)
+    if "\n" not in stretch:
+        return _marks(before, stretch)
+    out, held = [], []
     for line in stretch.split("\n"):
         if held and line and held[-1] and not _white(held[-1][-1]) and not _white(line[0]):
-            lines += ["\n".join(held), "\n"]
+            out += [*_marks("" if out else before, "\n".join(held)), "\n"]
             held = []
         held.append(line)
-    lines.append("\n".join(held))
-    out = []
-    for line in lines:
-        word = line.rstrip(_TAIL)
-        if len(word) < len(line) and word and word[-1].isascii() and word[-1].isalnum():
-            out += [word, line[len(word) :]]
-        else:
-            out.append(line)
-    return out
-
-
-#: What a stretch, without the space before it, does to its text: it ends, or begins, with white space, or holds a special token.
-_ENDS, _BEGINS, _SPECIAL = 1, 2, 4
-
-
-class _Store:
-    """The ids of stretches in one array. ``at`` has the number of a stretch, ``start`` and ``size`` the place of its ids."""
-
-    def __init__(self, special: list[str]) -> None:
-        self.special = special
-        self.at: dict[str, int] = {}
-        self.chars = self.used = 0
-        self.ids = np.zeros(1 << 16, "<u4")
-        self.start, self.size = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32)
-        self.flags, self.hits = np.zeros(1 << 16, np.uint8), np.zeros(1 << 16, np.int32)
-
-    def keep(self, stretches: list[str], sizes: np.ndarray, ids: np.ndarray) -> None:
-        """Stretches that are not known, with the ids of all of them one after another."""
-        n, m = len(self.at), len(self.at) + len(stretches)
-        for name in ("start", "size", "flags", "hits"):
-            old = getattr(self, name)
-            if m > len(old):
-                setattr(self, name, np.concatenate([old, np.zeros(max(m - len(old), len(old)), old.dtype)]))
-        if self.used + len(ids) > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros(max(len(ids), len(self.ids)), "<u4")])
-        self.ids[self.used : self.used + len(ids)] = ids
-        self.size[n:m] = sizes
-        self.start[n:m] = self.used + np.cumsum(sizes) - sizes
-        self.flags[n:m] = [0 if x.isalnum() else self._flags(x) for x in stretches]
-        self.hits[n:m] = 0
-        self.used += len(ids)
+    return (*out, *_marks("" if out else before, "\n".join(held)))
+
+
+def _white(char: str) -> bool:
+    return char.isspace() or char == "᠎"
+
+
+def _marks(before: str, line: str) -> tuple[str, ...]:
+    word = line.rstrip(_TAIL)
+    if len(word) < len(line) and word and word[-1].isascii() and word[-1].isalnum():
+        return (before + word, line[len(word) :])
+    return (before + line,)
+
+
+class _Store(dict):
+    """The ids of stretches. When full, those seen since the last time are kept as long again, the others go."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.old: dict[str, bytes] = {}
+        self.chars = 0
+
+    def missing(self, wanted: set[str]) -> set[str]:
+        """What of ``wanted`` is not known."""
+        new = wanted.difference(self)
+        if self.old and new:
+            again = [x for x in new if x in self.old]
+            self.keep(again, [self.old[x] for x in again])
+            new.difference_update(again)
+        return new
+
+    def keep(self, stretches: list[str], ids: list[bytes]) -> None:
+        self.update(zip(stretches, ids))
         self.chars += sum(map(len, stretches))
-        self.at.update(zip(stretches, range(n, m)))
-
-    def _flags(self, stretch: str) -> int:
-        inner = stretch[1:] if stretch[:1] == " " else stretch
-        if inner.isalnum():
-            return 0
-        if not inner:
-            return _BEGINS | _ENDS * (stretch == " ")
-        special = "<" in inner and any(s in inner for s in self.special)
-        return _ENDS * _white(inner[-1]) | _BEGINS * _white(inner[0]) | _SPECIAL * special
-
-    def gather(self, numbers: np.ndarray) -> np.ndarray:
-        """The ids of stretches, one after another."""
-        sizes = self.size[numbers].astype(np.int64)
-        ends = np.cumsum(sizes)
-        place = np.repeat(self.start[numbers] - ends + sizes, sizes)
-        place += np.arange(len(place))
-        return self.ids[place]
 
     def age(self, most: int, most_chars: int) -> None:
-        """If full, keep what most blocks asked for since the last time, at most half of what fits."""
-        if len(self.at) <= most and self.chars <= most_chars:
-            return
-        words, hits, least = np.array(list(self.at), object), self.hits[: len(self.at)], 2
-        lengths = np.fromiter(map(len, words), np.int64, len(words))
-        kept = np.flatnonzero(hits >= least)
-        while len(kept) > most // 2 or lengths[kept].sum() > most_chars // 2:
-            least *= 2
-            kept = np.flatnonzero(hits >= least)
-        sizes, ids = self.size[kept], self.gather(kept)
-        self.at, self.chars, self.used = {}, 0, 0
-        self.keep(words[kept].tolist(), sizes, ids)
+        if len(self) > most or self.chars > most_chars:
+            self.old = dict(self)
+            self.clear()
+            self.chars = 0
 
 
 class Encoder:
     """``ids(texts)``: little-endian unsigned 32-bit ids of each text, without added special tokens."""
 
-    #: The stretches kept for later blocks and tasks, and their letters; when there are more, half of them go at least.
-    MOST_STRETCHES, MOST_CHARS = 1_000_000, 16 << 20
-    #: Letters that are cut and looked up at once (a longer text is taken alone).
-    BLOCK_CHARS = 1 << 22
+    #: Stretches kept for later blocks and tasks in each of the two stores, before those not seen again go.
+    MOST_STRETCHES, MOST_CHARS = 500_000, 8 << 20
 
     def __init__(self, data: bytes) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
@@ -153,10 +108,10 @@ class Encoder:
                 for t in spec.get("added_tokens", [])
             )
         )
+        self.special = [t["content"] for t in spec.get("added_tokens", [])]
         feed = self.tokenizer.encode("\n", add_special_tokens=False).ids
         self.feed = feed[0] if len(feed) == 1 else None
-        self.special = [t["content"] for t in spec.get("added_tokens", [])]
-        self.store = _Store(self.special)
+        self.first, self.later = _Store(), _Store()  # by stretch: without a space before it, and after one
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         out = []
@@ -165,93 +120,52 @@ class Encoder:
                 out.append(array("I", e.ids).tobytes())
         return out
 
-    def _encode_lines(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Sizes and ids of words without ``<`` and without white space but a space before: as lines of one text,
-        since a line feed after a non-space and before a word is one token."""
-        sizes, out = [], []
+    def _encode_lines(self, words: list[str], before: str) -> list[bytes]:
+        """The ids of words without white space or ``<``: as lines of one text, since a line feed between such is one token."""
+        out: list[bytes] = []
         for at in range(0, len(words), 5000):
-            text = "\n".join(words[at : at + 5000])
-            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
-            feeds = ids == self.feed
-            sizes.append(np.diff(np.flatnonzero(feeds), prepend=-1, append=len(ids)) - 1)
-            out.append(ids[~feeds])
-        return np.concatenate(sizes), np.concatenate(out)
-
-    def _add(self, new: list[str]) -> None:
-        store, plain, others = self.store, [], []
-        for x in new:
-            lines = self.feed is not None and x.isprintable() and x.rfind(" ") < min(1, len(x) - 1) and "<" not in x
-            (plain if lines else others).append(x)
-        if plain:
-            store.keep(plain, *self._encode_lines(plain))
-        if others:
-            ids = self._encode(others)
-            store.keep(others, np.array([len(x) // 4 for x in ids]), np.frombuffer(b"".join(ids), "<u4"))
-
-    def _numbers(self, stretches: list[str]) -> np.ndarray:
-        """The numbers of stretches in the store, each with the space before it; what is not known is encoded."""
-        store = self.store
-        at = store.at
-        known = list(map(at.get, stretches))
-        if None in known:
-            new = dict.fromkeys(x for x, n in zip(stretches, known) if n is None)
-            whole, cut, parts = [], [], []
-            for x in new:
-                if x.isalpha() or (x[:1] == " " and x[1:].isalnum()):
-                    whole.append(x)
-                    continue
-                p = _parts(x)
-                if len(p) == 1:
-                    whole.append(x)
-                else:
-                    cut.append(x)
-                    parts.append(p)
-            wanted = dict.fromkeys(whole)
-            wanted.update(dict.fromkeys(w for p in parts for w in p if w not in at))
-            self._add(list(wanted))
-            if cut := [(x, p) for x, p in zip(cut, parts) if x not in at]:
-                numbers = np.fromiter((at[w] for _, p in cut for w in p), np.int64)
-                firsts = np.cumsum([0] + [len(p) for _, p in cut[:-1]])
-                store.keep([x for x, _ in cut], np.add.reduceat(store.size[numbers], firsts), store.gather(numbers))
-            known = [at[x] if n is None else n for x, n in zip(stretches, known)]
-        out = np.array(known, np.int64)
-        store.hits[out] += 1
+            part = words[at : at + 5000]
+            ids = np.array(self.tokenizer.encode_batch_fast([before + ("\n" + before).join(part)], add_special_tokens=False)[0].ids, "<u4")
+            ends = 4 * np.flatnonzero(ids == self.feed)
+            body = ids.tobytes()
+            out += [body[a:b] for a, b in zip([0, *(ends + 4).tolist()], [*ends.tolist(), len(body)])]
         return out
 
+    def _add(self, store: _Store, new: set[str], before: str) -> None:
+        plain = [x for x in new if x.isprintable() and " " not in x and "<" not in x and x] if self.feed is not None else []
+        store.keep(plain, self._encode_lines(plain, before))
+        others = list(new.difference(plain))
+        store.keep(others, self._encode([before + x for x in others]))
+
+    def _learn(self, store: _Store, wanted: set[str], before: str) -> None:
+        whole, cut = set(), {}
+        for x in store.missing(wanted):
+            parts = (x,) if x.isalnum() else _parts(before, x)
+            if len(parts) == 1:
+                whole.add(x)
+            else:
+                cut[x] = (parts[0][len(before) :], parts[1:])
+        self._add(store, whole | store.missing({h for h, _ in cut.values()}.difference(whole)), before)
+        self._add(self.first, self.first.missing({p for _, rest in cut.values() for p in rest}), "")
+        known = self.first.__getitem__
+        store.keep(list(cut), [store[h] + b"".join(map(known, rest)) for h, rest in cut.values()])
+
     def _block(self, texts: list[str]) -> list[bytes]:
-        store = self.store
-        store.age(self.MOST_STRETCHES, self.MOST_CHARS)
-        split = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
-        words = split.values.dictionary_encode()
-        codes, heads = words.indices.to_numpy(), split.offsets.to_numpy()[:-1].astype(np.int64)
-        inner = np.ones(len(codes), bool)
-        inner[heads] = False
-        after = np.flatnonzero(np.bincount(codes[inner], minlength=len(words.dictionary)))
-        number = np.zeros(len(words.dictionary), np.int64)
-        number[after] = self._numbers(_strings(pc.binary_join_element_wise(_EMPTY, words.dictionary.take(after), _SPACE)))
-        numbers = number[codes]
-        # a head has no space before it, so it is another stretch than the same word further on
-        numbers[heads] = self._numbers(_strings(words.dictionary.take(codes[heads])))
-        flags = store.flags[numbers]
-        begins = (flags & _BEGINS) > 0
-        begins[heads] = False  # at the head there is no space before it to be kept
-        inside = np.append(False, (flags[:-1] & _ENDS) > 0) & begins
-        odd = np.add.reduceat(inside | ((flags & _SPECIAL) > 0), heads, dtype=np.int64) > 0
-        ends = 4 * np.append(0, np.cumsum(store.size[numbers], dtype=np.int64))[np.append(heads, len(codes))]
-        body = store.gather(numbers).tobytes()
-        out = [body[a:b] for a, b in zip(ends.tolist(), ends[1:].tolist())]
-        for k in np.flatnonzero(odd).tolist():
-            out[k] = self._alone(texts[k])
+        for store in (self.first, self.later):
+            store.age(self.MOST_STRETCHES, self.MOST_CHARS)
+        parts = [_BEFORE_WORD.split(t) if _INSIDE.search(t) else t.split(" ") for t in texts]
+        heads = [p.pop(0) for p in parts]
+        self._learn(self.first, set(heads), "")
+        self._learn(self.later, set().union(*parts), " ")
+        first, later = self.first, self.later.__getitem__
+        out = [first[h] + b"".join(map(later, p)) for h, p in zip(heads, parts)]
+        whole = [k for k, t in enumerate(texts) if "<" in t and any(s in t for s in self.special)]
+        for k, ids in zip(whole, self._encode([texts[k] for k in whole])):
+            out[k] = ids
         return out
 
-    def _alone(self, text: str) -> bytes:
-        """The ids of a text with a special token, or with spaces that belong to the white space around them."""
-        if any(s in text for s in self.special):
-            return self._encode([text])[0]
-        return self.store.gather(self._numbers(_BEFORE_WORD.split(text))).tobytes()
-
     def ids(self, texts: list[str]) -> list[bytes]:
         out: list[bytes] = []
-        for _, block in blocks(texts, self.BLOCK_CHARS):
+        for _, block in blocks(texts):
             out += self._block(block) if self.cut else self._encode(block)
         return out
