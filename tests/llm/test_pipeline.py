@@ -30,3 +30,22 @@ def test_stages(spark):
     assert all(b <= a for a, b in seen.values())
     got = corpus_pipeline.run(spark, SF)
     assert sorted(map(tuple, got.select("doc_id", "piece", "ids_crc32").collect())) == sorted(map(tuple, docs.select("doc_id", "piece", "ids_crc32").collect()))
+
+
+def test_stages_on_odd_rows(spark):
+    """Null ids and texts, empty and long texts, rows that repeat, clashing columns; then no row at all."""
+    plain = " ".join(f"word{i}" for i in range(80))
+    rows = [(1, plain), (1, plain), (2, plain + " "), (3, None), (4, ""), (None, plain + " end"), (5, " \n"), (6, "one " * 200_000), (7, "a\n" * 3000)]
+    kind = "doc_id bigint, text string, lang string, source string, n_chars bigint, `len` string, digest string, tag string"
+    odd = spark.createDataFrame([(i, t, None, "web", None, "x", None, "y") for i, t in rows], kind)
+    left = {"quality rules": None, "toxicity": None, "exact dedup": 7, "simhash near-dedup": None}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, odd, SF)
+        assert got.columns == odd.columns
+        kept = got.collect()
+        assert {tuple(r) for r in kept} <= {tuple(r) for r in odd.collect()}
+        assert left[name] is None or len(kept) == left[name]
+        assert stage(spark, odd.limit(0), SF).collect() == []
+    pack = corpus_pipeline.STAGES[-1][1]
+    assert {r["doc_id"] for r in pack(spark, odd, SF).select("doc_id").distinct().collect()} == {1, 2, 3, 4, None, 5, 6, 7}
+    assert pack(spark, odd.limit(0), SF).collect() == []
