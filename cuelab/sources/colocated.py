@@ -16,10 +16,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cuelab.operators.skew import MOST_SALTS, ROWS_PER_TASK, heavy_keys, key_digest
+from cuelab.operators.skew import MOST_SALTS, ROWS_PER_TASK, key_digest, rows_and_heavy_keys
 from cuelab.sources import places
 
 KEY, SALT = "bucket_key", "bucket_salt"
+#: Rows of a bucket, about: a task sorts them in memory.
+ROWS_PER_BUCKET = 2_000_000
 #: Files that start like this are not read as rows.
 _ABOUT = "_buckets.json"
 
@@ -49,11 +51,13 @@ def _write(df: DataFrame, path: str, by: Sequence[str], buckets: int, heavy: lis
 
 
 def write_examples(df: DataFrame, path: str, by: Sequence[str], row_id: str, buckets: int, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
-    """Write rows in buckets of the columns ``by``. Missing cells are values. Keys with more than ``rows_per_task``
+    """Write rows in buckets of the columns ``by``, in ``buckets`` of them or as many as ``ROWS_PER_BUCKET`` asks for. Missing
+    cells are values. Keys with more than ``rows_per_task``
     rows are spread by ``row_id``; ``df`` is read once to find them and once to write it, so it should come from files."""
     spark = df.sparkSession
     keyed = df.withColumns({KEY: key_digest(by), "__h": F.xxhash64(*by)})
-    found = heavy_keys(keyed.select("__h"), "__h", rows_per_task)
+    rows, found = rows_and_heavy_keys(keyed.select("__h"), "__h", rows_per_task)
+    buckets = max(buckets, -(-rows // ROWS_PER_BUCKET))
     heavy = [[h, min(-(-n // rows_per_task), MOST_SALTS)] for h, n in found]
     if heavy:
         spread = F.pmod(F.xxhash64(row_id), F.col("__salts")).cast("int")
