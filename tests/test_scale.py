@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from cuelab.operators import dataset as D
 from cuelab.operators import joins as N
+from cuelab.operators.generate import SLICE_BYTES, Call, Params, _arrow_caller, _slices
 from cuelab.operators.skew import key_digest
 from cuelab.sources import colocated as B
 from cuelab.sources import files, places
+from cuelab.sources.batches import BatchTable
 from tests.conftest import plan_of, values
 
 
@@ -72,3 +75,35 @@ def test_compressed_csv_comes_back(spark, tmp_path):
         assert values(back, "id", "text") == values(df, "id", "text")
         sizes[how] = sum((tmp_path / how / f).stat().st_size for f in places.files_below(spark, path) if f.startswith("part"))
     assert sizes["gzip"] * 10 < sizes["none"]
+
+
+def test_long_arrow_batches_are_gone_through_in_slices():
+    prompts = [f"{i} " + "x" * 3000 for i in range(5000)] + [None] * 7
+    batch = pa.RecordBatch.from_arrays([pa.array(range(5007)), pa.array(prompts)], names=["id", "prompt"])
+    sent = []
+
+    def factory(params):
+        return lambda requests: sent.append(len(requests)) or [r.user.split()[0] for r in requests]
+
+    run = _arrow_caller(factory, [Call("response")], Params(batch_size=32), ["id"], "error")
+    out = list(run(iter([batch, batch.slice(0, 0), batch.slice(5000)])))
+    assert max(b.nbytes for b in _slices(batch, 32)) < 2 * SLICE_BYTES and len(out) > 3
+    got = pa.Table.from_batches(out).to_pydict()
+    assert got["id"] == [*range(5007), *range(5000, 5007)]
+    assert got["response"] == [*map(str, range(5000)), *[None] * 14] and set(got["error"]) == {None}
+    assert sent == [32] * (5000 // 32) + [5000 % 32]  # as without slices
+
+
+def test_batches_of_odd_names_find_their_places(spark, tmp_path):
+    names = ["a b", "x:y", "ü%20", "1/2", None]
+    df = spark.createDataFrame([(n, i) for n in names for i in range(3)], "model string, i int").repartition(2)
+    table = BatchTable(spark, str(tmp_path / "t u" / "v%20w"), ["model"])
+    assert table.commit(df, "nightly-all~1-00000001")
+    assert values(spark.read.schema(df.schema).parquet(table.path), "i", "model") == values(df, "i", "model")
+    assert table.commit(df.limit(0), "none")  # a batch without a row
+
+
+def test_settings_of_file_systems_are_made_once(spark, tmp_path):
+    places.exists(spark, str(tmp_path))
+    first = places._SETTINGS[spark]
+    assert places.exists(spark, str(tmp_path)) and places._SETTINGS[spark] is first
