@@ -83,6 +83,15 @@ class Call:
 
 #: Rows of a task that wait for another attempt; beyond that the task waits with them.
 MOST_WAITING = 10_000
+#: An Arrow batch is gone through in slices of about so many bytes, so that its texts are not all Python texts at once.
+SLICE_BYTES = 4 << 20
+
+
+def _slices(batch, size: int) -> Iterator:
+    """A batch in parts of ``SLICE_BYTES`` on average, each of whole batches of ``size`` requests."""
+    rows = batch.num_rows * SLICE_BYTES // max(batch.nbytes, 1) // size * size or size
+    for at in range(0, batch.num_rows, rows):
+        yield batch.slice(at, rows)
 
 
 def _sent(backend: Backend, requests: list[Request]) -> list[str | None]:
@@ -107,6 +116,8 @@ def _sent_or_raised(backend: Backend, requests: list[Request], params: Params) -
 class _Row:
     """A row on its way: its requests by call, and what came back."""
 
+    __slots__ = ("batch", "at", "requests", "answers", "problems", "attempts")
+
     def __init__(self, batch, at: int, calls: int):
         self.batch, self.at = batch, at
         self.requests: dict[int, Request] = {}
@@ -164,7 +175,8 @@ class _Caller:
             return
         for row, answer in zip(rows, answers):
             row.answers[c] = answer
-            row.problems.pop(c, None)
+            if row.problems:
+                row.problems.pop(c, None)
 
     def _send_alone(self, row: _Row, c: int) -> None:
         for _ in range(1 if self.params.backoff_s else self.params.attempts):
@@ -214,7 +226,7 @@ def _arrow_caller(factory: BackendFactory, calls: Sequence[Call], params: Params
             answers = [pa.array([r.answers[c] for r in rows], pa.string()) for c in range(len(calls))]
             errors = []
             for r in rows:
-                last = max(r.problems, default=None)
+                last = max(r.problems) if r.problems else None
                 problem = r.problems.get(last)
                 errors.append(f"{calls[last].out_col}: {type(problem).__name__}: {problem}" if problem is not None else None)
             names = kept + [c.out_col for c in calls] + [error_col]
@@ -226,12 +238,13 @@ def _arrow_caller(factory: BackendFactory, calls: Sequence[Call], params: Params
                     columns = [pa.concat_arrays([r.batch.column(n) for r in rows]) for n in kept]
                     yield out(rows, columns)
 
-        for batch in batches:
-            rows = caller.first_attempt(caller.rows(batch))
-            if len(rows) < batch.num_rows:
-                batch = batch.take(pa.array([r.at for r in rows], pa.int64()))
-            yield out(rows, [batch.column(n) for n in kept])
-            yield from late(finish=False)
+        for whole in batches:
+            for batch in _slices(whole, params.batch_size):
+                rows = caller.first_attempt(caller.rows(batch))
+                if len(rows) < batch.num_rows:
+                    batch = batch.take(pa.array([r.at for r in rows], pa.int64()))
+                yield out(rows, [batch.column(n) for n in kept])
+                yield from late(finish=False)
         yield from late(finish=True)
 
     return run
