@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cuelab.fixed_values import ALL_CONDITIONS, BIASED_CONDITIONS, CLEAN_CONDITIONS
-from cuelab.operators import jobs
+from cuelab.operators import generate, jobs
 from cuelab.plans.conditions import expand_conditions, sentiment_conditions, split_biased_clean
 from cuelab.plans.injection import bias_plan, expand_first_calls, expand_models, expand_plan
 from cuelab.plans.prompts import render
@@ -107,3 +107,40 @@ def test_some_conditions(spark):
 def test_missing_cell_is_not_clean(spark):
     biased, clean = split_biased_clean(examples(spark))
     assert values(biased, "example_id") == [("2",), ("3",)] and values(clean, "example_id") == [("1",)]
+
+
+def test_prompts_filled_in_by_the_worker_are_those_of_the_plan(spark):
+    import json
+
+    def echo(params):
+        return lambda requests: [json.dumps([r.system, r.user]) for r in requests]
+
+    texts = [("a 100 % {sentence} %s", "none", "herding"), ("b", "herding", None), (None, "anchoring", "none"), ("d", None, "x"), (None, "none", None)]
+    rows = spark.createDataFrame(
+        [(m, str(i % 4), t, t and t + "!", b, p, t and t + " gold", None if i == 1 else f"{m}{i}") for m in "xy" for i, (t, b, p) in enumerate(texts)],
+        "model string, example_id string, original_sentence string, biased_sentence string, biases string, predicted_biases string, "
+        "true_bias_rewrite string, detected_bias_rewrite string",
+    )
+    done = spark.createDataFrame([("x", "1", "2_no_defense"), ("x", "1", "2_no_defense"), ("y", "0", "1_clean_baseline"), ("z", "1", "4_cot"), ("x", None, "4_cot"), ("x", "3", None)], "model string, example_id string, condition string")
+    once = generate.Params(attempts=1, backoff_s=0.0, batch_size=3)
+    for missing in (None, "nan"):
+        for finished in (None, done, done.limit(0)):
+            for keep in (None, ["example_id"], ["model", "condition_ord", "example_id", "biased_sentence"]):
+                prompts = jobs.condition_prompts(rows, missing=missing, done=finished, keep=keep)
+                expected = jobs.condition_answers(prompts, echo, params=once)
+                got = jobs.classify_under_conditions(rows, echo, params=once, missing=missing, done=finished, keep=keep)
+                assert got.columns == expected.columns and got.dtypes == expected.dtypes
+                assert values(got) == values(expected)
+    marked = jobs.with_finished(rows, done)
+    assert values(jobs.classify_under_conditions(marked, echo, params=once)) == values(jobs.classify_under_conditions(rows, echo, params=once, done=done))
+
+
+def test_texts_go_to_python_once_for_all_conditions(spark):
+    rows = examples(spark)
+    out = jobs.classify_under_conditions(rows, lambda p: lambda rs: ["positive"] * len(rs), keep=["example_id"])
+    plan = plan_of(out)
+    assert "Generate" not in plan.split("MapInArrow", 1)[1] and "Sentence:" not in plan  # neither exploded nor rendered before Python
+    done = rows.selectExpr("'m' as model", "example_id", "'4_cot' as condition")
+    joined = plan_of(jobs.with_finished(rows.withColumn("model", F.lit("m")), done))
+    dealt = [line for line in joined.split("\n") if "Exchange hashpartitioning" in line]
+    assert dealt and all("model" not in line for line in dealt)
