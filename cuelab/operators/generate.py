@@ -434,10 +434,11 @@ def generate_distinct(
         system = F.col(call.system_col) if call.system_col else F.lit(call.system)
     marked = F.coalesce(F.concat(F.lit("+"), system), F.lit("-"))  # none is not the same as an empty one
     keyed = df.withColumn("__prompt_key", text_key(F.concat(marked, F.lit("\x00"), F.col(call.prompt_col))))
+    # Whole rows as keys of the grouping: a hash table drops equal ones, and prompts are not sorted to find the first of each key.
     once = (
         keyed.filter(F.col("__prompt_key").isNotNull())
-        .select("__prompt_key", system.cast("string").alias("__system"), call.prompt_col)
-        .dropDuplicates(["__prompt_key"])
+        .select("__prompt_key", system.cast("string").alias("__system"), F.col(call.prompt_col))
+        .distinct()
     )
     answered = generate(
         once,

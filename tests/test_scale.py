@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from cuelab.operators import dataset as D
 from cuelab.operators import joins as N
-from cuelab.operators.generate import SLICE_BYTES, Call, Params, _arrow_caller, _slices
+from cuelab.operators.joins import remaining
+from cuelab.operators.generate import SLICE_BYTES, Call, Params, _arrow_caller, _slices, generate_distinct
 from cuelab.operators.skew import key_digest
 from cuelab.sources import colocated as B
 from cuelab.sources import files, places
@@ -107,3 +108,19 @@ def test_settings_of_file_systems_are_made_once(spark, tmp_path):
     places.exists(spark, str(tmp_path))
     first = places._SETTINGS[spark]
     assert places.exists(spark, str(tmp_path)) and places._SETTINGS[spark] is first
+
+
+def test_equal_prompts_are_dropped_without_sorting_them(spark):
+    df = spark.createDataFrame([(i, f"p{i % 3}") for i in range(9)] + [(9, None)], "id long, prompt string")
+    out = generate_distinct(df, lambda p: lambda rs: [r.user + "!" for r in rs], Call("r"), Params(attempts=1), row_id="id")
+    assert values(out, "id", "r") == sorted([(i, f"p{i % 3}!") for i in range(9)] + [(9, None)], key=repr)
+    assert "SortAggregate" not in plan_of(out)
+
+
+def test_keys_are_sorted_by_the_id_first(spark):
+    rows = spark.createDataFrame([("m", c, str(i)) for c in "ab" for i in range(5)] + [(None, "a", None)], "model string, condition string, example_id string")
+    done = rows.filter("condition = 'a' and (example_id is null or example_id < '3')")
+    left = remaining(rows, done)
+    assert values(left) == sorted(r for r in values(rows) if r[1] == "b" or r[2] in ("3", "4"))
+    sorts = [line for line in plan_of(left).split("\n") if "Sort [" in line]
+    assert sorts and all(line.split("Sort [", 1)[1].startswith("coalesce(example_id") for line in sorts)
