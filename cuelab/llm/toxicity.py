@@ -8,35 +8,40 @@ toxicity. A text is compared as a whole and in its one and two most toxic words
 it), all normalised by length, since a few expressions make a long text toxic. A logistic curve fitted on
 training rows, each scored by a model without its half, makes it 0 to 1.
 
-Words and pairs are counted over all labelled training rows; only the logistic curve's three weights are fitted on
-a bounded sample: about ``MOST_TOXIC`` and ``MOST_ORDINARY`` rows. What a word says is drawn to nothing, and what a
-pair says to what its second word says, the more the less the texts that have it differ from chance: by the share that
-``EVIDENCE`` has in their G squared, so two texts can be enough and hundreds count almost whole. What workers hold is bounded by ``MOST_WORDS`` and ``MOST_PAIRS``: those in most texts and those with most evidence. Pairs
-are counted between words of that vocabulary; a word of a single text is not in it, as its pairs would say no more.
-Every text is scored.
+Words and pairs are counted, and the logistic curve is fitted, over all labelled training rows. What a word says is drawn
+to nothing, and what a pair says to what its second word says, the more the less the texts that have it differ from chance:
+by the share that ``EVIDENCE`` has in their G squared, so two texts can be enough and hundreds count almost whole, and a pair
+with no more than ``EVIDENCE`` says what its second word says. Pairs are counted between words of two texts or more; a word of
+a single text is not in the vocabulary, as its pairs would say no more.
+
+Words and pairs without that evidence weigh exactly nothing, so workers that score hold only the others. What workers and the
+driver hold is bounded by ``MOST_WORDS``, ``MOST_TOLD`` and ``MOST_PAIRS``. A model beyond one of them is not cut: all of it stays in
+tables (``Tables``), and texts meet it word by word in joins, with the same scores. Every text is scored.
 """
 
 from __future__ import annotations
 
 import pickle
 import re
+from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cuelab.workspace import materialise
 
-from .shared import blocks, col, per_worker, side, text_of
+from .shared import blocks, col, free_name, per_worker, side, text_of, with_row_tag
 
-#: Bounds of the sample that the logistic curve is fitted on.
+#: Training rows up to which the driver fits the logistic curve itself; of more the steps are summed up by Spark.
 MOST_TOXIC, MOST_ORDINARY = 8_000, 16_000
-#: Bounds of the model: words in most texts and as many with most evidence; pairs with most evidence.
-MOST_WORDS, MOST_PAIRS = 1 << 17, 1 << 20
+#: Words whose pairs are counted by number, words and pairs that workers score by; a larger model stays in tables.
+MOST_WORDS, MOST_TOLD, MOST_PAIRS = 1 << 20, 1 << 18, 1 << 20
 #: G squared of the texts of each class that have an expression, against the share of the classes, that chance can have.
 EVIDENCE, DISCOUNT = 6.0, 0.75
 THRESHOLD = 0.3
@@ -88,6 +93,22 @@ def evidence(docs: np.ndarray, texts: np.ndarray) -> np.ndarray:
         return 2 * np.where(docs > 0, docs * np.log(docs / expected), 0.0).sum(1)
 
 
+def _of_words(words: np.ndarray, continued: np.ndarray, total: np.ndarray, seen: int, places: float) -> np.ndarray:
+    """P(w) of each class; ``total``: all counts of each class, ``seen``: the words that have any, ``places``: all of ``continued`` + 1."""
+    shared = (continued + 1.0) / places
+    return (words - DISCOUNT).clip(0) / total.clip(1) + (DISCOUNT * seen / total.clip(1).sum()) * shared[:, None]
+
+
+def _of_pairs(pair_counts: np.ndarray, first: np.ndarray, followers: np.ndarray, of_second: np.ndarray) -> np.ndarray:
+    """P(w | v) of each class, from the counts of each pair and of its first word, the followers of that, and P(w) of the second."""
+    weight = DISCOUNT * followers.clip(1) / first.sum(1).clip(1)
+    return (pair_counts - DISCOUNT).clip(0) / first.clip(1) + weight[:, None] * of_second
+
+
+def _ratio(p: np.ndarray) -> np.ndarray:
+    return np.log(p[:, 1]) - np.log(p[:, 0])
+
+
 def kneser_ney(words: np.ndarray, continued: np.ndarray, followers: np.ndarray, pairs: np.ndarray, pair_counts: np.ndarray) -> Ratios:
     """``words``: counts (ordinary, toxic) of each word; ``pairs``: keys, ascending, ``pair_counts`` likewise;
     ``continued``, ``followers``: the numbers of different words before and after each word, of all pairs.
@@ -97,25 +118,46 @@ def kneser_ney(words: np.ndarray, continued: np.ndarray, followers: np.ndarray,
     """
     size = len(words)
     first, second = pairs // max(size, 1), pairs % max(size, 1)
-    total = words.sum(0).clip(1)
-    shared = (continued + 1.0) / (continued + 1.0).sum()
-    backoff = DISCOUNT * np.count_nonzero(words.sum(1)) / total.sum()
-    of_word = (words - DISCOUNT).clip(0) / total + backoff * shared[:, None]
-    weight = DISCOUNT * followers.clip(1) / words.sum(1).clip(1)
-    of_pair = (pair_counts - DISCOUNT).clip(0) / words[first].clip(1) + weight[first, None] * of_word[second]
-    ratio = lambda p: np.log(p[:, 1]) - np.log(p[:, 0])
-    return Ratios(ratio(of_word), pairs, ratio(of_pair))
+    of_word = _of_words(words, continued, words.sum(0), np.count_nonzero(words.sum(1)), (continued + 1.0).sum())
+    of_pair = _of_pairs(pair_counts, words[first], followers[first], of_word[second])
+    return Ratios(_ratio(of_word), pairs, _ratio(of_pair))
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
+def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Weights of a logistic curve (the last is the constant), slightly drawn to zero; Newton steps."""
     x = np.concatenate([x, np.ones((len(x), 1))], 1)
     w = np.zeros(x.shape[1])
     pull = np.array([1e-2] * (x.shape[1] - 1) + [1e-4])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        grad = x.T @ (weight * (p - y)) + pull * w
-        step = np.linalg.solve((x * (weight * p * (1 - p))[:, None]).T @ x + np.diag(pull), grad)
+        grad = x.T @ (p - y) + pull * w
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(pull), grad)
+        w -= np.clip(step, -5, 5)
+        if np.abs(step).max() < 1e-8:
+            break
+    return w
+
+
+def _logistic_over(rows: DataFrame, x: list[str], y: str) -> np.ndarray:
+    """``_logistic`` of a written table: each step's sums are made by Spark, so that the rows stay where they are."""
+    names = [*x, None]
+    value = [F.col(c) if c else F.lit(1.0) for c in names]
+    at = [(i, j) for i in range(len(names)) for j in range(i + 1)]
+    w = np.zeros(len(names))
+    pull = np.array([1e-2] * len(x) + [1e-4])
+    for _ in range(50):
+        z = sum((v * float(k) for v, k in zip(value, w)), F.lit(0.0))
+        p = F.lit(1.0) / (F.lit(1.0) + F.exp(-F.greatest(F.least(z, F.lit(30.0)), F.lit(-30.0))))
+        told = rows.select(*x, y, p.alias("p"))
+        first = [F.sum(v * (F.col("p") - F.col(y))) for v in value]
+        second = [F.sum(value[i] * value[j] * F.col("p") * (1 - F.col("p"))) for i, j in at]
+        sums = told.agg(*[s.alias(f"s{i}") for i, s in enumerate(first + second)]).first()
+        grad, curve = np.array(sums[: len(names)]) + pull * w, np.diag(pull)
+        for (i, j), v in zip(at, sums[len(names) :]):
+            curve[i, j] += v
+            if i != j:
+                curve[j, i] += v
+        step = np.linalg.solve(curve, grad)
         w -= np.clip(step, -5, 5)
         if np.abs(step).max() < 1e-8:
             break
@@ -166,7 +208,7 @@ def _table(name: str, keys: pa.Array, places: np.ndarray, owners: np.ndarray, ce
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, list[str]]]:
     for batch in batches:
         cells = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-        for at, block in blocks(batch.column(1).to_pylist(), 1 << 24):
+        for at, block in blocks(batch.column(1).to_pylist(), 3 << 22):
             yield cells[at : at + len(block)], block
 
 
@@ -192,19 +234,149 @@ def _strength(texts: np.ndarray) -> Column:
     return F.greatest(of((0, 1)), of((0,)), of((1,)))
 
 
-def _bound(rows: DataFrame, value: Column, least: float, most: int) -> float:
-    """From which ``value`` on at most about ``most`` rows are left, not under ``least``; from a histogram of 64 bins a doubling."""
-    bins = rows.where(value >= least).groupBy(F.floor(64 * F.log2(1 + value)).alias("at")).count().collect()
-    cut, n = float("inf"), 0
-    for at, count in sorted(bins, reverse=True):
-        n += count
-        if n > most and cut < float("inf"):
-            return cut
-        cut = 2 ** (at / 64) - 1 - 1e-9
-    return least
+#: The halves that a model is made of: both, and each alone to score the rows of the other.
+SETS = ((0, 1), (0,), (1,))
+
+
+def _classes(cells: np.ndarray, halves: tuple[int, ...]) -> np.ndarray:
+    """Ordinary and toxic of these halves, from the four cells in the last dimension."""
+    return np.stack([cells[..., list(halves)].sum(-1), cells[..., [2 + h for h in halves]].sum(-1)], -1)
+
 
+def _told(docs: np.ndarray, numbers: np.ndarray, halves: tuple[int, ...]) -> np.ndarray:
+    """The share of a ratio that its evidence leaves."""
+    return 1 - EVIDENCE / np.maximum(evidence(_classes(docs, halves), _classes(numbers, halves)), EVIDENCE)
+
+
+def _word_pair_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row with ``CELLS`` for each pair of neighbours, as two words."""
+    for cells, block in _texts(batches):
+        number: dict[str, int] = {}
+        ids = [np.fromiter((number.setdefault(w, len(number)) for w in words_of(t)), np.int64) for t in block]
+        size = max(len(number), 1)
+        keys, places = np.unique(np.concatenate([x[:-1] * size + x[1:] for x in ids]), return_inverse=True)
+        owners = np.repeat(np.arange(len(ids)), [max(len(x) - 1, 0) for x in ids])
+        table, names = _table("pair", pa.array(keys), places, owners, cells), pa.array(list(number), pa.string())
+        sides = [names.take(pa.array(keys // size)), names.take(pa.array(keys % size))]
+        yield pa.RecordBatch.from_arrays([*sides, *table.columns[1:]], names=["first", "second", *CELLS])
 
-def fit(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
+
+def _neighbours(pairs: DataFrame, by: str, name: str) -> DataFrame:
+    """In how many different pairs each word is; of all, of half 0, of half 1."""
+    seen = [F.count("*"), *(F.count_if(F.col(f"d{h}") + F.col(f"d{h + 2}") > 0) for h in (0, 1))]
+    return pairs.groupBy(F.col(by).alias("word")).agg(*[c.alias(f"{name}{i}") for i, c in enumerate(seen)])
+
+
+def _matrix(batch: pa.RecordBatch, names: list[str]) -> np.ndarray:
+    return np.stack([batch.column(n).to_numpy(zero_copy_only=False).astype(np.float64) for n in names], -1)
+
+
+def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How often each text has each word after each other; a row without a word for a text that has none."""
+    for batch in batches:
+        tags, parts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+        for at, block in blocks(batch.column(2).to_pylist(), 1 << 20):
+            tag, part, first, second, n = [], [], [], [], []
+            for i, text in enumerate(block, at):
+                words = words_of(text)
+                found = Counter(zip([None, *words], words)) or {(None, None): 0}
+                tag += [tags[i]] * len(found)
+                part += [parts[i]] * len(found)
+                first += [k[0] for k in found]
+                second += [k[1] for k in found]
+                n += found.values()
+            columns = [pa.array(tag, pa.int64()), pa.array(part, pa.int32()), pa.array(first, pa.string()), pa.array(second, pa.string())]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(n, pa.int64())], names=["tag", "part", "first", "second", "n"])
+
+
+@dataclass
+class Tables:
+    """A model that no worker holds: ``words`` (``word``) and ``pairs`` (``first``, ``second``) with their ratios ``r0`` to ``r2``
+    by ``SETS``, and the weights of the features and the constant."""
+
+    words: DataFrame
+    pairs: DataFrame
+    weights: tuple[float, ...] = ()
+
+    @staticmethod
+    def of(every: DataFrame, words: DataFrame, numbers: np.ndarray) -> Tables:
+        """From the rows to learn from (``cell``, ``body``), the vocabulary with its ``CELLS`` and the numbers of texts."""
+        longs = ", ".join(f"{c} bigint" for c in CELLS)
+        counted = every.mapInArrow(_word_pair_counts, f"first string, second string, {longs}")
+        pairs = counted.groupBy("first", "second").agg(*[F.sum(c).alias(c) for c in CELLS])
+        for at in ("first", "second"):
+            pairs = pairs.join(words.select(F.col("word").alias(at)).hint("merge"), at, "left_semi")
+        pairs = materialise(pairs, "pairs")
+        full = words
+        for by, name in (("second", "b"), ("first", "a")):  # how many words come before and after
+            full = full.join(_neighbours(pairs, by, name).hint("merge"), "word", "left")
+        full = materialise(full.na.fill(0), "words")
+
+        cells = [F.col(f"c{k}") for k in range(4)]
+        of_set = [(sum((cells[h] for h in s[1:]), cells[s[0]]), sum((cells[2 + h] for h in s[1:]), cells[2 + s[0]])) for s in SETS]
+        sums = full.agg(*[c.alias(f"{i}{k}") for i, (o, t) in enumerate(of_set) for k, c in enumerate(
+            (F.sum(o), F.sum(t), F.count_if(o + t > 0), F.sum(F.col(f"b{i}") + 1)))]).first()
+        sums = np.array([float(v or 0) for v in sums]).reshape(len(SETS), 4)
+        known = [f"{k}{i}" for k in "wp" for i in range(2 * len(SETS))] + [f"r{i}" for i in range(len(SETS))]
+
+        def word_ratios(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                t, before = _matrix(batch, CELLS), _matrix(batch, ["b0", "b1", "b2"])
+                counts = [_classes(t[:, 4:], s) for s in SETS]
+                of = [_of_words(c, before[:, i], sums[i, :2], sums[i, 2], sums[i, 3]) for i, c in enumerate(counts)]
+                ratios = [_ratio(p) * _told(t[:, :4], numbers, s) for p, s in zip(of, SETS)]
+                values = [*np.concatenate([*counts, *of], 1).T, *ratios]
+                columns = [batch.column("word"), *(batch.column(f"a{i}") for i in range(len(SETS))), *map(pa.array, values)]
+                yield pa.RecordBatch.from_arrays(columns, names=["word", "a0", "a1", "a2", *known])
+
+        doubles = ", ".join(f"{n} double" for n in known)
+        rated = materialise(full.mapInArrow(word_ratios, f"word string, a0 bigint, a1 bigint, a2 bigint, {doubles}"), "words")
+
+        def pair_ratios(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                t, first, of = (_matrix(batch, n) for n in (CELLS, known[:6], known[6:12]))
+                after, second = _matrix(batch, ["a0", "a1", "a2"]), _matrix(batch, known[12:])
+                out = []
+                for i, s in enumerate(SETS):
+                    two = slice(2 * i, 2 * i + 2)
+                    own = _ratio(_of_pairs(_classes(t[:, 4:], s), first[:, two], after[:, i], of[:, two]))
+                    out.append(pa.array(second[:, i] + (own - second[:, i]) * _told(t[:, :4], numbers, s)))
+                yield pa.RecordBatch.from_arrays([batch.column("first"), batch.column("second"), *out], names=["first", "second", *known[12:]])
+
+        firsts = rated.select(F.col("word").alias("first"), "a0", "a1", "a2", *known[:6]).hint("merge")
+        seconds = rated.select(F.col("word").alias("second"), *known[6:]).hint("merge")
+        strong = pairs.where(_strength(numbers) >= EVIDENCE).join(firsts, "first").join(seconds, "second")
+        strong = strong.mapInArrow(pair_ratios, "first string, second string, r0 double, r1 double, r2 double")
+        return Tables(rated.select("word", "r0", "r1", "r2"), materialise(strong, "pairs"))
+
+    def features(self, texts: DataFrame) -> DataFrame:
+        """``tag``, ``whole``, ``one``, ``two`` of each ``body``, by the set ``part``; ``tag`` tells the texts apart."""
+        tokens = texts.select("tag", "part", "body").mapInArrow(_tokens, "tag bigint, part int, first string, second string, n bigint")
+
+        def ratio(side: str) -> Column:
+            return F.element_at(F.array(*[F.col(f"{side}.r{i}") for i in range(len(SETS))]), F.col("part") + 1)
+
+        p, w = self.pairs.hint("merge").alias("p"), self.words.hint("merge").alias("w")
+        same = (F.col("t.first") == F.col("p.first")) & (F.col("t.second") == F.col("p.second"))
+        found = tokens.alias("t").join(p, same, "left").select("t.*", ratio("p").alias("of_pair")).alias("t")
+        found = found.join(w, F.col("t.second") == F.col("w.word"), "left")
+        found = found.select("tag", "n", F.coalesce("of_pair", ratio("w"), F.lit(0.0)).alias("r"))
+        most = F.flatten(F.collect_list(F.array_repeat("r", F.least("n", F.lit(2)).cast("int"))))  # no more than the text's words
+        per = found.groupBy("tag").agg(F.sum(F.col("n") * F.col("r")).alias("sum"), F.sum("n").alias("n"), F.slice(F.sort_array(most, False), 1, 2).alias("best"))
+        one, two = F.get("best", F.lit(0)), F.get("best", F.lit(1))
+        named = {"whole": F.col("sum") / F.nullif(F.col("n"), F.lit(0)), "one": one, "two": (one + F.coalesce(two, one)) / 2}
+        return per.select("tag", *[F.coalesce(c, F.lit(0.0)).alias(k) for k, c in named.items()])
+
+    def scored(self, docs: DataFrame, text: str, name: str) -> DataFrame:
+        """``docs`` with the score of each row as ``name``."""
+        tagged, tag = with_row_tag(docs, "toxic-rows")
+        x = self.features(tagged.select(col(tag).alias("tag"), F.lit(0).alias("part"), text_of(text).alias("body")))
+        z = sum((F.col(c) * w for c, w in zip(("whole", "one", "two"), self.weights)), F.lit(self.weights[-1]))
+        p = F.lit(1.0) / (F.lit(1.0) + F.exp(-F.greatest(F.least(z, F.lit(30.0)), F.lit(-30.0))))
+        return tagged.join(x.select(F.col("tag").alias(tag), p.alias(name)), tag).drop(tag)
+
+
+def fit(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", label: str = "toxic") -> Model | Tables:
     """The model from labelled rows that are not held out. Rows without a label or an id are left out; of repeated
     labels the highest holds. With labels of one kind only (or none), every score is that label (or 0)."""
     spark = docs.sparkSession
@@ -224,21 +396,23 @@ def fit(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "tex
     longs = ", ".join(f"{c} bigint" for c in CELLS)
     words = materialise(every.mapInArrow(_word_counts, f"word string, {longs}").groupBy("word").agg(*sums), "words")
     strength, in_texts = _strength(numbers), sum((F.col(f"d{k}") for k in (1, 2, 3)), F.col("d0"))
-    often = _bound(words, in_texts.cast("double"), 2, MOST_WORDS)
-    strong = _bound(words.where(in_texts > 1), strength, EVIDENCE, MOST_WORDS)
-    words = words.where((in_texts >= often) | (in_texts > 1) & (strength >= strong)).toPandas()  # bounded: twice MOST_WORDS
-    words = words.sort_values("word", ignore_index=True)
-    vocabulary = {w: i for i, w in enumerate(words["word"])}
-    of_words = words[CELLS].to_numpy(np.float64)
-    size, sent = len(vocabulary), spark.sparkContext.broadcast(Model(vocabulary, None, (0.0,)).dump())
+    words = words.where(in_texts > 1)
+    if words.count() > MOST_WORDS:
+        return _fitted_tables(bodies, train, Tables.of(every, words, numbers))
+    table = words.toArrow().sort_by("word")  # bounded: MOST_WORDS
+    names, of_words = table.column("word").combine_chunks(), np.stack([table.column(c).to_numpy() for c in CELLS], -1).astype(np.float64)
+    size, sent = len(names), spark.sparkContext.broadcast(pickle.dumps(names))
 
     def pair_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = per_worker("toxic-model", sent.value, Model.load)
+        names = per_worker("toxic-words", sent.value, pickle.loads)
         for cells, block in _texts(batches):
+            met: dict[str, int] = {}
+            ids = [np.fromiter((met.setdefault(w, len(met)) for w in words_of(t)), np.int64) for t in block]
+            at = pc.index_in(pa.array(list(met), pa.string()), value_set=names).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
             keys, owners = [], []
-            for i, body in enumerate(block):
-                ids = model.ids(body)
-                k = (ids[:-1] * size + ids[1:])[(ids[:-1] >= 0) & (ids[1:] >= 0)]
+            for i, x in enumerate(ids):
+                x = at[x]
+                k = (x[:-1] * size + x[1:])[(x[:-1] >= 0) & (x[1:] >= 0)]
                 keys.append(k)
                 owners.append(np.full(len(k), i))
             once, places = np.unique(np.concatenate(keys), return_inverse=True)
@@ -246,36 +420,40 @@ def fit(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "tex
 
     pairs = materialise(every.mapInArrow(pair_counts, f"pair bigint, {longs}").groupBy("pair").agg(*sums), "pairs")
 
-    def neighbours(word: Column) -> np.ndarray:  # how many different pairs each word is in; all, halves 0, halves 1
-        seen = [F.count("*"), *(F.count_if(F.col(f"d{h}") + F.col(f"d{h + 2}") > 0) for h in (0, 1))]
-        found = pairs.groupBy(word.alias("at")).agg(*[c.alias(f"n{i}") for i, c in enumerate(seen)]).toPandas()  # bounded by the vocabulary
+    strong = pairs.where(strength >= EVIDENCE)  # the others say what their second word says
+    if strong.count() > MOST_PAIRS:
+        return _fitted_tables(bodies, train, Tables.of(every, words, numbers))
+
+    def neighbours(word: Column) -> np.ndarray:
+        found = _neighbours(pairs.withColumn("at", word), "at", "n").toArrow()  # bounded by the vocabulary
         out = np.zeros((size, 3))
-        out[found["at"].to_numpy(np.int64)] = found[["n0", "n1", "n2"]].to_numpy(np.float64)
+        out[found.column("word").to_numpy()] = np.stack([found.column(f"n{i}").to_numpy() for i in range(3)], -1)
         return out
 
     number = F.lit(max(size, 1)).cast("bigint")
     continued, followers = neighbours(F.col("pair") % number), neighbours(F.floor((F.col("pair") - F.col("pair") % number) / number).cast("bigint"))
-    kept = pairs.where(strength >= _bound(pairs, strength, EVIDENCE, MOST_PAIRS)).toPandas().sort_values("pair")  # bounded: MOST_PAIRS
-    keys, of_pairs = kept["pair"].to_numpy(np.int64), kept[CELLS].to_numpy(np.float64)
+    kept = strong.toArrow().sort_by("pair")  # bounded: MOST_PAIRS
+    keys, of_pairs = kept.column("pair").to_numpy(), np.stack([kept.column(c).to_numpy() for c in CELLS], -1).astype(np.float64)
+    first, second = keys // max(size, 1), keys % max(size, 1)
+    tells = np.any([_told(of_words[:, :4], numbers, s) > 0 for s in SETS], 0)
+    used = np.union1d(np.flatnonzero(tells), np.concatenate([first, second]))  # every other word weighs nothing, alone and in pairs
+    if len(used) > MOST_TOLD:
+        return _fitted_tables(bodies, train, Tables.of(every, words, numbers))
+    vocabulary = {w: i for i, w in enumerate(names.take(pa.array(used)).to_pylist())}
+    used_keys = np.searchsorted(used, first) * len(used) + np.searchsorted(used, second)
 
     def ratios(halves: tuple[int, ...]) -> Ratios:
-        join = lambda t: np.stack([t[..., list(halves)].sum(-1), t[..., [2 + h for h in halves]].sum(-1)], -1)
-        told = [1 - EVIDENCE / np.maximum(evidence(join(t[:, :4]), join(numbers)), EVIDENCE) for t in (of_words, of_pairs)]
-        n = 0 if len(halves) > 1 else halves[0] + 1
-        out = kneser_ney(join(of_words[:, 4:]), continued[:, n], followers[:, n], keys, join(of_pairs[:, 4:]))
+        told = [_told(t[:, :4], numbers, halves) for t in (of_words, of_pairs)]
+        n = SETS.index(halves)
+        out = kneser_ney(_classes(of_words[:, 4:], halves), continued[:, n], followers[:, n], keys, _classes(of_pairs[:, 4:], halves))
         words = out.words * told[0]
-        second = keys % max(size, 1)
-        return Ratios(words, keys, words[second] + (out.of_pairs - words[second]) * told[1])
-
-    share = {0: min(1.0, MOST_ORDINARY / there[0]), 1: min(1.0, MOST_TOXIC / there[1])}
-    y = F.col("cell") >= 2
-    draw = F.pmod(F.xxhash64(F.lit("sample"), "id"), F.lit(1_000_000)) < F.when(y, share[1] * 1e6).otherwise(share[0] * 1e6)
-    rows = bodies.join(F.broadcast(train.where(draw)), "id").select("cell", "body")  # at most the two bounds, so it is broadcast
-    rows = materialise(rows.repartition(2 * spark.sparkContext.defaultParallelism), "labelled-texts")
+        return Ratios(words[used], used_keys, words[second] + (out.of_pairs - words[second]) * told[1])
+
+    numbered = spark.sparkContext.broadcast(Model(vocabulary, None, (0.0,)).dump())
     halves = spark.sparkContext.broadcast([Model({}, ratios(h), (0.0,)).dump() for h in ((1,), (0,))])
 
     def cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = per_worker("toxic-model", sent.value, Model.load)
+        model = per_worker("toxic-model", numbered.value, Model.load)
         others = [Model.load(h).ratios for h in halves.value]
         for batch in batches:
             cells = batch.column(0).to_pylist()
@@ -283,11 +461,26 @@ def fit(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "tex
             columns = [pa.array([c // 2 for c in cells], pa.int32())] + [pa.array([v[k] for v in x], pa.float64()) for k in range(3)]
             yield pa.RecordBatch.from_arrays(columns, names=["y", "whole", "one", "two"])
 
-    table = rows.mapInArrow(cross, "y int, whole double, one double, two double").toPandas()  # bounded by the sample
-    y = table["y"].to_numpy(np.float64)
-    weight = np.where(y > 0, 1 / share[1], 1 / share[0])
-    weights = _logistic(table[["whole", "one", "two"]].to_numpy(), y, weight)
-    return Model(vocabulary, ratios((0, 1)), tuple(map(float, weights)))
+    table = every.mapInArrow(cross, "y int, whole double, one double, two double")
+    return Model(vocabulary, ratios((0, 1)), _curve(materialise(table, "features")))
+
+
+def _curve(rows: DataFrame) -> tuple[float, ...]:
+    """The weights of a written table of ``y`` and features: all of its rows, on the driver if they are few."""
+    x = ["whole", "one", "two"]
+    there = {r[0]: r[1] for r in rows.groupBy("y").count().collect()}
+    if there.get(0, 0) > MOST_ORDINARY or there.get(1, 0) > MOST_TOXIC:
+        return tuple(map(float, _logistic_over(rows, x, "y")))
+    table = rows.toPandas()  # bounded: MOST_ORDINARY and MOST_TOXIC
+    return tuple(map(float, _logistic(table[x].to_numpy(), table["y"].to_numpy(np.float64))))
+
+
+def _fitted_tables(bodies: DataFrame, train: DataFrame, model: Tables) -> Tables:
+    """The model in tables with its curve; each training row is scored by the half that it is not in."""
+    rows, tag = with_row_tag(bodies.join(side(train, 32), "id").select("cell", "body"), "labelled-texts")
+    rows = rows.withColumnRenamed(tag, "tag").withColumn("part", 2 - F.col("cell") % 2)
+    found = model.features(rows).join(rows.select("tag", (F.col("cell") / 2).cast("int").alias("y")).hint("merge"), "tag")
+    return replace(model, weights=_curve(materialise(found.drop("tag"), "features")))
 
 
 def scorer(docs: DataFrame, model: Model):
@@ -312,12 +505,19 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text:
     Null text is empty and gets the score of no evidence. Repeated rows give repeated rows; rows with a null
     id count as not held out and are never learned from. Other columns are left out, and no score uses any.
     """
-    score = scorer(docs, fit(docs, labels, id, text))
-    scored = docs.select(col(id).alias(id), held_out(id).alias("held_out"), score(text_of(text)).alias("score"))
+    model = fit(docs, labels, id, text)
+    if isinstance(model, Tables):
+        rows = docs.select(col(id).alias("id"), col(text).alias("body"))
+        scored = model.scored(rows, "body", "score").select(F.col("id").alias(id), held_out("id").alias("held_out"), "score")
+    else:
+        scored = docs.select(col(id).alias(id), held_out(id).alias("held_out"), scorer(docs, model)(text_of(text)).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` that score below the threshold, with its own columns."""
-    score = scorer(docs, fit(docs, labels, id, text))
-    return docs.where(score(text_of(text)) < THRESHOLD)
+    model = fit(docs, labels, id, text)
+    if isinstance(model, Tables):
+        name = free_name(docs, "score")
+        return model.scored(docs, text, name).where(col(name) < THRESHOLD).select(*map(col, docs.columns))
+    return docs.where(scorer(docs, model)(text_of(text)) < THRESHOLD)

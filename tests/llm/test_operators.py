@@ -191,6 +191,33 @@ def test_toxicity_counts_all_training_rows(spark, monkeypatch):
     assert [r["doc_id"] for r in got.collect() if r["held_out"] and r["predicted"] != truth[r["doc_id"]]] == []
 
 
+def test_toxicity_beyond_the_bounds_keeps_every_word_and_pair(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    rows, marks = [(None, None), (2000, ""), (3, "again w1 bad0"), (2001, "w1"), (2002, "bad1 bad1")], [(None, 1)]
+    for i in range(240):
+        body = [f"w{k}" for k in rng.integers(0, 40, rng.integers(1, 50))]
+        if i % 4 == 0:
+            body[len(body) // 2 :] = [f"bad{i // 4 % 9}", "w1", f"bad{i // 4 % 5}"]
+        rows.append((i, " ".join(body)))
+        marks.append((i, int(i % 4 == 0)))
+    docs, labels = spark.createDataFrame(rows, "doc_id bigint, text string"), spark.createDataFrame(marks, "doc_id bigint, toxic int")
+
+    def scores():
+        got = toxicity.score_toxicity(docs, labels).select("doc_id", "held_out", "score", "predicted").collect()
+        return sorted(map(tuple, got), key=lambda r: (r[0] is None, r)), sorted(map(str, toxicity.drop_toxic(docs, labels).collect()))
+
+    whole, left = scores()
+    assert {r[3] for r in whole} == {0, 1} and len(whole) == len(rows)
+    for bounds in ({"MOST_WORDS": 3}, {"MOST_PAIRS": 1}, {"MOST_TOLD": 1}, {"MOST_TOXIC": 5, "MOST_ORDINARY": 5}):
+        with monkeypatch.context() as m:
+            for name, bound in bounds.items():
+                m.setattr(toxicity, name, bound)
+            got, also_left = scores()
+        assert [(a, b, d) for a, b, _, d in got] == [(a, b, d) for a, b, _, d in whole], bounds
+        assert np.allclose([r[2] for r in got], [r[2] for r in whole], rtol=0, atol=1e-9), bounds
+        assert also_left == left, bounds
+
+
 def counts(text):
     w = [x for x in WHITE.split(text) if x]
     seen, dup = set(), 0
