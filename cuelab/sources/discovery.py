@@ -69,29 +69,32 @@ def folder_report(manifest: DataFrame, needed: Mapping[str, str], skip: Sequence
     return per.select("model", *[F.col(kind)["path"].alias(kind) for kind in needed], lacks.alias("missing"))
 
 
-def _read(spark: SparkSession, paths: list[str], schema: T.StructType) -> DataFrame:
+def _read(spark: SparkSession, paths: list[str], schema: T.StructType, **options) -> DataFrame:
     """The rows of these files with the folder as ``model``."""
     if not paths:
         return spark.createDataFrame([], T.StructType([*schema.fields, T.StructField("model", T.StringType())]))
     folder = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2)  # written as in a URI
     # letters that would stand for others in the path of a scan
     quoted = ["".join(f"\\{c}" if c in "*?[]{}\\" else c for c in p) for p in paths]
-    return scan_csv(spark, quoted, schema).select("*", F.url_decode(F.replace(folder, F.lit("+"), F.lit("%2B"))).alias("model"))
+    return scan_csv(spark, quoted, schema, **options).select("*", F.url_decode(F.replace(folder, F.lit("+"), F.lit("%2B"))).alias("model"))
 
 
-def discover_first(spark: SparkSession, root: str, schema: T.StructType, pattern: str, skip: Sequence[str] = ()) -> DataFrame:
-    """The rows of the first matching CSV file of each folder, with ``model``."""
+def discover_first(
+    spark: SparkSession, root: str, schema: T.StructType, pattern: str, skip: Sequence[str] = (), **options
+) -> DataFrame:
+    """The rows of the first matching CSV file of each folder, with ``model``. ``options`` go to ``scan_csv``: with ``multiLine=False``,
+    for files without line breaks inside of cells, a large file is many tasks."""
     chosen = first_files(file_manifest(spark, root), pattern, skip)
-    return _read(spark, [r["path"] for r in chosen.orderBy("model").collect()], schema)
+    return _read(spark, [r["path"] for r in chosen.orderBy("model").collect()], schema, **options)
 
 
 def discover_complete(
-    spark: SparkSession, root: str, needed: Mapping[str, tuple[str, T.StructType]], skip: Sequence[str] = ()
+    spark: SparkSession, root: str, needed: Mapping[str, tuple[str, T.StructType]], skip: Sequence[str] = (), **options
 ) -> tuple[dict[str, DataFrame], DataFrame]:
     """A table per kind of file, from the folders that hold all kinds; and the report on all folders.
 
-    ``needed`` names the pattern and the columns of each kind.
+    ``needed`` names the pattern and the columns of each kind; ``options`` are those of ``discover_first``.
     """
     report = folder_report(file_manifest(spark, root), {kind: pattern for kind, (pattern, _) in needed.items()}, skip)
     whole = report.where(F.size("missing") == 0).orderBy("model").collect()
-    return {kind: _read(spark, [r[kind] for r in whole], schema) for kind, (_, schema) in needed.items()}, report
+    return {kind: _read(spark, [r[kind] for r in whole], schema, **options) for kind, (_, schema) in needed.items()}, report

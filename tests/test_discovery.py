@@ -43,6 +43,24 @@ def test_first_file_of_each_folder(spark, root):
     assert values(d.groupBy("model", "x").count()) == [("b", "10", 10), ("c+é%", "3", 3)]
 
 
+def test_large_files_without_line_breaks_in_cells_are_split(spark, tmp_path):
+    (tmp_path / "m").mkdir()
+    (tmp_path / "m" / "p_m.csv").write_text("x,y\n" + "".join(f'{i},"a,{i}"\n' for i in range(5000)) + ",\n")
+    schema = spark.createDataFrame([], "x string, y string").schema
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8192")
+    try:
+        first = S.discover_first(spark, str(tmp_path), schema, "p_*.csv", multiLine=False)
+        whole = S.discover_complete(spark, str(tmp_path), {"p": ("p_{model}.csv", schema)}, multiLine=False)[0]["p"]
+        for d in (first, whole):
+            per = d.groupBy(F.spark_partition_id()).count().collect()
+            assert len(per) > 4 and max(r["count"] for r in per) < 2500
+            assert sorted(d.collect(), key=str) == sorted(S.discover_first(spark, str(tmp_path), schema, "p_*.csv").collect(), key=str)
+            assert d.count() == 5001
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
 def _schema(spark):
     return spark.createDataFrame([], "x string").schema
 
