@@ -345,12 +345,14 @@ def inject(
     label_col: str = "label",
     id_col: str = "sentence_id",
     partitions: int | None = None,
+    original: bool = True,
 ) -> DataFrame:
     """Work the cues of the plan into each sentence, pairs by two calls in a row.
 
     The first responses are written once; pairs of framing share one of them when
     ``reuse_first_stage`` is set. Before the second call characters that cannot be printed are
-    taken out. Columns: the dataset's, ``plan_ord``, ``prompt_variant`` and ``error``.
+    taken out. Columns: the dataset's, ``plan_ord``, ``prompt_variant`` and ``error``. Without ``original`` there is no
+    ``original_sentence``: each sentence then goes through the calls in its prompts alone.
     """
     plan = [r for r in (plan if plan is not None else bias_plan(clean=False)) if r.stage1 is not None]
     if not reuse_first_stage:
@@ -367,7 +369,7 @@ def inject(
         prompt = injection_prompt(F.col(cue), F.col("label"), F.col("prompt_variant"), F.col(sentence), templates)
         asked = df.withColumn("__prompt", prompt)
         call = Call(out, "__prompt", system_by=("prompt_variant", systems))
-        drop = {"__prompt", cue, sentence} - {"original_sentence"}
+        drop = {"__prompt", cue, sentence} - ({"original_sentence"} if original else set())
         return generate(
             asked, factory, [call], params, drop=drop, error_col=error, **_spread(asked, partitions)
         )
@@ -392,6 +394,5 @@ def inject(
         uses = union_all([single.drop("stage2"), ended.drop("__error1", "__error2")])
     else:
         uses = single
-    return uses.select(
-        "example_id", "original_sentence", "biased_sentence", "label", "biases", "plan_ord", "prompt_variant", "error"
-    )
+    texts = ["original_sentence", "biased_sentence"] if original else ["biased_sentence"]
+    return uses.select("example_id", *texts, "label", "biases", "plan_ord", "prompt_variant", "error")

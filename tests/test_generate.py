@@ -164,6 +164,16 @@ def test_injection(spark, tiny_templates):
     assert out.filter("error is not null").count() == 0
 
 
+def test_injection_without_original_texts(spark, tiny_templates, monkeypatch):
+    whole = J.inject(base(spark), tagged, templates=tiny_templates)
+    written = []
+    monkeypatch.setattr(J, "materialise", lambda df, label: written.append(df.columns) or df)
+    lean = J.inject(base(spark), tagged, templates=tiny_templates, original=False)
+    assert written and all("original_sentence" not in c for c in written)
+    assert lean.columns == [c for c in whole.columns if c != "original_sentence"]
+    assert sorted(map(str, lean.collect())) == sorted(map(str, whole.drop("original_sentence").collect()))
+
+
 def test_injection_calls_are_counted(spark, tiny_templates, tmp_path):
     log = str(tmp_path / "sent")
 
