@@ -77,6 +77,24 @@ def test_independent_of_partitions(spark):
     assert values(diversify(df.repartition(1))) == values(diversify(df.repartition(7)))
 
 
+def test_letters_that_are_ascii_in_another_case(spark):
+    kiss, like = step("kiss", ["a kiss"], ["-"]), step("like", ["ßé like"], ["é$"])
+    cases = ["é A KISS a kiss", "a kıss, a kiss", "ſ a kiſs a kiss", "a \u212aiss a kiss", "a kİss", "SSÉ ßÉ LIKE ßé like", "", None, "é"]
+    wants = ["é - a kiss", "-, a kiss", "ſ - a kiss", "- a kiss", "a kİss", "SSÉ é$ ßé like", "", None, "é"]
+    assert run(spark, [kiss, like], cases, probability=1.0) == wants
+
+
+def test_a_text_is_not_gone_through_in_the_jvm_for_each_find(spark):
+    plan = plan_of(diversify(texts(spark, ["a modest rise"])))
+    assert plan.count("ArrowEvalPython") == 1
+    assert "Contains(" not in plan and "lower(" not in plan
+
+
+def test_later_steps_see_what_earlier_ones_wrote(spark):
+    steps = [step("one", ["a"], ["É b"]), step("two", ["é B"], ["c"]), step("three", ["x"], ["y"])]
+    assert run(spark, steps, ["-a-", "é b x"], probability=1.0) == ["-c-", "c y"]
+
+
 def test_keep_last(spark):
     rows = [("c", "s1", 1), ("c", "s1", 3), ("c", "s2", 2), ("d", "s1", 4)]
     df = spark.createDataFrame(rows, "condition string, s string, seq long")
