@@ -2,7 +2,7 @@
 
 A byte-level pre-tokenizer starts a new piece at every space that stands before a non-space, so a
 text can be cut there and the stretches encoded alone. Where a space stands between white space, or
-between white space and the end, it is not cut (``_INSIDE``). Stretches are cut further before the library gets
+between white space and the end, it is not cut. Stretches are cut further before the library gets
 them (``_parts``), so that it sees each word once, not once with each mark that follows it. A text with a special token
 goes to the library whole, and so do all texts of other kinds of tokenizers.
 """
@@ -15,10 +15,11 @@ import re
 from array import array
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from .shared import blocks
 
-_INSIDE = re.compile(r"(?<=[\s᠎]) (?:[\s᠎]|\Z)")  # begins with a space, which is searched fast
 _BEFORE_WORD = re.compile(r" (?=[^\s᠎])")
 
 
@@ -48,6 +49,19 @@ def _white(char: str) -> bool:
     return char.isspace() or char == "᠎"
 
 
+def _white_at(array: pa.StringArray, words: list[str], place: int, empty: bool) -> np.ndarray:
+    """Which words have white space at their first (0) or last (-1) place; ``empty`` for the empty ones."""
+    offsets = np.frombuffer(array.buffers()[1], "<i4")[array.offset : array.offset + len(words) + 1]
+    out = np.full(len(words), empty)
+    there = np.flatnonzero(np.diff(offsets))
+    data = np.frombuffer(array.buffers()[2] or b"", np.uint8)
+    edge = data[offsets[there] if place == 0 else offsets[there + 1] - 1]
+    out[there] = False
+    maybe = there[(edge <= 32) | (edge >= 128)]  # only these bytes may belong to white space
+    out[maybe] = [_white(words[i][place]) for i in maybe.tolist()]
+    return out
+
+
 def _marks(before: str, line: str) -> tuple[str, ...]:
     word = line.rstrip(_TAIL)
     if len(word) < len(line) and word and word[-1].isascii() and word[-1].isalnum():
@@ -88,6 +102,8 @@ class Encoder:
 
     #: Stretches kept for later blocks and tasks in each of the two stores, before those not seen again go.
     MOST_STRETCHES, MOST_CHARS = 500_000, 8 << 20
+    #: Characters of a block: its distinct stretches are looked up in the stores once.
+    BLOCK_CHARS = 4 << 20
 
     def __init__(self, data: bytes) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
@@ -150,15 +166,50 @@ class Encoder:
         known = self.first.__getitem__
         store.keep(list(cut), [store[h] + b"".join(map(known, rest)) for h, rest in cut.values()])
 
+    def _stretched(self, lists: pa.ListArray, cut_at_spaces: bool) -> list[bytes | None]:
+        """The ids of texts that are given as their stretches. With ``cut_at_spaces`` texts were cut at every space: None for
+        those that must not be. Each distinct stretch is looked up once, the ids are gathered by its number."""
+        offsets, flat = lists.offsets.to_numpy(), lists.values
+        is_head = np.zeros(len(flat), bool)
+        is_head[offsets[:-1]] = True
+        heads = flat.take(lists.offsets[:-1]).dictionary_encode()
+        rest = flat.filter(pa.array(~is_head)).dictionary_encode()
+        firsts, laters = (x.dictionary.to_numpy(zero_copy_only=False).tolist() for x in (heads, rest))
+        number = np.empty(len(flat), np.int32)
+        number[is_head] = heads.indices.to_numpy()
+        number[~is_head] = rest.indices.to_numpy() + np.int32(len(firsts))
+        odd: list[int] = []
+        if cut_at_spaces:  # a space with white space before it and, or the end, behind it; an empty stretch is next to a space or the end
+            before = np.concatenate([_white_at(heads.dictionary, firsts, -1, False), _white_at(rest.dictionary, laters, -1, True)])
+            behind = np.concatenate([np.zeros(len(firsts), bool), _white_at(rest.dictionary, laters, 0, True)])
+            inside = np.flatnonzero(before[number[:-1]] & behind[number[1:]] & ~is_head[1:])
+            odd = np.unique(np.searchsorted(offsets, inside, side="right") - 1).tolist()
+        self._learn(self.first, set(firsts), "")
+        self._learn(self.later, set(laters), " ")
+        bodies = [*map(self.first.__getitem__, firsts), *map(self.later.__getitem__, laters)]
+        table = np.frombuffer(b"".join(bodies), "<u4")
+        sizes = np.fromiter(map(len, bodies), np.int64, len(bodies)) // 4
+        starts = np.cumsum(sizes) - sizes
+        size = sizes[number]
+        ends = np.cumsum(size)
+        at = np.repeat(starts[number] - (ends - size), size)
+        at += np.arange(len(at))
+        ids = table[at].tobytes()
+        stops = (4 * ends[offsets[1:] - 1]).tolist()
+        out: list[bytes | None] = [ids[a:b] for a, b in zip([0, *stops], stops)]
+        for k in odd:
+            out[k] = None
+        return out
+
     def _block(self, texts: list[str]) -> list[bytes]:
         for store in (self.first, self.later):
             store.age(self.MOST_STRETCHES, self.MOST_CHARS)
-        parts = [_BEFORE_WORD.split(t) if _INSIDE.search(t) else t.split(" ") for t in texts]
-        heads = [p.pop(0) for p in parts]
-        self._learn(self.first, set(heads), "")
-        self._learn(self.later, set().union(*parts), " ")
-        first, later = self.first, self.later.__getitem__
-        out = [first[h] + b"".join(map(later, p)) for h, p in zip(heads, parts)]
+        out = self._stretched(pc.split_pattern(pa.array(texts, pa.string()), " "), True)
+        odd = [k for k, ids in enumerate(out) if ids is None]
+        if odd:
+            lists = pa.array([_BEFORE_WORD.split(texts[k]) for k in odd], pa.list_(pa.string()))
+            for k, ids in zip(odd, self._stretched(lists, False)):
+                out[k] = ids
         whole = [k for k, t in enumerate(texts) if "<" in t and any(s in t for s in self.special)]
         for k, ids in zip(whole, self._encode([texts[k] for k in whole])):
             out[k] = ids
@@ -166,6 +217,6 @@ class Encoder:
 
     def ids(self, texts: list[str]) -> list[bytes]:
         out: list[bytes] = []
-        for _, block in blocks(texts):
+        for _, block in blocks(texts, self.BLOCK_CHARS if self.cut else 1 << 21):
             out += self._block(block) if self.cut else self._encode(block)
         return out

@@ -92,6 +92,20 @@ def test_encoder_on_odd_texts_with_a_small_store(monkeypatch):
     assert want == [x for k in range(0, len(sample), 37) for x in part.ids(sample[k : k + 37])]
 
 
+def test_encoder_gathers_stretches_by_number(monkeypatch):
+    data = open(queries.BYTE_BPE, "rb").read()
+    whole, part, draw = Tokenizer.from_buffer(data), Encoder(data), random.Random(5)
+    learnt = []
+    monkeypatch.setattr(part, "_learn", lambda *x, learn=part._learn: learnt.append(len(x[1])) or learn(*x))
+    part.ids(["ab cd " * 250_000, "ab cd. " * 200_000])
+    assert learnt == [1, 4]  # distinct stretches: at the start of a text, and after a space
+    monkeypatch.setattr(Encoder, "BLOCK_CHARS", 60)
+    bits = [" ", " ", " ", "\n", "\t", "\x1c", "\x85", "\xa0", "\u180e", "\u3000", "a", "é", "b.", "<", "12", "\U0001f600", ""]
+    texts = ["".join(draw.choice(bits) for _ in range(draw.randint(0, 30))) for _ in range(1500)] + ["", " ", "  ", " a", "a ", "a  b"]
+    want = [np.array(e.ids, "<u4").tobytes() for e in whole.encode_batch(texts, add_special_tokens=False)]
+    assert part.ids(texts) == want
+
+
 def test_replay_waits_for_lower_ranks():
     ranks = {bytes((i,)): i for i in range(256)} | {b"bc": 300, b"abc": 260, b"abcd": 256, b"cd": 301}
     tik = tiktoken.Encoding("own", pat_str=r"\w+", mergeable_ranks=ranks, special_tokens={})
