@@ -14,13 +14,15 @@ by the share that ``EVIDENCE`` has in their G squared, so two texts can be enoug
 with no more than ``EVIDENCE`` says what its second word says. Pairs are counted between words of two texts or more; a word of
 a single text is not in the vocabulary, as its pairs would say no more.
 
-Words and pairs without that evidence weigh exactly nothing, so workers that score hold only the others. What workers and the
-driver hold is bounded by ``MOST_WORDS``, ``MOST_TOLD`` and ``MOST_PAIRS``. A model beyond one of them is not cut: all of it stays in
+Words and pairs without that evidence weigh exactly nothing, so workers that score hold only the others. For the counting of
+pairs workers hold all words of the vocabulary (``Numbers``), the driver their names; counts are gathered of the words with evidence
+alone. What they hold is bounded by ``MOST_WORDS``, ``MOST_TOLD`` and ``MOST_PAIRS``. A model beyond one of them is not cut: all of it stays in
 tables (``Tables``), and texts meet it word by word in joins, with the same scores. Every text is scored.
 """
 
 from __future__ import annotations
 
+import hashlib
 import pickle
 import re
 from collections import Counter
@@ -41,7 +43,7 @@ from .shared import blocks, col, free_name, per_worker, side, text_of, with_row_
 #: Training rows up to which the driver fits the logistic curve itself; of more the steps are summed up by Spark.
 MOST_TOXIC, MOST_ORDINARY = 8_000, 16_000
 #: Words whose pairs are counted by number, words and pairs that workers score by; a larger model stays in tables.
-MOST_WORDS, MOST_TOLD, MOST_PAIRS = 1 << 20, 1 << 18, 1 << 20
+MOST_WORDS, MOST_TOLD, MOST_PAIRS = 1 << 23, 1 << 20, 1 << 22
 #: G squared of the texts of each class that have an expression, against the share of the classes, that chance can have.
 EVIDENCE, DISCOUNT = 6.0, 0.75
 THRESHOLD = 0.3
@@ -69,6 +71,8 @@ class Ratios:
 
     def of(self, ids: np.ndarray) -> np.ndarray:
         """The ratio of each word after the one before; 0 for unknown words (-1)."""
+        if not len(self.words):
+            return np.zeros(len(ids))
         out = np.where(ids >= 0, self.words[ids], 0.0)
         if len(ids) > 1 and len(self.pairs):
             keys = np.where((ids[:-1] >= 0) & (ids[1:] >= 0), ids[:-1] * len(self.words) + ids[1:], -1)
@@ -106,23 +110,11 @@ def _of_pairs(pair_counts: np.ndarray, first: np.ndarray, followers: np.ndarray,
 
 
 def _ratio(p: np.ndarray) -> np.ndarray:
+    """Nothing where neither class has a word to learn from."""
+    p = np.where(p.any(1)[:, None], p, 1.0)
     return np.log(p[:, 1]) - np.log(p[:, 0])
 
 
-def kneser_ney(words: np.ndarray, continued: np.ndarray, followers: np.ndarray, pairs: np.ndarray, pair_counts: np.ndarray) -> Ratios:
-    """``words``: counts (ordinary, toxic) of each word; ``pairs``: keys, ascending, ``pair_counts`` likewise;
-    ``continued``, ``followers``: the numbers of different words before and after each word, of all pairs.
-
-    P(w | v) = max(c(v, w) - D, 0) / c(v) + backoff(v) * P(w) and P(w) = max(c(w) - D, 0) / N + backoff * S(w), where S
-    has the continuation counts of both classes together, and so have the backoff weights.
-    """
-    size = len(words)
-    first, second = pairs // max(size, 1), pairs % max(size, 1)
-    of_word = _of_words(words, continued, words.sum(0), np.count_nonzero(words.sum(1)), (continued + 1.0).sum())
-    of_pair = _of_pairs(pair_counts, words[first], followers[first], of_word[second])
-    return Ratios(_ratio(of_word), pairs, _ratio(of_pair))
-
-
 def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Weights of a logistic curve (the last is the constant), slightly drawn to zero; Newton steps."""
     x = np.concatenate([x, np.ones((len(x), 1))], 1)
@@ -164,6 +156,53 @@ def _logistic_over(rows: DataFrame, x: list[str], y: str) -> np.ndarray:
     return w
 
 
+def _digest(word: Column) -> Column:
+    """The first 8 bytes of a word's md5."""
+    return F.unhex(F.left(F.md5(word), F.lit(16)))
+
+
+@dataclass
+class Numbers:
+    """The words of a vocabulary, numbered in the order of their digests (``_digest``): a binary search finds a word, no hash table is built."""
+
+    names: pa.Array
+    digests: np.ndarray
+
+    @staticmethod
+    def of(table: pa.Table) -> Numbers:
+        """From the columns ``word`` and ``digest``."""
+        digests = np.frombuffer(table.column("digest").combine_chunks().cast(pa.binary(8)).buffers()[1] or b"", ">u8", table.num_rows).astype(np.uint64)
+        order = np.argsort(digests, kind="stable")
+        return Numbers(table.column("word").combine_chunks().take(pa.array(order)), digests[order])
+
+    def dump(self) -> bytes:
+        return pickle.dumps((self.names, self.digests))
+
+    @staticmethod
+    def load(data: bytes) -> Numbers:
+        return Numbers(*pickle.loads(data))
+
+    def __len__(self) -> int:
+        return len(self.digests)
+
+    def find(self, words: list[str]) -> np.ndarray:
+        """The number of each word, -1 for those that are not there."""
+        out = np.full(len(words), -1, np.int64)
+        if not len(words) or not len(self):
+            return out
+        wanted = np.frombuffer(b"".join([hashlib.md5(w.encode()).digest()[:8] for w in words]), ">u8").astype(np.uint64)
+        at, asked = np.searchsorted(self.digests, wanted), pa.array(words, self.names.type)
+        open_ = (at < len(self)) & (self.digests[np.minimum(at, len(self) - 1)] == wanted)
+        while open_.any():  # once, but for words that share a digest
+            rows = np.flatnonzero(open_)
+            same = pc.equal(self.names.take(pa.array(at[rows])), asked.take(pa.array(rows))).to_numpy(zero_copy_only=False)
+            out[rows[same]] = at[rows[same]]
+            at[rows] += 1
+            open_[rows[same]] = False
+            open_ &= (at < len(self)) & (self.digests[np.minimum(at, len(self) - 1)] == wanted)
+        return out
+
+
 @dataclass
 class Model:
     """Words and their numbers, ratios, and the weights of the features and the constant."""
@@ -261,10 +300,20 @@ def _word_pair_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
         yield pa.RecordBatch.from_arrays([*sides, *table.columns[1:]], names=["first", "second", *CELLS])
 
 
+def _in_sets() -> list[Column]:
+    """The numbers of rows of all, of half 0, of half 1."""
+    return [F.count("*"), *(F.count_if(F.col(f"d{h}") + F.col(f"d{h + 2}") > 0) for h in (0, 1))]
+
+
 def _neighbours(pairs: DataFrame, by: str, name: str) -> DataFrame:
-    """In how many different pairs each word is; of all, of half 0, of half 1."""
-    seen = [F.count("*"), *(F.count_if(F.col(f"d{h}") + F.col(f"d{h + 2}") > 0) for h in (0, 1))]
-    return pairs.groupBy(F.col(by).alias("word")).agg(*[c.alias(f"{name}{i}") for i, c in enumerate(seen)])
+    """In how many different pairs each word is, by ``SETS``."""
+    return pairs.groupBy(F.col(by).alias("word")).agg(*[c.alias(f"{name}{i}") for i, c in enumerate(_in_sets())])
+
+
+def _class_sums(cells: list[Column], halves: tuple[int, ...]) -> list[Column]:
+    """All ordinary and all toxic occurrences of words in these halves, and the number of words that have any."""
+    o, t = (sum((cells[2 * y + h] for h in halves[1:]), cells[2 * y + halves[0]]) for y in (0, 1))
+    return [F.sum(o), F.sum(t), F.count_if(o + t > 0)]
 
 
 def _matrix(batch: pa.RecordBatch, names: list[str]) -> np.ndarray:
@@ -313,9 +362,8 @@ class Tables:
         full = materialise(full.na.fill(0), "words")
 
         cells = [F.col(f"c{k}") for k in range(4)]
-        of_set = [(sum((cells[h] for h in s[1:]), cells[s[0]]), sum((cells[2 + h] for h in s[1:]), cells[2 + s[0]])) for s in SETS]
-        sums = full.agg(*[c.alias(f"{i}{k}") for i, (o, t) in enumerate(of_set) for k, c in enumerate(
-            (F.sum(o), F.sum(t), F.count_if(o + t > 0), F.sum(F.col(f"b{i}") + 1)))]).first()
+        sums = full.agg(*[c.alias(f"{i}{k}") for i, h in enumerate(SETS) for k, c in enumerate(
+            [*_class_sums(cells, h), F.sum(F.col(f"b{i}") + 1)])]).first()
         sums = np.array([float(v or 0) for v in sums]).reshape(len(SETS), 4)
         known = [f"{k}{i}" for k in "wp" for i in range(2 * len(SETS))] + [f"r{i}" for i in range(len(SETS))]
 
@@ -399,16 +447,15 @@ def fit(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "tex
     words = words.where(in_texts > 1)
     if words.count() > MOST_WORDS:
         return _fitted_tables(bodies, train, Tables.of(every, words, numbers))
-    table = words.toArrow().sort_by("word")  # bounded: MOST_WORDS
-    names, of_words = table.column("word").combine_chunks(), np.stack([table.column(c).to_numpy() for c in CELLS], -1).astype(np.float64)
-    size, sent = len(names), spark.sparkContext.broadcast(pickle.dumps(names))
+    numbered = Numbers.of(words.select("word", _digest(F.col("word")).alias("digest")).toArrow())  # bounded: MOST_WORDS
+    size, sent = len(numbered), spark.sparkContext.broadcast(numbered.dump())
 
     def pair_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = per_worker("toxic-words", sent.value, pickle.loads)
+        numbers = per_worker("toxic-words", sent.value, Numbers.load)
         for cells, block in _texts(batches):
             met: dict[str, int] = {}
             ids = [np.fromiter((met.setdefault(w, len(met)) for w in words_of(t)), np.int64) for t in block]
-            at = pc.index_in(pa.array(list(met), pa.string()), value_set=names).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+            at = numbers.find(list(met))
             keys, owners = [], []
             for i, x in enumerate(ids):
                 x = at[x]
@@ -424,36 +471,55 @@ def fit(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "tex
     if strong.count() > MOST_PAIRS:
         return _fitted_tables(bodies, train, Tables.of(every, words, numbers))
 
-    def neighbours(word: Column) -> np.ndarray:
-        found = _neighbours(pairs.withColumn("at", word), "at", "n").toArrow()  # bounded by the vocabulary
-        out = np.zeros((size, 3))
-        out[found.column("word").to_numpy()] = np.stack([found.column(f"n{i}").to_numpy() for i in range(3)], -1)
-        return out
-
-    number = F.lit(max(size, 1)).cast("bigint")
-    continued, followers = neighbours(F.col("pair") % number), neighbours(F.floor((F.col("pair") - F.col("pair") % number) / number).cast("bigint"))
-    kept = strong.toArrow().sort_by("pair")  # bounded: MOST_PAIRS
-    keys, of_pairs = kept.column("pair").to_numpy(), np.stack([kept.column(c).to_numpy() for c in CELLS], -1).astype(np.float64)
+    kept = strong.toArrow()  # bounded: MOST_PAIRS
+    order = np.argsort(kept.column("pair").to_numpy())
+    keys, of_pairs = kept.column("pair").to_numpy()[order], np.stack([kept.column(c).to_numpy().astype(np.float64)[order] for c in CELLS], -1)
+    del kept
     first, second = keys // max(size, 1), keys % max(size, 1)
-    tells = np.any([_told(of_words[:, :4], numbers, s) > 0 for s in SETS], 0)
-    used = np.union1d(np.flatnonzero(tells), np.concatenate([first, second]))  # every other word weighs nothing, alone and in pairs
+    told = words.where(strength > EVIDENCE * (1 - 1e-9))
+    if told.count() > MOST_TOLD:
+        return _fitted_tables(bodies, train, Tables.of(every, words, numbers))
+    told = numbered.find(told.select("word").toArrow().column("word").to_pylist())
+    used = np.unique(np.concatenate([told, first, second]))  # every other word weighs nothing, alone and in pairs
     if len(used) > MOST_TOLD:
         return _fitted_tables(bodies, train, Tables.of(every, words, numbers))
-    vocabulary = {w: i for i, w in enumerate(names.take(pa.array(used)).to_pylist())}
-    used_keys = np.searchsorted(used, first) * len(used) + np.searchsorted(used, second)
+    names = numbered.names.take(pa.array(used))
+
+    def of_used(rows: DataFrame, key: str, values: list[str], keys: pa.Array) -> np.ndarray:
+        """The values of the used words, in their order: 0 where there is no row."""
+        chosen = spark.createDataFrame(pa.table({key: keys, "place": np.arange(len(keys), dtype=np.int64)})) if len(keys) else None
+        out = np.zeros((len(keys), len(values)))
+        if chosen is not None:
+            found = rows.join(F.broadcast(chosen), key).select("place", *values).toArrow()  # bounded: MOST_TOLD
+            out[found.column("place").to_numpy()] = np.stack([found.column(c).to_numpy() for c in values], -1)
+        return out
+
+    of_words = of_used(words, "word", CELLS, names)
+    number, sides = F.lit(max(size, 1)).cast("bigint"), []
+    for at in (F.col("pair") % number, F.floor((F.col("pair") - F.col("pair") % number) / number).cast("bigint")):
+        sides.append(of_used(_neighbours(pairs.withColumn("at", at), "at", "n"), "word", ["n0", "n1", "n2"], pa.array(used, pa.int64())))
+    continued, followers = sides
+    cells = [F.col(f"c{k}") for k in range(4)]
+    sums = words.agg(*[c.alias(f"{i}{k}") for i, h in enumerate(SETS) for k, c in enumerate(_class_sums(cells, h))]).first()
+    sums = np.array([float(v or 0) for v in sums]).reshape(len(SETS), 3)
+    places = [float(v) + size for v in pairs.agg(*_in_sets()).first()]
+    vocabulary = {w: i for i, w in enumerate(names.to_pylist())}
+    one, two = np.searchsorted(used, first), np.searchsorted(used, second)
+    used_keys = one * len(used) + two
 
     def ratios(halves: tuple[int, ...]) -> Ratios:
-        told = [_told(t[:, :4], numbers, halves) for t in (of_words, of_pairs)]
         n = SETS.index(halves)
-        out = kneser_ney(_classes(of_words[:, 4:], halves), continued[:, n], followers[:, n], keys, _classes(of_pairs[:, 4:], halves))
-        words = out.words * told[0]
-        return Ratios(words[used], used_keys, words[second] + (out.of_pairs - words[second]) * told[1])
+        counts, told = _classes(of_words[:, 4:], halves), [_told(t[:, :4], numbers, halves) for t in (of_words, of_pairs)]
+        of_word = _of_words(counts, continued[:, n], sums[n, :2], sums[n, 2], places[n])
+        own = _ratio(_of_pairs(_classes(of_pairs[:, 4:], halves), counts[one], followers[one, n], of_word[two]))
+        words = _ratio(of_word) * told[0]
+        return Ratios(words, used_keys, words[two] + (own - words[two]) * told[1])
 
-    numbered = spark.sparkContext.broadcast(Model(vocabulary, None, (0.0,)).dump())
+    plain = spark.sparkContext.broadcast(Model(vocabulary, None, (0.0,)).dump())
     halves = spark.sparkContext.broadcast([Model({}, ratios(h), (0.0,)).dump() for h in ((1,), (0,))])
 
     def cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = per_worker("toxic-model", numbered.value, Model.load)
+        model = per_worker("toxic-model", plain.value, Model.load)
         others = [Model.load(h).ratios for h in halves.value]
         for batch in batches:
             cells = batch.column(0).to_pylist()

@@ -232,6 +232,33 @@ def test_toxicity_beyond_the_bounds_keeps_every_word_and_pair(spark, monkeypatch
         assert also_left == left, bounds
 
 
+def test_toxicity_numbers_words_by_their_digests():
+    import pyarrow as pa
+
+    words = ["é", "plain", "b" * 300, "other"]
+    table = pa.table({"word": words, "digest": pa.array([hashlib.md5(w.encode()).digest()[:8] for w in words], pa.binary())})
+    numbers = toxicity.Numbers.of(table)
+    assert [numbers.names[int(i)].as_py() for i in numbers.find(words)] == words
+    assert numbers.find(["plain", "none", "other", "none"]).tolist() == [*numbers.find(["plain"]), -1, *numbers.find(["other"]), -1]
+    assert toxicity.Numbers.of(table.slice(0, 0)).find(words).tolist() == [-1] * 4
+    same = toxicity.Numbers(pa.array(["x", "y", "plain"]), np.full(3, numbers.digests[numbers.find(["plain"])[0]]))  # words that share a digest
+    assert same.find(["plain", "other"]).tolist() == [2, -1]
+
+
+def test_toxicity_scores_a_million_words_without_joins(spark, monkeypatch):
+    """A vocabulary beyond 2^20 words shuffled each pair of neighbours of each text."""
+
+    def joined(*_):
+        raise AssertionError("texts met the model in joins")
+
+    monkeypatch.setattr(toxicity.Tables, "of", joined)
+    bodies = F.concat_ws(" ", F.transform(F.sequence(F.lit(0), F.lit(9_999)), lambda k: F.concat(F.lit("w"), (k + F.pmod("doc_id", F.lit(140)) * 10_000).cast("string"))))
+    toxic = F.pmod(F.col("doc_id"), F.lit(4)) == 0
+    docs = spark.range(420).withColumnRenamed("id", "doc_id").withColumn("text", F.concat(bodies, F.when(toxic, " vile").otherwise(" mild")))
+    got = toxicity.score_toxicity(docs, docs.select("doc_id", toxic.cast("int").alias("toxic")))
+    assert {(r["doc_id"] % 4 == 0, r["predicted"]) for r in got.select("doc_id", "predicted").collect()} == {(True, 1), (False, 0)}
+
+
 def counts(text):
     w = [x for x in WHITE.split(text) if x]
     seen, dup = set(), 0
