@@ -223,6 +223,8 @@ class _Caller:
                 for row in rows:
                     self._send_alone(row, c)
             else:
+                # without the frames that it came through: they hold the row, and the row its whole batch
+                e.__traceback__ = e.__context__ = e.__cause__ = None
                 rows[0].problems[c] = e
             return
         for row, answer in zip(rows, answers):

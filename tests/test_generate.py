@@ -398,3 +398,30 @@ def test_retries_with_a_wait_give_the_same_rows(spark):
         assert r["r"] == (None if bad else r["prompt"] + "!") and r["error"] == ("r: OSError: busy" if bad else None)
         assert r["more"] == [1, len(r["prompt"])]
     assert out.count() == 200
+
+
+def test_failed_rows_are_let_go_without_the_garbage_collector():
+    """A kept exception held its row through the traceback, and the row its whole Arrow batch, until a full collection."""
+    import gc
+
+    import pyarrow as pa
+
+    from cuelab.operators.generate import _arrow_caller, _Row
+
+    def factory(params):
+        def call(requests):
+            raise RuntimeError("refused")
+
+        return call
+
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2, 3, 4, 5]), pa.array(["a"] * 5)], names=["id", "prompt"])
+    run = _arrow_caller(factory, [Call("response", "prompt")], Params(attempts=1, backoff_s=0.0, batch_size=2), ["id"], "error")
+    gc.collect()
+    gc.disable()
+    try:
+        errors = [e for out in run(iter([batch])) for e in out.column("error").to_pylist()]
+        left = sum(isinstance(x, _Row) for x in gc.get_objects())
+    finally:
+        gc.enable()
+    assert errors == ["response: RuntimeError: refused"] * 5
+    assert left == 0
