@@ -87,3 +87,20 @@ def test_empty_tables(spark, tmp_path):
     B.write_examples(rows(spark), one, ["model", "text"], "example_id", 4)  # written anew
     B.write_results(results(spark).limit(0), other, one)
     assert B.join_buckets(spark, one, other, ["example_id"], how="left_anti").count() == 3004
+
+
+def test_rows_of_an_example_are_dealt_together_and_told_apart(spark, tmp_path):
+    """Each condition of an example had a digest of its own in files and shuffles."""
+    rows = [(m, c, e) for m in ("x", None) for c in ("1", "2", None) for e in ("7:1", "7:2", None)]
+    done = [("x", "1", "7:1"), (None, None, "7:1"), ("x", None, None), ("y", "1", "7:2")]
+    schema, by = "model string, condition string, example_id string", ["model", "condition", "example_id"]
+    for most in (100_000, 2):
+        one, other = str(tmp_path / f"examples{most}"), str(tmp_path / f"done{most}")
+        B.write_examples(spark.createDataFrame(rows, schema), one, by, "example_id", 4, rows_per_task=most)
+        B.write_results(spark.createDataFrame(done, schema).withColumn("n", F.lit(1)), other, one)
+        assert spark.read.parquet(one).select(B.KEY).distinct().count() == 3
+        left = B.join_buckets(spark, one, other, by, how="left_anti")
+        assert sorted(map(tuple, left.collect()), key=repr) == sorted((r for r in rows if r not in done), key=repr)
+        assert "Exchange" not in plan_of(left)
+        both = B.join_buckets(spark, one, other, by, ["n"])
+        assert {tuple(r)[:3] for r in both.filter("n = 1").collect()} == set(rows) & set(done) and both.count() == len(rows)
