@@ -141,3 +141,18 @@ def test_reindex(spark):
     df = spark.createDataFrame([("a", 1), ("z", 2)], "model string, n int")
     got = [tuple(r) for r in N.reindex(df, "model", ["b", "a"]).select("model_ord", "model", "n").collect()]
     assert got == [(0, "b", None), (1, "a", 1)]
+
+
+def test_remaining_by_text_deals_rows_by_their_text_alone(spark):
+    """With the digest of text, model and condition as the key each row shuffled a digest of its own."""
+    todo = [(m, c, t, f"{m}{c}{t}{i}") for m in ("x", None) for c in ("1", "2") for t in ("a", "b", None) for i in (0, 1)]
+    done = [("x", "1", "a"), ("x", "1", "a"), (None, "2", None), ("x", None, "b"), ("z", "2", "b")]
+    t = spark.createDataFrame(todo, "model string, condition string, text string, example_id string")
+    d = spark.createDataFrame(done, "model string, condition string, text string")
+    want = sorted((r for r in todo if r[:3] not in done), key=repr)
+    for most in (100_000, 1):
+        got = N.remaining_by_text(t, d, "text", rows_per_task=most)
+        assert got.columns == t.columns and sorted(map(tuple, got.collect()), key=repr) == want
+    assert sorted(map(tuple, N.remaining_by_text(t, d.limit(0), "text").collect()), key=repr) == sorted(todo, key=repr)
+    plan = plan_of(N.remaining_by_text(t, d, "text"))
+    assert all("model" not in line and "condition" not in line for line in plan.split("\n") if "hashpartitioning" in line)
