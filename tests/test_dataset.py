@@ -190,3 +190,20 @@ def test_assemble(spark):
 def test_union_fills_gaps(spark):
     a, b = spark.createDataFrame([(1,)], "x int"), spark.createDataFrame([(2, 3)], "x int, y int")
     assert values(D.union_all([a, b])) == [(1, None), (2, 3)]
+
+
+def test_keep_last_deals_rows_by_their_text_alone(spark):
+    """With the digest of text, model and condition as the key each row shuffled a digest of its own."""
+    texts = ["a", "b", None, "a", "c"]
+    rows = [(m, c, t, t and t + "!", i) for i, t in enumerate(texts) for m in ("x", "y", None) for c in ("1_clean_baseline", "2_no_defense", "other")]
+    df = spark.createDataFrame(rows, "model string, condition string, original_sentence string, biased_sentence string, seq int")
+    want = {}
+    for m, c, original, biased, seq in rows:
+        if c != "other":
+            want[m, c, original if c == "1_clean_baseline" else biased] = seq
+    want = sorted(((m, c, seq) for (m, c, _), seq in want.items()), key=repr)
+    for most in (100_000, 7, 0):  # no text, some texts, all texts are dealt by model and condition as well
+        got = D.keep_last_predictions(df, rows_per_task=most)
+        assert got.columns == df.columns and sorted(map(tuple, got.select("model", "condition", "seq").collect()), key=repr) == want
+    dealt = [line for line in plan_of(D.keep_last_predictions(df)).split("\n") if "hashpartitioning" in line]
+    assert dealt and all("model" not in line and "condition" not in line and "__text" in line for line in dealt)
