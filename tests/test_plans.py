@@ -144,3 +144,26 @@ def test_texts_go_to_python_once_for_all_conditions(spark):
     joined = plan_of(jobs.with_finished(rows.withColumn("model", F.lit("m")), done))
     dealt = [line for line in joined.split("\n") if "Exchange hashpartitioning" in line]
     assert dealt and all("model" not in line for line in dealt)
+
+
+def test_examples_meet_what_is_finished_in_packed_sentences(spark, monkeypatch):
+    """Texts were shuffled whole, once for each example and model of a sentence."""
+    ids = ["1:1", "1:2", "1:2", "12:1", "a:b:1", "plain", "", None, ":"]
+    rows = [(m, e, None if i == 3 else f"text {e} " * 50, [m or "", None], {"k": None}) for i, e in enumerate(ids) for m in ("x", "y", None)]
+    df = spark.createDataFrame(rows, "model string, example_id string, `a text` string, labels array<string>, errors map<string,string>").coalesce(2)
+    done = [("x", "1:2", "c1"), ("x", "1:2", "c2"), ("x", "1:2", "c1"), ("y", None, "c1"), (None, "12:1", "c3"), ("x", "plain", None), ("z", "1:1", "c1"), ("x", "2:1", "c1")]
+    ended = spark.createDataFrame(done, "model string, example_id string, condition string")
+    want = sorted(((*r, sorted(c for m, e, c in set(done) if (m, e) == r[:2] and c)) for r in rows), key=repr)
+
+    def got(*parts):
+        out = jobs.with_finished(*parts)
+        assert out.columns == [*df.columns, jobs.FINISHED]
+        return sorted(((*tuple(r)[:-1], sorted(r[-1] or [])) for r in out.collect()), key=repr)
+
+    for most in (10_000, 0):  # dealt by sentences, by whole ids
+        monkeypatch.setattr(jobs, "SENTENCE_ROWS", most)
+        assert got(df, ended) == want
+        assert got(df.limit(0), ended) == []
+        assert [r[:-1] for r in got(df, ended.limit(0))] == [r[:-1] for r in want]
+    plan = plan_of(jobs.with_finished(df, ended))
+    assert "a text" not in plan.split("SortMergeJoin", 1)[1].split("MapInArrow", 1)[0]
